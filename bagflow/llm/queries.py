@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, token_counts, warc
+from . import ngram_join, packing, quality, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,14 +32,24 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_fingerprints: for ids divisible by 20, how many other distinct fingerprints lie within 3 bits; else null."""
+    prints = simhash.with_edits(_table(spark, sf_dir, "documents"))
+    found = simhash.near(prints, prints.filter("doc_id % 20 = 0")).groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("n"))
+    out = prints.join(found, "fingerprint", "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(F.col("doc_id") % 20 == 0, F.coalesce("n", F.lit(0))).alias("near_fingerprints"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op3_ngram_join": op3_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
