@@ -151,3 +151,19 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, thresho
         (F.col("score") >= threshold).cast("int").alias("predicted"),
         "size_difference",
     )
+
+
+def keep_good(docs: DataFrame, model: dict, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def rows(batches):
+        m = held.value
+        sizer = _Sizer(m["good"], m["bad"])
+        for b in batches:
+            x = np.array([sizer.features((t or "").encode("utf-8", "replace")) for t in b.column(at).to_pylist()], dtype=float).reshape(-1, 2)
+            s = 1 / (1 + np.exp(-np.clip(_design(x) @ np.array(m["weights"]), -700, 700)))
+            yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
