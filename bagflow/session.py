@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,7 +14,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the workers with addPyFile, once per application, unless PYTHONPATH already has its folder."""
+    """Send the package to the workers with addPyFile, once per application, unless PYTHONPATH already has its folder.
+
+    Times are in UTC.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     root = Path(__file__).resolve().parent
     app = spark.sparkContext.applicationId
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
@@ -26,3 +31,12 @@ def ship(spark: SparkSession) -> SparkSession:
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
     return spark
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="spark-bagflow-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
