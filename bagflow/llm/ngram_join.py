@@ -56,8 +56,8 @@ def least_overlap(size: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """One bit for each n-gram's hash, of 8 to 16 bits an n-gram; a power of two, so that maps fold to smaller ones."""
-    bits = max(64, 1 << int(8 * len(s) - 1).bit_length())
+    """One bit for each n-gram's hash, of 4 to 8 bits an n-gram; a power of two, so that maps fold to smaller ones."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length())
     m = np.zeros(bits // 8, dtype=np.uint8)
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     np.bitwise_or.at(m, at >> 3, (1 << (at & 7)).astype(np.uint8))
@@ -141,33 +141,50 @@ class Join:
         out = survey.filter("chunk is null and size > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"))
         return written(out.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
 
-    def memberships(self, docs: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
-        """(pivot, cid): each class with the pivots of its boundary n-grams, itself excepted."""
+    def boundaries(self, docs: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
+        """Written (cid, size, firsts, bitmap): the n-grams in whose regions a class lies, and its bitmap."""
         n, bits, num, den = self.n, self.bits, self.num, self.den
         held = docs.sparkSession.sparkContext.broadcast(sketch)
         kind = docs.schema["doc_id"].dataType.simpleString()
 
         def rows(batches):
             counts = held.value
+            seen = set()
             for b in batches:
-                keys, firsts = [], []
-                for s in _sets(b.column(1).to_pylist(), n):
-                    keys.append(_key(s))
+                at, keys, firsts, sizes, maps = [], [], [], [], []
+                for i, (own, s) in enumerate(zip(b.column(0).to_pylist(), _sets(b.column(1).to_pylist(), n))):
+                    key = _key(s)
+                    if not len(s) or (own, key) in seen:
+                        continue
+                    seen.add((own, key))
+                    at.append(i)
+                    keys.append(key)
+                    sizes.append(len(s))
+                    maps.append(_bitmap(s))
                     order = np.argsort(counts[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
-                    take = len(s) - int(least_overlap(np.int64(len(s)), num, den)) + 1 if len(s) else 0
+                    take = len(s) - int(least_overlap(np.int64(len(s)), num, den)) + 1
                     firsts.append(s[order[:take]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "key", "firsts"])
-
-        # one document of each class is enough; the others' rows go before the join
-        firsts = docs.mapInArrow(rows, f"doc_id {kind}, key binary, firsts array<long>")
-        firsts = firsts.join(classes.select("key", "least", "cid"), "key").filter("doc_id <=> least").select("cid", "firsts")
-        firsts = written(firsts, "ngram-firsts")
-        regions = firsts.select("cid", F.explode("firsts").alias("s"))
-        shared = written(regions.groupBy("s").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).filter("pivot < most").select("s", "pivot"), "ngram-shared")
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                    names=["doc_id", "key", "size", "firsts", "bitmap"],
+                )
+
+        # one document of each class is enough; the others' rows go before anything is exploded
+        rows = docs.mapInArrow(rows, f"doc_id {kind}, key binary, size long, firsts array<long>, bitmap binary")
+        rows = rows.join(classes.select("key", "least", "cid"), "key").filter("doc_id <=> least")
+        return written(rows.select("cid", "size", "firsts", "bitmap"), "ngram-boundaries")
+
+    def memberships(self, boundaries: DataFrame) -> DataFrame:
+        """Written (pivot, cid): each class with the pivots of its boundary n-grams, itself excepted."""
+        regions = boundaries.select("cid", "size", F.explode("firsts").alias("s"))
+        shared = regions.groupBy("s").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most"), F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n"))
+        # a region of two members whose sizes are too far apart can't hold a link
+        shared = shared.filter((F.col("pivot") < F.col("most")) & ((F.col("n") > 2) | (F.col("low") * self.den >= F.col("high") * self.num)))
+        shared = written(shared.select("s", "pivot"), "ngram-shared")
         return written(regions.join(self._small(shared), "s").filter("cid <> pivot").select("pivot", "cid").distinct(), "ngram-members")
 
     def details(self, docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-        """Written (cid, size, bitmap, set) of the classes in `wanted` (cid), from one document of each."""
+        """Written (cid, grams) of the classes in `wanted` (cid), from one document of each."""
         n = self.n
         kind = docs.schema["doc_id"].dataType.simpleString()
         wanted = self._small(written(classes.join(wanted, "cid", "left_semi").select("cid", F.col("least").alias("doc_id"), "key"), "ngram-wanted"))
@@ -176,12 +193,9 @@ class Join:
         def rows(batches):
             for b in batches:
                 sets = _sets(b.column(1).to_pylist(), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["key", "size", "bitmap", "grams"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "grams"])
 
-        found = some.mapInArrow(rows, "key binary, size long, bitmap binary, grams binary")
+        found = some.mapInArrow(rows, "key binary, grams binary")
         found = found.join(wanted.select("cid", "key"), "key").drop("key")
         return written(found.dropDuplicates(["cid"]), "ngram-sets")
 
@@ -202,7 +216,7 @@ class Join:
         tasks = others.unionByName(pivots).select("pivot", "cid", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
         return tasks.join(details.select("cid", *columns), "cid")
 
-    def bounded(self, members: DataFrame, details: DataFrame) -> DataFrame:
+    def bounded(self, members: DataFrame, boundaries: DataFrame) -> DataFrame:
         """The memberships of classes that may link to another of their region, by sizes and bitmaps."""
         num, den = self.num, self.den
 
@@ -226,7 +240,7 @@ class Join:
                     keep[a + 1 : to] |= ok
             return pdf.loc[keep, ["pivot", "cid"]]
 
-        found = self._tasks(members, details, "size", "bitmap").groupBy("pivot", "i", "j").applyInPandas(one, "pivot long, cid long")
+        found = self._tasks(members, boundaries, "size", "bitmap").groupBy("pivot", "i", "j").applyInPandas(one, "pivot long, cid long")
         return written(found.filter("pivot <> cid").distinct(), "ngram-bounded")
 
     def links(self, members: DataFrame, details: DataFrame) -> DataFrame:
@@ -279,10 +293,10 @@ class Join:
         docs = id_and_text(docs, id_col, text_col)
         survey = self.survey(docs)
         classes = self.classes(survey)
-        members = self.memberships(docs, classes, self.sketch(survey))
+        boundaries = self.boundaries(docs, classes, self.sketch(survey))
+        members = self.bounded(self.memberships(boundaries), boundaries)
         wanted = members.select("cid").union(members.select(F.col("pivot").alias("cid"))).distinct()
-        details = self.details(docs, classes, wanted)
-        links = self.links(self.bounded(members, details), details)
+        links = self.links(members, self.details(docs, classes, wanted))
         root = components(links)
         named = classes.join(root, classes["cid"] == root["node"], "left").withColumn("root", F.coalesce("root", "cid"))
         least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -296,3 +310,24 @@ class Join:
 def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """See Join.run; documents link when den * |intersection| >= num * |union| of their n-word sets."""
     return Join(n, num, den, **options).run(docs, id_col=id_col, text_col=text_col)
+
+
+def one_of_each(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_500_000, **options) -> DataFrame:
+    """The rows of docs, with all their columns, whose id names their component: one document of each group.
+
+    Rows that repeat an id together with its text are one document. Rows without an id all stay.
+    """
+    found = written(jaccard_components(docs, n=n, num=num, den=den, id_col=id_col, text_col=text_col, **options).select("doc_id", "component_id"), "ngram-found")
+
+    def small(df: DataFrame, label: str) -> DataFrame:
+        df = written(df.distinct(), label)
+        return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+
+    others = small(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("other_id")), "ngram-others")
+    kept = docs.join(others, docs[id_col] == others["other_id"], "left_anti")
+    again = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"))
+    again = small(again, "ngram-again")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, kept[id_col] == again["again_id"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, kept[id_col] == again["again_id"], "left_anti").unionByName(repeated)

@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_path, written
+from ..session import scratch
+from ._common import written
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -84,7 +85,7 @@ def _parse(data: bytes) -> tuple:
 def write(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> DataFrame:
     """Write the archives; returns the index, read from a written table."""
     spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
+    folder = folder or scratch(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("sha", F.sha1("html"))
     # payloads that more than one record has: counted before the shuffle, so a hot payload is one row a task
