@@ -77,7 +77,7 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 class Join:
     """One join with its parameters: links where den * intersection >= num * union of n-word sets."""
 
-    def __init__(self, n: int = 5, num: int = 80, den: int = 100, *, sketch_bits: int = 21, block: int = 1024, broadcast_rows: int = 1_500_000):
+    def __init__(self, n: int = 5, num: int = 80, den: int = 100, *, sketch_bits: int = 24, block: int = 1024, broadcast_rows: int = 1_500_000):
         self.n, self.num, self.den, self.bits, self.block, self.broadcast_rows = n, num, den, sketch_bits, block, broadcast_rows
 
     def _small(self, df: DataFrame) -> DataFrame:
@@ -91,49 +91,42 @@ class Join:
         arrow = pa.int64() if kind == "bigint" else None
 
         def rows(batches):
-            total = np.zeros(1 << bits, dtype=np.int64)
-            held, count = [], 0
+            total = np.zeros(1 << bits, dtype=np.uint32)
             ids = None
             for b in batches:
                 ids = b.column(0)
                 sets = _sets(b.column(1).to_pylist(), n)
                 for s in sets:
-                    held.append(s >> np.uint64(64 - bits))
-                    count += len(s)
-                    if count > 1 << 20:
-                        total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-                        held, count = [], 0
+                    np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                     names=["doc_id", "size", "key", "chunk", "counts"],
                 )
-            if held:
-                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
             if ids is not None:
-                parts = total.reshape(-1, chunk)
+                parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, chunk)
                 some = [i for i in range(len(parts)) if parts[i].any()]
                 k = len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, arrow or ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in some], pa.binary())],
+                    [pa.nulls(k, arrow or ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())],
                     names=["doc_id", "size", "key", "chunk", "counts"],
                 )
 
         return written(docs.mapInArrow(rows, f"doc_id {kind}, size long, key binary, chunk int, counts binary"), "ngram-survey")
 
     def sketch(self, survey: DataFrame) -> np.ndarray:
-        """How often n-grams of each hash range occur. Its size is fixed by sketch_bits, whatever the input."""
+        """How often n-grams of each hash range occur (a task adds 255 at most). Its size is fixed by sketch_bits."""
         chunk = min(SKETCH_CHUNK, 1 << self.bits)
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(chunk, dtype=np.int64)
             for c in pdf["counts"]:
-                total += np.frombuffer(zlib.decompress(c), dtype="<u4")
-            return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+                total += np.frombuffer(zlib.decompress(c), dtype=np.uint8)
+            return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)]})
 
-        out = np.zeros((1 << self.bits) // chunk * chunk, dtype=np.uint32)
+        out = np.zeros(1 << self.bits, dtype=np.uint16)
         for r in survey.filter("chunk is not null").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-            out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype="<u4")
+            out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<u2")
         return out
 
     def classes(self, survey: DataFrame) -> DataFrame:
