@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import glob
+import numbers
 import os
 import subprocess
 import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from bagflow.jobs import registry
@@ -24,9 +26,16 @@ def con(sf):
     return c
 
 
+def shown(v):
+    """One text for equal values, whatever library they come from."""
+    if pd.isna(v):
+        return ""
+    return str(round(float(v), 6)) if isinstance(v, numbers.Number) else str(v)
+
+
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("" if v is None or v != v else str(round(float(v), 6)) if isinstance(v, (int, float)) else str(v) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple(map(shown, r)) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", [n for n in registry.ORACLE_SQL if n not in SLOW])
