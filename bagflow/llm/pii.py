@@ -129,16 +129,23 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, threshold: float = 0.
     near = known.select("entity", "doc_id", "text_hash", F.xxhash64("context").alias("c"), F.explode(_terms(_lower(F.col("context")))).alias("term"))
     contexts = near.select("entity", "term", "c").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
     both = near.select("entity", "term", "doc_id", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = written(contexts.join(both, ["entity", "term"]).join(per_entity, "entity"), "pii-pairs")
+    # a term is held by at least as many documents as have it near any mention: terms that stay below the threshold
+    # even with that count are out before the texts are read again
+    total = docs.count()
+    near_any = mentions.select("doc_id", "text_hash", F.explode(_terms(_lower(F.col("context")))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
+
+    def disclosure(n_term: str) -> Column:
+        return F.when(information > 0, F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col(n_term) * F.col("n_entity"))) / information).otherwise(0.0)
+
+    pairs = contexts.join(both, ["entity", "term"]).join(per_entity, "entity").join(near_any, "term").filter(disclosure("n_near") >= threshold)
+    pairs = written(pairs.select("entity", "term", "n_both", "n_entity"), "pii-pairs")
     wanted = pairs.select("term").distinct()
     if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     holding = docs.select(F.explode(F.array_distinct(F.split(_lower(F.col("text")), WHITE + "+"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    out = pairs.join(holding, "term").join(F.broadcast(n))
-    information = F.log2(F.col("n_docs") / F.col("n_entity"))
-    disclosure = F.when(information > 0, F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity"))) / information).otherwise(0.0)
-    return written(out.select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= threshold), "pii-terms")
+    out = pairs.join(holding, "term").withColumn("disclosure", disclosure("n_term"))
+    return written(out.select("entity", "term", "disclosure").filter(F.col("disclosure") >= threshold), "pii-terms")
 
 
 def _survey(docs: DataFrame, reach: int) -> DataFrame:
