@@ -201,11 +201,17 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     plain = id_and_text(docs, id_col, text_col)
     found = _survey(plain, reach)
     terms = disclosing_terms(plain, found, threshold=threshold, support=support, broadcast_rows=broadcast_rows)
-    patterns = written(_term_pattern(found, terms, broadcast_rows), "pii-patterns").select(F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash"), F.col("pattern").alias("pii_pattern"))
-    if patterns.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        patterns = F.broadcast(patterns)
-    rows = with_spans(docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit(""))), "pii_text", "pii_base")
-    rows = rows.join(patterns, F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.xxhash64("pii_text") == F.col("pii_hash")), "left")
+    patterns = _term_pattern(found, terms, broadcast_rows).select("doc_id", "text_hash", "pattern")
+    # only documents with entities change: their spans come from the survey, so no text is searched twice
+    dirty = found.filter(F.size("base") > 0).select("doc_id", "text_hash", "base").dropDuplicates(["doc_id", "text_hash"])
+    both = dirty["doc_id"].eqNullSafe(patterns["doc_id"]) & (dirty["text_hash"] == patterns["text_hash"])
+    dirty = dirty.join(patterns, both, "left").select(dirty["doc_id"].alias("pii_id"), dirty["text_hash"].alias("pii_hash"), F.col("base").alias("pii_base"), F.col("pattern").alias("pii_pattern"))
+    dirty = written(dirty, "pii-dirty")
+    if dirty.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        dirty = F.broadcast(dirty)
+    rows = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.join(dirty, F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.xxhash64("pii_text") == F.col("pii_hash")), "left")
+    rows = rows.withColumn("pii_base", F.coalesce("pii_base", F.array().cast(SPAN)))
     extra = F.when(F.col("pii_pattern").isNotNull(), _term_spans(F.col("pii_text"), F.col("pii_pattern"))).otherwise(F.array().cast(SPAN))
     rows = rows.withColumn("pii_spans", F.array_sort(F.transform(F.concat("pii_base", extra), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
