@@ -101,6 +101,13 @@ def chunks(texts: list[bytes], most: int = 1 << 20):
         yield first, len(texts)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most `rows` rows, so that what a task derives from a batch stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def words_of(texts: list[bytes]):
     """Hashed words of each text: yields (index, hashes of its words) for runs of texts hashed together."""
     for a, b in chunks(texts):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, shingles, words_of, written
+from ._common import id_and_text, shingles, slices, words_of, written
 from .graph import components
 
 SKETCH_CHUNK = 1 << 16
@@ -91,20 +91,21 @@ class Join:
         arrow = pa.int64() if kind == "bigint" else None
 
         def rows(batches):
-            total = np.zeros(1 << bits, dtype=np.uint32)
+            total = np.zeros(1 << bits, dtype=np.uint8)
             ids = None
-            for b in batches:
+            for b in slices(batches):
                 ids = b.column(0)
                 sets = _sets(b.column(1).to_pylist(), n)
-                for s in sets:
-                    np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+                if sets:
+                    at, n_at = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                    total[at] = np.minimum(total[at] + n_at, 255)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                     names=["doc_id", "size", "key", "chunk", "counts"],
                 )
             if ids is not None:
-                parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, chunk)
+                parts = total.reshape(-1, chunk)
                 some = [i for i in range(len(parts)) if parts[i].any()]
                 k = len(some)
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +144,7 @@ class Join:
         def rows(batches):
             counts = held.value
             seen = set()
-            for b in batches:
+            for b in slices(batches):
                 at, keys, firsts, sizes, maps = [], [], [], [], []
                 for i, (own, s) in enumerate(zip(b.column(0).to_pylist(), _sets(b.column(1).to_pylist(), n))):
                     key = _key(s)
@@ -184,7 +185,7 @@ class Join:
         some = docs.join(wanted.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
 
         def rows(batches):
-            for b in batches:
+            for b in slices(batches):
                 sets = _sets(b.column(1).to_pylist(), n)
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "grams"])
 
