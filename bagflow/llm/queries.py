@@ -49,9 +49,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """near_fingerprints: for ids divisible by 20, how many other distinct fingerprints lie within 3 bits; else null."""
+    """near_fingerprints: for ids divisible by 20, how many other distinct fingerprints lie within 20 bits; else null."""
     prints = simhash.with_edits(_table(spark, sf_dir, "documents"))
-    found = simhash.near(prints, prints.filter("doc_id % 20 = 0")).groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("n"))
+    found = simhash.count_near(prints, prints.filter("doc_id % 20 = 0"))
     out = prints.join(found, "fingerprint", "left")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(F.col("doc_id") % 20 == 0, F.coalesce("n", F.lit(0))).alias("near_fingerprints"))
 

@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from bagflow.llm import decontaminate, html_text, lm_score, ngram_join, packing, pii, quality, simhash, token_counts, warc
+from bagflow.llm import decontaminate, html_text, lm_score, ngram_join, packing, pii, quality, queries, simhash, token_counts, warc
 from bagflow.llm._common import word_hashes
 from bagflow.llm.graph import components
 
@@ -409,6 +409,48 @@ def test_near_equals_brute_force(spark):
         assert got == want
 
 
+def test_near_finds_edited_copies(spark, real, tmp_path):
+    rnd, docs = random.Random(11), []
+    for t in [t for t in real.text if 80 < len(words(t)) < 600][:40]:
+        docs.append(t)
+        for share in (0.01, 0.02, 0.03):
+            w = t.split(" ")
+            for i in rnd.sample(range(len(w)), max(1, int(share * len(w)))):
+                w[i] = f"edit{rnd.randrange(10**6)}"
+            docs.append(" ".join(w))
+    docs += docs[:3]
+    rnd.shuffle(docs)
+    pd.DataFrame({"doc_id": range(len(docs)), "text": docs}).to_parquet(tmp_path / "documents.parquet")
+    prints = [int.from_bytes(p) for p in simhash.fingerprints(docs)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words, docs)]
+    got = {r["doc_id"]: r["near_fingerprints"] for r in queries.op9_simhash(spark, str(tmp_path)).collect()}
+    alike = found = 0
+    for i, p in enumerate(prints):
+        if i % 20:
+            assert got[i] is None
+            continue
+        close = {q for q in prints if 0 < (p ^ q).bit_count() <= 20}
+        assert got[i] == len(close)
+        copies = {q for q, s in zip(prints, sets) if q != p and len(s & sets[i]) >= 0.8 * len(s | sets[i])}
+        alike, found = alike + len(copies), found + len(copies & close)
+    assert alike > 5 and found >= 0.95 * alike
+
+
+def test_near_in_passes_and_small_parts(spark):
+    rnd = random.Random(12)
+    base = [rnd.getrandbits(128) for _ in range(8)]
+    prints = sorted({b ^ sum(1 << k for k in rnd.sample(range(128), rnd.randint(0, 24))) for b in base for _ in range(30)})
+    df = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
+    for radius in (5, 20):
+        want = {(f"{a:032x}", f"{b:032x}", d) for a in prints for b in prints if a != b and (d := (a ^ b).bit_count()) <= radius}
+        assert {tuple(r) for r in simhash.near(df, df.union(df), radius=radius, most=100).select("query", "fingerprint", "distance").collect()} == want
+        counts = {r["fingerprint"]: r["n"] for r in simhash.count_near(df, df, radius=radius).collect()}
+        assert counts == Counter(a for a, _, _ in want)
+        tables, raw = simhash._Tables(simhash._binary([f"{p:032x}" for p in prints]), radius), simhash._binary([f"{p:032x}" for p in prints])
+        assert sum(len(q) for q, _, _ in tables.pairs(raw, most=7)) == len(want)
+    assert simhash.near(df, df.limit(0)).count() == 0 == simhash.count_near(df, df.limit(0)).count()
+
+
 # --- 10: quality ------------------------------------------------------------------------------------------------------------------------
 
 
