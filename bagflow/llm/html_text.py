@@ -5,8 +5,11 @@ over the host's pages, how often it occurs and how its content varies. A node's
 content over those pages, divided by its greatest possible value (all different: 1, all the same: 0). From each page,
 branches of low importance are removed if enough pages of the host have them. Branches that HTML itself or their class
 names mark as menus, headers, footers, sidebars, notices, adverts, forms or reader comments go too; they need no
-statistics, so hosts with few pages are treated alike. If a page has an article or main element, its text is the text
-in there; else what is left of the body. A rule that would leave a page without any text isn't applied to it.
+statistics, so hosts with few pages are treated alike. Class names count as whole names (`sidebar`, `site-footer`, but
+not `has-sidebar`), and neither they nor forms mark an article, a main element or a branch with most of a page's text
+(outside an article: unless the page has its articles elsewhere).
+If a page has a main element, or articles with at least half of the text that is left, its text is the text in there;
+else what is left of the body. A rule that would leave a page without any text isn't applied to it.
 
 Only (host, path, hash of content) with counts is shuffled for the tree, summed in tasks before; pages are joined with
 their host's list of low-importance paths, broadcast if it is small enough.
@@ -34,10 +37,13 @@ _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s
 _WORD = re.compile(r"[a-z]+")
 
 #: Elements by their part in a page.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object "
+    "math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg xmp noembed noframes select math object canvas video audio".split())
-NOISE_TAGS = set("nav footer aside form button dialog menu fieldset head".split())
+RAW = set("script style title textarea noscript template iframe svg xmp noembed noframes select annotation annotation-xml canvas video audio".split())
+NOISE_TAGS = set("nav footer aside button dialog menu fieldset head".split())
 MAIN = set("article main".split())
 #: Elements that end an open paragraph, and those that end an open element of the same kind.
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -47,41 +53,53 @@ NOISE_WORDS = set(
     "footer gdpr hidden legal login menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion reactions "
     "recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Words that say where something is, beside a word of noise in one name.
+PLACES = set("area bar block bottom box column container desktop fixed global group inner item items left lower links list main mobile outer page panel primary region right secondary section site sticky top upper wrap wrapper".split())
 #: Marked as noise only outside an article.
 HEADER_WORDS = set("header masthead hero branding logo".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 
 class Block:
-    """A run of text with its path of block elements, whether it is in an article and whether markup calls it noise."""
+    """A run of text with its path of block elements, whether it is in an article (1) or main element (2), whether elements
+    call it noise, and the branches around it that names or forms mark as noise: their number and whether they are in an article."""
 
-    __slots__ = ("path", "text", "inside", "noise")
+    __slots__ = ("path", "text", "inside", "noise", "marks")
 
-    def __init__(self, path: tuple, text: str, inside: bool, noise: bool):
-        self.path, self.text, self.inside, self.noise = path, text, inside, noise
+    def __init__(self, path: tuple, text: str, inside: int, noise: bool, marks: tuple):
+        self.path, self.text, self.inside, self.noise, self.marks = path, text, inside, noise, marks
 
 
 def _attributes(rest: str) -> tuple[str, bool, set]:
-    """The class as written, whether the element is hidden, and the words of class, id and role."""
-    kind, hidden, words = "", False, set()
+    """The class as written, whether the element is hidden, and the names in class, id and role."""
+    kind, hidden, names = "", False, set()
     for name, value in _NAME.findall(rest):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name == "class":
             kind = ".".join(value.split())
         if name in ("class", "id"):
-            words.update(_WORD.findall(value))
+            names.update(value.split())
         elif name == "role":
-            words.update("role:" + r for r in value.split())
+            names.update("role:" + r for r in value.split())
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
-    return kind, hidden, words
+    return kind, hidden, names
+
+
+def _named(names: set, words: set) -> bool:
+    """Whether a name consists of some of these words, and words of place at most."""
+    for parts in map(_WORD.findall, names):
+        if not words.isdisjoint(parts) and all(p in words or p in PLACES for p in parts):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
-    # open block elements: (tag, path, inside an article, noise)
-    stack: list[tuple] = [("", (), False, False)]
+    # open block elements: (tag, path, inside an article or main element, noise, marks)
+    stack: list[tuple] = [("", (), 0, False, ())]
+    marked = 0
     held: list[str] = []
     at, end = 0, len(page)
 
@@ -90,8 +108,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, path, inside, noise = stack[-1]
-                out.append(Block(path, text, inside, noise))
+                _, path, inside, noise, marks = stack[-1]
+                out.append(Block(path, text, inside, noise, marks))
 
     def close(tags: set, within: int = 0) -> None:
         for i in range(len(stack) - 1, within, -1):
@@ -152,13 +170,16 @@ def blocks(page: str) -> list[Block]:
             lists = [i for i, x in enumerate(stack) if x[0] in ("ul", "ol", "dl", "table", "menu")]
             close(ENDS_SAME[tag], lists[-1] if lists else 0)
         flush()
-        kind, hidden, words = _attributes(rest) if rest else ("", False, set())
-        _, path, inside, noise = stack[-1]
-        main = tag in MAIN or "role:main" in words
-        marked = tag in NOISE_TAGS or hidden or bool(words & NOISE_WORDS) or any(w[5:] in NOISE_ROLES for w in words if w.startswith("role:"))
-        if not inside and not main:
-            marked |= tag == "header" or bool(words & HEADER_WORDS)
-        stack.append((tag, (*path, f"{tag}.{kind}" if kind else tag), inside or main, noise or marked))
+        kind, hidden, names = _attributes(rest) if rest else ("", False, set())
+        _, path, inside, noise, marks = stack[-1]
+        main = 2 if tag == "main" or "role:main" in names else int(tag in MAIN)
+        noise |= tag in NOISE_TAGS or hidden or any(w[5:] in NOISE_ROLES for w in names if w.startswith("role:"))
+        noise |= tag == "header" and not inside and not main
+        names = {w for w in names if not w.startswith("role:")}
+        if not main and (tag == "form" or _named(names, NOISE_WORDS) or not inside and _named(names, HEADER_WORDS)):
+            marked += 1
+            marks = (*marks, (marked, inside))
+        stack.append((tag, (*path, f"{tag}.{kind}" if kind else tag), max(inside, main), noise, marks))
     flush()
     return out
 
@@ -172,15 +193,35 @@ def branch_hashes(found: list[Block]) -> dict[str, int]:
     return {">".join(path): xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63) for path, texts in below.items()}
 
 
+def _size(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found)
+
+
+def without_noise(found: list[Block]) -> list[Block]:
+    """The blocks that markup doesn't call noise. A branch with most of the text isn't noise for its name, unless articles
+    or a main element are elsewhere."""
+    shown = [b for b in found if not b.noise] or found
+    below, main = Counter(), Counter()
+    for b in shown:
+        for m in b.marks:
+            below[m] += len(b.text)
+            main[m] += len(b.text) if b.inside else 0
+    half, whole = _size(shown) / 2, _size([b for b in shown if b.inside])
+    spared = {m for m, n in below.items() if n > half and (m[1] or main[m] == whole)}
+    return [b for b in shown if spared.issuperset(b.marks)] or shown
+
+
 def main_text(found: list[Block], low: set) -> str:
     """The text of a page given its host's paths of low importance."""
-    kept = [b for b in found if not b.noise]
+    kept = without_noise(found)
+
+    def rest(kept: list[Block]) -> list[Block]:
+        return [b for b in kept if not any(">".join(b.path[:k]) in low for k in range(1, len(b.path) + 1))] if low else kept
+
     inside = [b for b in kept if b.inside]
-    kept = inside or kept
-    if low:
-        rest = [b for b in kept if not any(">".join(b.path[:k]) in low for k in range(1, len(b.path) + 1))]
-        kept = rest or kept
-    return "\n\n".join(b.text for b in kept)
+    if any(b.inside == 2 for b in inside) or inside and 2 * _size(rest(inside)) >= _size(rest(kept) or kept):
+        kept = inside
+    return "\n\n".join(b.text for b in rest(kept) or kept)
 
 
 def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

@@ -254,6 +254,22 @@ line<p>Two &lt;tag&gt; a < b<br>after<ul><li>x<li>y</ul><form>Sign</form><div cl
     assert html_text.main_text(html_text.blocks(""), set()) == ""
 
 
+def test_names_and_small_articles_cost_no_main_text():
+    def text(body):
+        return html_text.main_text(html_text.blocks(f"<body><nav>Menu</nav>{body}<footer>(c)</footer></body>"), set())
+
+    body = "A long main text of the page with many words."
+    for start in ("<article class='post overflow-hidden'>", "<div class='has-sidebar'>", "<main id='content-widget'>", "<article class='tag-legal'>", "<div class='comments-open'>", "<article class='comment'>", "<main class='search'>", "<div id='search'>", "<form id='aspnetForm'>"):
+        assert text(f"{start}<p>{body}</p></{start[1:].split()[0]}><div class='ad'>Buy</div>") == body, start
+    assert text(f"<div class='layout has-sidebar'><p>{body}</p><div class='site-footer'>F</div><ul class='comment-list'><li>C</ul></div>") == body
+    assert text(f"<div><p>{body}</p><article>One</article><article>Two</article></div>") == f"{body}\n\nOne\n\nTwo"
+    assert text(f"<article><p>{body}</p></article><div>Beside</div>") == body
+    assert text(f"<div class='ad'>{body}</div><article>Short</article>") == "Short"
+    assert text("<main>Short</main><div>A longer text beside it</div>") == "Short"
+    assert text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <object data='a.pdf'>see a.pdf</object>.</article>") == "If x=2 then see a.pdf."
+    assert html_text.main_text(html_text.blocks("<aside><p>Only this</p></aside>"), set()) == "Only this"
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = []
     for k in range(12):
