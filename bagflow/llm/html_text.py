@@ -1,7 +1,8 @@
 """Main text of web pages with a site style tree.
 
 The pages of a host are merged into one style tree: a node is a path of block elements with their classes, and holds,
-over the host's pages, how often it occurs and how its content varies. A node's importance is the entropy of its
+over the host's different pages, how often it occurs and how its content varies; branches of articles and main elements
+count once for each different main text, so that copies of a page don't pass for boilerplate. A node's importance is the entropy of its
 content over those pages, divided by its greatest possible value (all different: 1, all the same: 0). From each page,
 branches of low importance are removed if enough pages of the host have them. Branches that HTML itself or their class
 names mark as menus, headers, footers, sidebars, notices, adverts, forms or reader comments go too; they need no
@@ -11,7 +12,7 @@ not `has-sidebar`), and neither they nor forms mark an article, a main element o
 If a page has a main element, or articles with at least half of the text that is left, its text is the text in there;
 else what is left of the body. A rule that would leave a page without any text isn't applied to it.
 
-Only (host, path, hash of content) with counts is shuffled for the tree, summed in tasks before; pages are joined with
+Only (host, path, hash of content, hash of page) is shuffled for the tree, each once a task; pages are joined with
 their host's list of low-importance paths, broadcast if it is small enough.
 
 Defined results: null or empty html gives an empty text; pages without a host take part in no tree; repeated rows give
@@ -184,13 +185,21 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def branch_hashes(found: list[Block]) -> dict[str, int]:
-    """For every path and its beginnings: a hash of the text below it."""
+def _hash(texts: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
+
+
+def branch_hashes(found: list[Block], page: str) -> dict[str, tuple[int, int]]:
+    """For every path and its beginnings: hashes of the text below it, and of the page or, inside an article, its main text."""
     below: dict[tuple, list[str]] = {}
+    outside = set()
     for b in found:
         for k in range(1, len(b.path) + 1):
             below.setdefault(b.path[:k], []).append(b.text)
-    return {">".join(path): xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63) for path, texts in below.items()}
+            if not b.inside:
+                outside.add(b.path[:k])
+    whole, main = _hash([page]), _hash([b.text for b in without_noise(found) if b.inside])
+    return {">".join(path): (_hash(texts), whole if path in outside else main) for path, texts in below.items()}
 
 
 def _size(found: list[Block]) -> int:
@@ -230,28 +239,26 @@ def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
 
 
 def style_tree(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of every node of every host's style tree."""
+    """(host, path, pages, importance) of every node of every host's style tree; pages counts different ones."""
     df = _with_host(pages, id_col, url_col, html_col).filter("host <> ''").select("host", "html")
 
     def rows(batches):
-        def batch(seen: Counter):
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())],
-                names=["host", "path", "content", "n"],
-            )
-
-        seen: Counter = Counter()
+        def batch(seen: set):
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*seen), kinds)], names=["host", "path", "content", "page"])
+
+        seen: set = set()
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen.update((host, path, h) for path, h in branch_hashes(blocks(page)).items())
+                seen.update((host, path, *h) for path, h in branch_hashes(blocks(page), page).items())
                 if len(seen) > 100_000:
                     yield batch(seen)
-                    seen = Counter()
+                    seen = set()
         if seen:
             yield batch(seen)
 
-    counts = df.mapInArrow(rows, "host string, path string, content long, n long").groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
+    found = df.mapInArrow(rows, "host string, path string, content long, page long").distinct()
+    counts = found.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
     nodes = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     entropy = F.log2("pages") - F.col("s") / F.col("pages")
     return nodes.select("host", "path", "pages", F.when(F.col("pages") > 1, entropy / F.log2("pages")).otherwise(1.0).alias("importance"))

@@ -282,6 +282,26 @@ def test_style_tree_removes_what_repeats(spark):
     assert tree["div>div.x1"] == pytest.approx(0) and tree["div>div.x2"] == pytest.approx(1)
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    def page(k, own, foot=""):
+        return f"<article><p>Text {k} with words of its own</p>{own}<div class='share'>Share this</div><div class='x1'>Read more on our site</div></article><div class='end'>{foot}</div>"
+
+    own = "<ul><li>First point</li><li>Second point</li></ul>"
+    rows = [(k, "http://a.example/c", page("of a copy", own)) for k in range(100)]
+    rows += [(100 + k, "http://a.example/d", page("of a copy", own, f"Seen {k} times")) for k in range(20)]
+    rows += [(200 + k, f"http://a.example/{k}", page(k, "")) for k in range(30)]
+    rows += [(300 + k, "http://b.example/", page("alone", own)) for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.extract(pages).collect()}
+    copy = ["Text of a copy with words of its own", "First point", "Second point"]
+    assert all(got[k] == copy for k in range(120))
+    assert all(got[200 + k] == [f"Text {k} with words of its own"] for k in range(30))
+    assert got[300][:3] == ["Text alone with words of its own", "First point", "Second point"]
+    tree = {r["path"]: r for r in html_text.style_tree(pages).filter("host = 'a.example'").collect()}
+    assert tree["article>p"]["pages"] == 31 and tree["article>p"]["importance"] == pytest.approx(1)
+    assert tree["article>ul"]["pages"] == 1 and tree["article>div.x1"]["importance"] == pytest.approx(0)
+
+
 # --- 6: personal data -------------------------------------------------------------------------------------------------------------
 
 PLAIN = {
