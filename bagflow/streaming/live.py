@@ -5,7 +5,10 @@ State lives in the state store (RocksDB, `use_rocksdb`) or in a table that forea
 
 from __future__ import annotations
 
+import heapq
+import pickle
 import sys
+import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
@@ -27,8 +30,43 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _place(row: tuple) -> tuple:
+    """Orders (step, value) rows; nulls first."""
+    return row[0] is not None, row[0], row[1] is not None, row[1]
+
+
+def sorted_rows(rows: Iterator[tuple], most: int = 50_000, chunk: int = 200) -> Iterator[tuple]:
+    """Rows by their first column (nulls first, ties as they came); beyond `most` of them in sorted runs on disk."""
+
+    def step(row: tuple) -> tuple:
+        return row[0] is not None, row[0]
+
+    held: list[tuple] = []
+    runs: list[list[int]] = []
+    with tempfile.TemporaryFile() as f:
+
+        def read(places: list[int]) -> Iterator[tuple]:
+            for at in places:
+                f.seek(at)
+                yield from pickle.load(f)
+
+        for row in rows:
+            held.append(row)
+            if len(held) >= most:
+                held.sort(key=step)
+                places = []
+                f.seek(0, 2)
+                for a in range(0, len(held), chunk):
+                    places.append(f.tell())
+                    pickle.dump(held[a : a + chunk], f)
+                runs.append(places)
+                held = []
+        held.sort(key=step)
+        yield from heapq.merge(*map(read, runs), held, key=step) if runs else held
+
+
 class LastN(StatefulProcessor):
-    """Keeps the last n rows of a key by step and reports what came in and what went out, per batch."""
+    """Keeps the last n rows of a key by step and reports what came in and what went out. Holds n rows of a key at a time."""
 
     def __init__(self, n: int, order: str, value: str, kind: str):
         self.n, self.order, self.value, self.kind = n, order, value, kind
@@ -38,13 +76,16 @@ class LastN(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
         held = [(r[0], r[1]) for r in self.held.get()] if self.held.exists() else []
-        came = sorted((r[self.order], r[self.value]) for r in rows)
-        for step, x in came:
-            yield Row(key=key[0], op="add", step=step, value=x)
-        both = held + came
-        for step, x in both[: -self.n]:
-            yield Row(key=key[0], op="remove", step=step, value=x)
-        self.held.put(both[-self.n :])
+        heap = [(_place(x), x) for x in held]
+        heapq.heapify(heap)
+        for r in rows:
+            x = (r[self.order], r[self.value])
+            yield Row(key=key[0], op="add", step=x[0], value=x[1])
+            heapq.heappush(heap, (_place(x), x))
+            if len(heap) > self.n:
+                step, value = heapq.heappop(heap)[1]
+                yield Row(key=key[0], op="remove", step=step, value=value)
+        self.held.put([x for _, x in sorted(heap)])
 
     def close(self) -> None:
         pass
@@ -64,17 +105,17 @@ def last_n_of(changes: DataFrame) -> DataFrame:
 
 
 class Position(StatefulProcessor):
-    """The last position of a key; reports it beside every arrival."""
+    """The last position of a key; reports it beside every arrival. Arrivals of a batch beyond a fixed number are sorted on disk."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "lat double, lon double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
         at = tuple(self.held.get()) if self.held.exists() else None
-        for r in sorted(rows, key=lambda r: r["step"]):
+        for step, lat, lon in sorted_rows((r["step"], r["lat"], r["lon"]) for r in rows):
             prev = at or (None, None)
-            yield Row(key=key[0], step=r["step"], lat=r["lat"], lon=r["lon"], prev_lat=prev[0], prev_lon=prev[1])
-            at = (r["lat"], r["lon"])
+            yield Row(key=key[0], step=step, lat=lat, lon=lon, prev_lat=prev[0], prev_lon=prev[1])
+            at = (lat, lon)
         self.held.update(at)
 
     def close(self) -> None:

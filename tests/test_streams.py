@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from collections import Counter
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from bagflow.jobs.registry import log
@@ -49,3 +51,46 @@ def test_lease_and_inputs(spark, sf, tmp_path):
     tagged, batch = live.do_apply(lambda a, b: seen.append((a.count(), b.count())), stream.filter("event_type = 'click'"), stream.filter("event_type = 'view'"))
     live.start(tagged, str(tmp_path / "c2"), batch=batch).awaitTermination()
     assert (sum(a for a, _ in seen), sum(b for _, b in seen)) == (ev.filter("event_type = 'click'").count(), ev.filter("event_type = 'view'").count())
+
+
+class Held:
+    """A state variable in memory."""
+
+    def __init__(self):
+        self.now = None
+
+    def exists(self):
+        return self.now is not None
+
+    def get(self):
+        return self.now
+
+    put = update = lambda self, x: setattr(self, "now", x)
+
+
+def test_large_keys_are_not_held_whole():
+    n = 120_000
+    last, position = live.LastN(3, "step", "value", "long"), live.Position()
+    last.held, position.held = Held(), Held()
+    tracemalloc.start()
+    ops = Counter(r.op for r in last.handleInputRows((1,), (Row(step=i * 7919 % n, value=i) for i in range(n)), None))
+    step = -1
+    for r in position.handleInputRows((1,), (Row(step=i * 7919 % n, lat=float(i * 7919 % n), lon=0.5) for i in range(n)), None):
+        assert r.step == step + 1 and r.prev_lat == (float(step) if step >= 0 else None)
+        step = r.step
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ops == {"add": n, "remove": n - 3} and [x[0] for x in last.held.now] == [n - 3, n - 2, n - 1]
+    assert step == n - 1 and position.held.now == (float(n - 1), 0.5)
+    assert peak < 25e6
+
+
+def test_last_n_with_nulls_and_late_rows():
+    last = live.LastN(2, "step", "value", "long")
+    last.held = Held()
+    feed = [[(5, None), (5, 1), (7, 2)], [(6, None), (1, 9), (None, 3)]]
+    out = [r for batch in feed for r in last.handleInputRows((1,), iter([Row(step=s, value=v) for s, v in batch]), None)]
+    left = Counter((r.step, r.value) for r in out if r.op == "add")
+    left.subtract(Counter((r.step, r.value) for r in out if r.op == "remove"))
+    assert +left == {(7, 2): 1, (6, None): 1} and last.held.now == [(6, None), (7, 2)]
+    assert list(live.sorted_rows(iter([(2, "a"), (1, "b"), (None, "c"), (2, "d"), (1, "e")]), most=2, chunk=1)) == [(None, "c"), (1, "b"), (1, "e"), (2, "a"), (2, "d")]
