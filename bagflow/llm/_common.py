@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,3 +131,59 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         for j in range(min(k, len(words))):
             out = out * np.uint64(_BASE) + words[j : j + n]
     return np.unique(mix64(out + np.uint64(min(k, len(words)))))
+
+
+CHUNK = 1 << 16
+
+
+def packed(arrays: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Chunks of a list of count arrays that aren't all zero, as (place, compressed counts)."""
+    at = 0
+    for t in arrays:
+        for a in range(0, len(t), CHUNK):
+            part = t[a : a + CHUNK]
+            if part.any():
+                yield at + a // CHUNK, zlib.compress(part.astype("<i8").tobytes(), 1)
+        at += -(-len(t) // CHUNK)
+
+
+def tree_sum(df: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], *, fan: int = 32) -> DataFrame:
+    """One row for each `place`: the rows that tasks wrote for it (place, task, further columns) folded in levels.
+
+    At every level a group holds the rows of at most `fan` tasks (or groups of the level before), so its size depends on
+    neither the number of tasks nor the input. df should be a written table, for it is read twice.
+    """
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    tasks = df.agg(F.max("task")).first()[0] or 0
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = fold(pdf)
+        out["place"], out["task"] = pdf["place"].iloc[0], pdf["task"].iloc[0] // fan
+        return out[list(pdf.columns)]
+
+    while True:
+        df = df.groupBy("place", F.floor(F.col("task") / fan)).applyInPandas(one, columns)
+        tasks //= fan
+        if not tasks:
+            return df
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = 0
+    for c in pdf["counts"]:
+        total = total + np.frombuffer(zlib.decompress(c), dtype="<i8")
+    return pd.DataFrame({"counts": [zlib.compress(np.asarray(total, dtype="<i8").tobytes(), 1)]})
+
+
+def summed(df: DataFrame, sizes: list[int], kind: type = np.int64) -> list[np.ndarray]:
+    """The sums of the count arrays that tasks packed (place int, task int, counts binary); as large as the arrays are."""
+    got = {r["place"]: r["counts"] for r in tree_sum(df, _added).select("place", "counts").toLocalIterator()}
+    out, at = [], 0
+    for n in sizes:
+        t = np.zeros(n, dtype=kind)
+        for a in range(0, n, CHUNK):
+            if at + a // CHUNK in got:
+                t[a : a + CHUNK] = np.minimum(np.frombuffer(zlib.decompress(got.pop(at + a // CHUNK)), dtype="<i8"), np.iinfo(kind).max)
+        out.append(t)
+        at += -(-n // CHUNK)
+    return out

@@ -1,47 +1,65 @@
-"""Language-model scores by logistic context mixing.
-
-Text is a sequence of tokens: words with A-Z lowered, then one end. A word is spelled in bytes and closed by a space,
-the end is a carriage return; every byte is eight binary decisions. Several predictors estimate each bit from hashed
-contexts (the last 1 to 5 bytes of the word, and the whole beginning of a frequent word), each from how often 0 and 1
-followed that context in the training texts. Their logits are mixed with weights that a gate selects by how much
-evidence the longest contexts have; the weights are learned online, batch by batch, and averaged over tasks. A last
-stage refines the mixed probability by what happened at such probabilities. Products over bits are probabilities of
-tokens; their logs sum to the score of a text, and give bits per byte.
-
-No context crosses words, so a word's probability is the same in all places: Spark counts words over all training
-texts, the model learns from the table of words with their counts (a word's own occurrence is left out when it is
-predicted), and every distinct word is scored once. Frequent words (at most `hot_words`) are broadcast to the pass over
-texts; all others are joined by a shuffle. Tables of context counts have a fixed size.
+"""Language-model scores of texts by online logistic context mixing.
+
+A text is a sequence of tokens: words with A-Z lowered, then one end. Everything is coded in binary decisions, each of
+which several predictors with hashed contexts estimate from how often 0 and 1 followed their context in the training
+texts; gated weights mix their logits, and a last stage refines the mixed probability by what happened at such ones.
+
+1. Phrases. A text is cut behind every three words whose hash is divisible by `every` (and behind the first three), so
+   equal stretches of different texts are cut alike. First decision: is the next phrase the one that most often followed
+   the same three words in the corpus? Its contexts are how often and how surely that phrase followed, and how the last
+   two such predictions of the text came out.
+2. Words. Else the phrase's words follow one by one. A word's code are the branches from the root of a binary tree to
+   its class: words that stand behind the same frequent words are near each other in the tree, whose halves are equally
+   frequent. Contexts, all of which cross words: the word before; the two last frequent words; the classes of the three
+   words before. Weights are learned online over the training texts, averaged over tasks, and go on adapting while a
+   text is read: each text begins with the averaged ones and corrects them after every few words. A class's words are
+   told apart by their frequency.
+3. Letters. Words that are too rare for the tree share one leaf and are spelled (see `lm_spelling`).
+
+Products over decisions are probabilities of tokens; their logs sum to the score of a text and give bits per byte.
+
+What grows with the corpus are Spark tables: the counts of all words, and the phrases with their contexts, which texts
+meet in a shuffle join (contexts that hold more than 1/100,000 of all phrases, at most 100,000, are broadcast). The
+tree's words (`hot_words` at most), the contexts of words (4,096 each, at every node of the tree) and of letters have
+sizes of their own at every scale. Where a prediction is learned or a training text is scored, its own occurrence is left
+out of phrase counts.
 
 Defined results: null or empty text is the end token alone; rows without a doc_id are training rows; repeated rows
-score alike; an empty table gives an empty result; without training rows every bit has probability 1/2.
+score alike; an empty table gives an empty result; without training rows all decisions start from even chances.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import _power_tables, held_out, id_and_text, mix64, written
+from . import lm_spelling
+from ._common import chunks, held_out, id_and_text, mix64, packed, summed, tree_sum, word_hashes, written
 
 FOLDS = 10
-#: How many of a word's last bytes the predictors see, besides the whole beginning; log2 of the slots of their tables.
-LAST = (1, 2, 3, 5)
-SLOTS = (16, 18, 20, 21, 21)
-INPUTS = len(SLOTS) + 1
-#: Evidence levels of the beginning and of the last 5 and 3 bytes, and the place of the bit.
-GATES = 6 * 4 * 3 * 8
+#: Branches of the tree down to a class; frequent words whose followers shape it; frequent words of the second context.
+DEPTH = 9
+NODES = 1 << DEPTH
+PROFILE = 32
+FREQUENT = 63
+CONTEXTS = 4096
+INPUTS = 5
+LEVELS = np.array([2.5, 20.5, 200.5])
+GATES = 4**3 * DEPTH
 STEPS = 33
-REFINERS = 256 * STEPS
-CHUNK = 1 << 16
+#: Inputs that are computed at once, and how slowly a text changes its weights.
+TOKENS = 50_000
+PATIENCE = 60.0
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+_END = np.uint64(0xA0761D6478BD642F)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -49,223 +67,335 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-class _Bits:
-    """Slots of every predictor, bits and gates of a list of words (b"" is the end token)."""
-
-    def __init__(self, words: list[bytes]):
-        spelled = [w + b" " if w else b"\r" for w in words]
-        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        raw = np.frombuffer(b"".join(spelled), dtype=np.uint8)
-        self.bytes = raw.astype(np.int64)
-        self.own = np.repeat(np.arange(len(words)), sizes)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(raw)) - np.repeat(starts, sizes)
-        wide = raw.astype(np.uint64) + np.uint64(1)
-        context = np.zeros(len(raw), dtype=np.uint64)
-        self.bases = []
-        for k in range(1, max(LAST) + 1):
-            prev = np.zeros(len(raw), dtype=np.uint64)
-            prev[k:] = wide[:-k] if k < len(raw) else 0
-            prev[place < k] = 0
-            context = context * np.uint64(257) + prev
-            if k in LAST:
-                self.bases.append(context.copy() if k == 1 else mix64(context + np.uint64(k << 56)))
-        up, down = _power_tables(len(raw) + 1)
+# --- the code of words ------------------------------------------------------------------------------------------------
+
+
+def _tree(counts: np.ndarray, profile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code (DEPTH bits, left-aligned) and its length for symbols with these counts.
+
+    Every node is halved by mass along the direction in which its symbols' profiles (what stood before them) differ
+    most; a symbol with a third of a node's mass stands alone.
+    """
+    code, length = np.zeros(len(counts), dtype=np.int32), np.zeros(len(counts), dtype=np.int32)
+    whole = profile.sum(axis=0) + 1e-3
+    smooth = np.sqrt((profile + 2 * whole / whole.sum()) / (profile.sum(axis=1, keepdims=True) + 2))
+    todo = [(np.arange(len(counts)), 0, 0)]
+    while todo:
+        own, prefix, depth = todo.pop()
+        code[own], length[own] = prefix << (DEPTH - depth), depth
+        if len(own) == 1 or depth == DEPTH:
+            continue
+        mass = counts[own]
+        top = int(np.argmax(mass))
+        if 3 * mass[top] >= mass.sum():
+            left, right = own[[top]], np.delete(own, top)
+        else:
+            x = smooth[own] - np.average(smooth[own], axis=0, weights=mass)
+            direction = np.linalg.eigh((x * mass[:, None]).T @ x)[1][:, -1]
+            direction = direction * (1 if direction[np.argmax(np.abs(direction))] > 0 else -1)
+            order = np.lexsort((own, np.round(x @ direction, 9)))
+            cut = int(np.searchsorted(np.cumsum(mass[order]), mass.sum() / 2))
+            cut = min(max(1, cut), len(own) - 1)
+            left, right = own[order[:cut]], own[order[cut:]]
+        todo += [(np.sort(left), prefix << 1, depth + 1), (np.sort(right), prefix << 1 | 1, depth + 1)]
+    return code, length
+
+
+class Words:
+    """The words that the code names. Symbols are their ranks by count, then `rare` for all other words."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, rare: float):
+        self.size = len(words)
+        self.rare = len(words)
+        self.counts = np.append(np.maximum(counts, 1.0), max(rare, 1.0))
+        hashes = np.array([_END if w == b"" else word_hashes(w)[0][0] for w in words], dtype=np.uint64)
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+        self.end = words.index(b"")
+
+    def shaped(self, profile: np.ndarray) -> None:
+        """Make the tree from counts of (frequent word before, symbol)."""
+        self.code, self.length = _tree(self.counts, profile.T.astype(float))
+        classes = self.code * 16 + self.length
+        self.tail = np.log10(self.counts / np.bincount(classes, weights=self.counts)[classes])
+        first, second = np.zeros(NODES), np.zeros(NODES)
+        for d in range(DEPTH):
+            own = np.flatnonzero(self.length > d)
+            node = (1 << d) | (self.code[own] >> (DEPTH - d))
+            bit = (self.code[own] >> (DEPTH - 1 - d)) & 1
+            first += np.bincount(node, weights=self.counts[own] * (1 - bit), minlength=NODES)
+            second += np.bincount(node, weights=self.counts[own] * bit, minlength=NODES)
+        self.share = ((second + 1e-3) / (first + second + 2e-3)).astype(np.float32)
+        # contexts: the begin of a text is one more symbol
+        self.before = np.append(np.minimum(np.arange(self.size + 1), CONTEXTS - 3), CONTEXTS - 1).astype(np.int32)
+        self.before[self.rare] = CONTEXTS - 2
+        self.near = np.append(self.code >> (DEPTH - 4), 0).astype(np.int32)
+
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at], self.rare).astype(np.int32)
+
+
+class Texts:
+    """The tokens of a run of texts: symbols, hashes, the first token of each token's text, and the spans of words."""
+
+    def __init__(self, texts: list[bytes], words: Words):
+        self.data = b"\n".join(texts)
+        hashes, self.start, self.stop = word_hashes(self.data)
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        at = np.searchsorted(self.start, bounds)
+        self.sizes = np.diff(at) + 1
+        owner = np.repeat(np.arange(len(texts)), np.diff(at))
+        self.place = np.arange(len(hashes)) + owner
+        n = int(self.sizes.sum())
+        self.hashes = np.full(n, _END, dtype=np.uint64)
+        self.hashes[self.place] = hashes
+        self.ids = np.full(n, words.end, dtype=np.int32)
+        self.ids[self.place] = words.symbols(hashes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.own = np.repeat(np.arange(len(texts)), self.sizes)
+
+    def rare(self, words: Words) -> tuple[np.ndarray, list[bytes]]:
+        """The tokens of rare words, and the words as bytes."""
+        at = np.flatnonzero(self.ids[self.place] == words.rare)
+        data = self.data.lower()
+        return self.place[at], [data[a:b] for a, b in zip(self.start[at].tolist(), self.stop[at].tolist())]
+
+    def contexts(self, words: Words) -> list[np.ndarray]:
+        """Three contexts of every token, each a number below CONTEXTS."""
+        n, begin = len(self.ids), self.first[self.own]
+        place = np.arange(n)
+
+        def back(k: int) -> np.ndarray:
+            out = np.full(n, words.size + 1, dtype=np.int32)
+            out[k:] = self.ids[:-k] if k < n else out[k:]
+            return np.where(place - k >= begin, out, words.size + 1)
+
+        one, two, three = back(1), back(2), back(3)
+        last = np.maximum.accumulate(np.where(self.ids < FREQUENT, place, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        ahead = np.where(last >= begin, last[np.maximum(last, 0)], -1)
+        f1 = np.where(last >= begin, self.ids[np.maximum(last, 0)], FREQUENT)
+        f2 = np.where(ahead >= begin, self.ids[np.maximum(ahead, 0)], FREQUENT)
+        return [words.before[one], (f1 * 64 + f2).astype(np.int32), words.near[one] << 8 | words.near[two] << 4 | words.near[three]]
+
+    def frequent_before(self) -> np.ndarray:
+        """The last of the PROFILE most frequent words before each token, PROFILE if there is none."""
+        begin, place = self.first[self.own], np.arange(len(self.ids))
+        last = np.maximum.accumulate(np.where(self.ids < PROFILE, place, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        return np.where(last >= begin, self.ids[np.maximum(last, 0)], PROFILE)
+
+    def phrases(self, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token, context (0 for a text's first phrase) and content hash of every phrase."""
+        n, begin = len(self.ids), self.first[self.own]
+        place = np.arange(n)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum(wide * up[: len(raw)], out=sums[1:])
-            first = np.repeat(starts, sizes)
-            self.bases.append(mix64((sums[:-1] - sums[first]) * down[first] + place.astype(np.uint64)))
-
-    def bit(self, j: int):
-        """Bit j (0 first) of all bytes, the decisions before it in the byte, and each predictor's slot."""
-        node = (1 << j) | (self.bytes >> (8 - j))
-        bit = (self.bytes >> (7 - j)) & 1
-        slots = [(self.bases[0].astype(np.int64) << 8 | node) & 0xFFFF]
-        for base, size in zip(self.bases[1:], SLOTS[1:]):
-            with np.errstate(over="ignore"):
-                slots.append(((base + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - size)).astype(np.int64))
-        return bit, node, slots
-
-
-def _empty() -> list[np.ndarray]:
-    return [np.zeros(2 << size, dtype=np.int64) for size in SLOTS]
+            h = self.hashes
+            three = h.copy()
+            three[1:] += mix64(h[:-1]) * np.uint64(3)
+            three[2:] += mix64(h[:-2] + _MUL) * np.uint64(5)
+            three = mix64(three)
+            since = place - begin
+            cut = ((since >= 2) & (three % np.uint64(every) == 0)) | (since == 2)
+            starts = np.flatnonzero(np.concatenate([[False], cut[:-1]]) | (since == 0))
+            context = np.where(since[starts] == 0, np.uint64(0), three[np.maximum(starts - 1, 0)] | np.uint64(1))
+            # the hash of a phrase: its tokens' hashes, each turned by its place in the phrase
+            sizes = np.diff(np.append(starts, n))
+            turn = mix64((place - np.repeat(starts, sizes)).astype(np.uint64) + _MUL) | np.uint64(1)
+            content = mix64(np.add.reduceat(mix64(h) * turn, starts)) if n else h
+        return starts, context.view(np.int64), content.view(np.int64)
 
 
-def count_contexts(tables: list[np.ndarray], words: list[bytes], counts: np.ndarray, frequent: np.ndarray) -> None:
-    """Add the bits of words, `counts` times each; the last predictor learns from frequent words only."""
-    b = _Bits(words)
-    often = frequent[b.own]
-    weight = counts[b.own]
-    for j in range(8):
-        bit, _, slots = b.bit(j)
-        for k, slot in enumerate(slots):
-            if k == len(SLOTS) - 1:
-                np.add.at(tables[k], 2 * slot[often] + bit[often], weight[often])
-            else:
-                np.add.at(tables[k], 2 * slot + bit, weight)
+def _runs(texts: list[str | None], words: Words, most: int = 1 << 18):
+    """Runs of texts with their tokens: (first, past, Texts)."""
+    data = [(t or "").encode("utf-8", "replace") for t in texts]
+    for a, b in chunks(data, most):
+        yield a, b, Texts(data[a:b], words)
 
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+# --- mixing -----------------------------------------------------------------------------------------------------------
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -18, 18)))
 
 
+class Rows:
+    """The decisions of a stretch of tokens, in their order: token (place in the stretch), node, bit and slots."""
+
+    def __init__(self, texts: Texts, words: Words, contexts: list[np.ndarray], stretch: np.ndarray):
+        ids = texts.ids[stretch]
+        length = words.length[ids]
+        total = int(length.sum())
+        self.token = np.repeat(np.arange(len(stretch)), length)
+        self.depth = (np.arange(total) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+        code = words.code[ids][self.token]
+        self.node = (1 << self.depth) | (code >> (DEPTH - self.depth))
+        self.bit = (code >> (DEPTH - 1 - self.depth)) & 1
+        self.slots = [(c[stretch][self.token] << DEPTH) | self.node for c in contexts]
+
+
+def _empty() -> list[np.ndarray]:
+    return [np.zeros(2 * CONTEXTS * NODES, dtype=np.int32) for _ in range(INPUTS - 2)]
+
+
 class Mixer:
-    """Predictions for the bits of words from context counts, gate weights and the refining stage."""
+    """Predictions from context counts, gated weights and the refining stage."""
 
-    def __init__(self, tables: list[np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.tables = [t.reshape(-1, 2) for t in tables]
+    def __init__(self, words: Words, tables: list[np.ndarray] | None = None, weights: np.ndarray | None = None):
+        self.words = words
+        self.tables = [t.reshape(-1, 2) for t in tables] if tables is not None else None
+        self.logit = np.log(words.share / (1 - words.share)).astype(np.float32)
         self.weights = self.start() if weights is None else weights
-        self.refine = refine
-        self.curve: np.ndarray | None = None
+        self.curve = np.zeros((GATES, INPUTS))
 
     @staticmethod
     def start() -> np.ndarray:
-        """Weights to begin with: the more evidence the beginning of the word has, the more it counts."""
-        of_beginning = np.array([0.0, 0.4, 0.6, 0.8, 0.95, 1.0])
-        spelling = np.array([0.1, 0.2, 0.35, 0.35])
-        w = np.zeros((6, GATES // 6, INPUTS))
-        w[:, :, :4] = (1 - of_beginning)[:, None, None] * spelling
-        w[:, :, 4] = of_beginning[:, None]
-        return w.reshape(GATES, INPUTS)
-
-    def parts(self, words: list[bytes], seen: np.ndarray, frequent: np.ndarray):
-        """For each of the eight bits: the word of each row, bit, node, inputs and gate. `seen` words leave out themselves."""
-        b = _Bits(words)
-        less, often = seen[b.own].astype(np.float32), frequent[b.own]
-        for j in range(8):
-            bit, node, slots = b.bit(j)
-            inputs = np.empty((len(bit), INPUTS), dtype=np.float32)
-            zero = bit == 0
-            totals = []
-            for k, slot in enumerate(slots):
-                n = self.tables[k][slot].astype(np.float32)
-                take = less * often if k == len(SLOTS) - 1 else less
-                n0 = np.maximum(n[:, 0] - take * zero, 0)
-                n1 = np.maximum(n[:, 1] - take * ~zero, 0)
-                inputs[:, k] = np.log((n1 + 0.05) / (n0 + 0.05))
-                totals.append(n0 + n1)
-            inputs[:, -1] = 0.5
-            yield b.own, bit, node, np.clip(inputs, -12, 12, out=inputs), self.gates(self.level(totals[-1], 0), self.level(totals[-2], 1), self.level(totals[2], 2), j)
-
-    @staticmethod
-    def level(total: np.ndarray, which: int) -> np.ndarray:
-        return np.searchsorted(([0.5, 2.5, 8.5, 64.5, 1000.5], [0.5, 4.5, 32.5], [2.5, 64.5])[which], total)
-
-    @staticmethod
-    def gates(beginning: np.ndarray, last5: np.ndarray, last3: np.ndarray, j: int) -> np.ndarray:
-        return ((beginning.astype(np.int64) * 4 + last5) * 3 + last3) * 8 + j
-
-    def frozen(self) -> None:
-        """Logits and evidence levels of every slot, for scoring: one lookup each instead of two counts and a logarithm."""
-        self.logits, self.levels = [], {}
-        for k, t in enumerate(self.tables):
+        w = np.zeros((GATES, INPUTS))
+        w[:, :4] = (0.1, 0.3, 0.3, 0.3)
+        return w
+
+    def _read(self, n0: np.ndarray, n1: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The logit after these counts, which starts from the node's own."""
+        p = self.words.share[node]
+        return np.log((n1 + 0.8 * p) / (n0 + 0.8 * (1 - p)))
+
+    def learning_inputs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and gates, each decision's own occurrence left out of the counts."""
+        x = np.empty((len(rows.node), INPUTS), dtype=np.float32)
+        x[:, 0], x[:, -1] = self.logit[rows.node], 0.5
+        gate = rows.depth
+        one = rows.bit.astype(np.float32)
+        for k, slot in enumerate(rows.slots):
+            n = self.tables[k][slot].astype(np.float32)
+            n0, n1 = np.maximum(n[:, 0] - (1 - one), 0), np.maximum(n[:, 1] - one, 0)
+            x[:, k + 1] = self._read(n0, n1, rows.node)
+            gate = gate * 4 + np.searchsorted(LEVELS, n0 + n1)
+        return x, gate
+
+    def frozen(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Logits and evidence levels of every slot."""
+        node = np.arange(CONTEXTS * NODES) & (NODES - 1)
+        logits, levels = [], []
+        for t in self.tables:
             n = t.astype(np.float32)
-            self.logits.append(np.clip(np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)), -12, 12))
-            which = {len(SLOTS) - 1: 0, len(SLOTS) - 2: 1, 2: 2}.get(k)
-            if which is not None:
-                self.levels[which] = self.level(n.sum(axis=1), which).astype(np.int8)
-
-    def fixed_parts(self, words: list[bytes]):
-        """As `parts`, with all counts as they are."""
-        b = _Bits(words)
-        for j in range(8):
-            bit, node, slots = b.bit(j)
-            inputs = np.empty((len(bit), INPUTS), dtype=np.float32)
-            for k, slot in enumerate(slots):
-                inputs[:, k] = self.logits[k][slot]
-            inputs[:, -1] = 0.5
-            yield b.own, bit, node, inputs, self.gates(self.levels[0][slots[-1]], self.levels[1][slots[-2]], self.levels[2][slots[2]], j)
-
-    def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return _squash(np.einsum("ij,ij->i", inputs, self.weights[gate]))
-
-    def learn(self, words: list[bytes], counts: np.ndarray, frequent: np.ndarray, refine: np.ndarray) -> np.ndarray:
-        """One online step of each gate's weights on a batch, scaled by a fading sum of curvature; returns each gate's evidence.
+            logits.append(self._read(n[:, 0], n[:, 1], node))
+            levels.append(np.searchsorted(LEVELS, n.sum(axis=1)).astype(np.int8))
+        return logits, levels
+
+    def learn(self, rows: Rows, refine: np.ndarray) -> np.ndarray:
+        """One online step of each gate's weights, scaled by a fading sum of curvature; returns each gate's evidence.
 
         What happened at each mixed probability is added to `refine`.
         """
-        if self.curve is None:
-            self.curve = np.zeros((GATES, INPUTS))
-        mass, grad, bend = np.zeros(GATES), np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS))
-        for own, bit, node, inputs, gate in self.parts(words, counts > 0, frequent):
-            c = counts[own].astype(float)
-            p = self.mixed(inputs, gate)
-            np.add.at(refine, 2 * self.place(p, node) + bit, counts[own])
-            err, var = (bit - p) * c, p * (1 - p) * c
-            mass += np.bincount(gate, weights=c, minlength=GATES)
-            for k in range(INPUTS):
-                grad[:, k] += np.bincount(gate, weights=err * inputs[:, k], minlength=GATES)
-                bend[:, k] += np.bincount(gate, weights=var * inputs[:, k] ** 2, minlength=GATES)
+        x, gate = self.learning_inputs(rows)
+        z = np.einsum("ij,ij->i", x, self.weights.astype(np.float32)[gate])
+        p = _squash(z)
+        np.add.at(refine, 2 * _place(z, rows.node) + rows.bit, 1)
+        err, var = rows.bit - p, p * (1 - p)
+        grad, bend = np.empty((GATES, INPUTS)), np.empty((GATES, INPUTS))
+        for k in range(INPUTS):
+            grad[:, k] = np.bincount(gate, weights=err * x[:, k], minlength=GATES)
+            bend[:, k] = np.bincount(gate, weights=var * x[:, k] ** 2, minlength=GATES)
         self.curve = np.where(self.curve == 0, 10 * bend, 0.9 * self.curve + bend)
         self.weights += np.clip(grad / (self.curve + 1.0), -0.5, 0.5)
-        return mass
-
-    @staticmethod
-    def place(p: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return node * STEPS + np.rint(np.clip(_stretch(p), -8, 8) * 2).astype(np.int64) + STEPS // 2
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability; needs `frozen` first."""
-        out = np.zeros(len(words))
-        for own, bit, node, inputs, gate in self.fixed_parts(words):
-            p = self.mixed(inputs, gate)
-            if self.refine is not None:
-                n = self.refine.reshape(-1, 2)[self.place(p, node)]
-                total = n.sum(axis=1)
-                better = (n[:, 1] + 4 * p) / (total + 4)
-                p = (p + better) / 2
-            p = np.clip(p, 1e-7, 1 - 1e-7)
-            out += np.bincount(own, weights=np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(words))
+        return np.bincount(gate, minlength=GATES).astype(float)
+
+
+def _place(z: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return node * STEPS + np.rint(np.clip(z, -8, 8) * 2).astype(np.int32) + STEPS // 2
+
+
+def _block(since: np.ndarray) -> np.ndarray:
+    """The block of a token by its place in its text: 8 of 16 tokens, 8 of 32 and so on; weights change after each."""
+    level = np.log2(since / 128 + 1).astype(np.int64)
+    return level * 8 + (since - 128 * ((1 << level) - 1)) // (16 << level)
+
+
+class Scorer:
+    """Scores runs of texts, given all that was learned."""
+
+    def __init__(self, words: Words, logits: list, levels: list, weights: np.ndarray, refine: np.ndarray, spelling: lm_spelling.Mixer):
+        self.words, self.logits, self.levels, self.spelling = words, logits, levels, spelling
+        self.own_logit = np.log(words.share / (1 - words.share)).astype(np.float32)
+        self.weights = weights.astype(np.float32)
+        n = refine.reshape(-1, 2).astype(np.float32)
+        self.ones, self.times = n[:, 1], n.sum(axis=1)
+        self.spelled: dict[bytes, float] = {}
+
+    def inputs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        x = np.empty((len(rows.node), INPUTS), dtype=np.float32)
+        x[:, 0], x[:, -1] = self.own_logit[rows.node], 0.5
+        gate = rows.depth
+        for k, slot in enumerate(rows.slots):
+            x[:, k + 1] = self.logits[k][slot]
+            gate = gate * 4 + self.levels[k][slot]
+        return x, gate
+
+    def of_bits(self, z: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log10 of the refined probability of each decision."""
+        p = _squash(z)
+        at = _place(z, node)
+        p = (p + (self.ones[at] + 4 * p) / (self.times[at] + 4)) / 2
+        p = np.clip(p, 1e-7, 1 - 1e-7)
+        return np.log10(np.where(bit == 1, p, 1 - p))
+
+    def of_rare(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of rare words and log10 of their spellings; a task spells each word once."""
+        at, words = texts.rare(self.words)
+        new = sorted(set(words).difference(self.spelled))
+        if len(self.spelled) + len(new) > 400_000:
+            self.spelled.clear()
+            new = sorted(set(words))
+        for a in range(0, len(new), 10_000):
+            part = new[a : a + 10_000]
+            self.spelled.update(zip(part, self.spelling.log10(part).tolist()))
+        return at, np.array([self.spelled[w] for w in words])
+
+    def tokens(self, texts: Texts) -> np.ndarray:
+        """log10 of the probability of every token by its words and letters alone.
+
+        Blocks of tokens (see _block) are taken of all texts together. Each text's weights are the learned ones plus
+        its own correction, which starts at 0 and takes a step by the text's errors after each block.
+        """
+        out = self.words.tail[texts.ids].copy()
+        at, spelled = self.of_rare(texts)
+        out[at] += spelled
+        contexts = texts.contexts(self.words)
+        since = np.arange(len(texts.ids)) - texts.first[texts.own]
+        block = _block(since)
+        order = np.argsort(block, kind="stable")
+        blocks = block[order]
+        change = np.zeros((len(texts.sizes), INPUTS))
+        curve = np.full((len(texts.sizes), INPUTS), PATIENCE)
+        for a in range(0, len(order), TOKENS):
+            stretch = order[a : a + TOKENS]
+            rows = Rows(texts, self.words, contexts, stretch)
+            x, gate = self.inputs(rows)
+            z = np.einsum("ij,ij->i", x, self.weights[gate])
+            own = texts.own[stretch][rows.token]
+            logs = np.empty(len(z))
+            tokens = np.flatnonzero(np.diff(blocks[a : a + TOKENS], prepend=-1))
+            ends = np.searchsorted(rows.token, np.append(tokens, len(stretch)))
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                if lo == hi:
+                    continue
+                xs, who, bit = x[lo:hi], own[lo:hi], rows.bit[lo:hi]
+                z[lo:hi] += np.einsum("ij,ij->i", xs, change[who].astype(np.float32))
+                p = _squash(z[lo:hi])
+                err, var = bit - p, p * (1 - p)
+                low = who[0]
+                for k in range(INPUTS):
+                    grad = np.bincount(who - low, weights=err * xs[:, k])
+                    curve[low : low + len(grad), k] += np.bincount(who - low, weights=var * xs[:, k] ** 2)
+                    change[low : low + len(grad), k] += grad / curve[low : low + len(grad), k]
+            logs = self.of_bits(z, rows.node, rows.bit)
+            out[stretch] += np.bincount(rows.token, weights=logs, minlength=len(stretch))
         return out
 
 
-def _packed(arrays: list[np.ndarray]):
-    """Nonzero chunks of a list of count arrays as (place, compressed counts)."""
-    at = 0
-    for t in arrays:
-        for a in range(0, len(t), CHUNK):
-            part = t[a : a + CHUNK]
-            if part.any():
-                yield at + a // CHUNK, zlib.compress(part.astype("<i8").tobytes(), 1)
-        at += -(-len(t) // CHUNK)
-
-
-def _summed(df: DataFrame, sizes: list[int], kind: type = np.int64) -> list[np.ndarray]:
-    """The sums of the count arrays that tasks packed; their size doesn't depend on the input."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), dtype="<i8") for c in pdf["counts"])
-        return pd.DataFrame({"place": [pdf["place"].iloc[0]], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
-
-    got = {r["place"]: np.frombuffer(zlib.decompress(r["counts"]), dtype="<i8") for r in df.groupBy("place").applyInPandas(add, "place int, counts binary").collect()}
-    out, at = [], 0
-    for n in sizes:
-        t = np.zeros(n, dtype=kind)
-        for a in range(0, n, CHUNK):
-            if at + a // CHUNK in got:
-                t[a : a + CHUNK] = np.minimum(got.pop(at + a // CHUNK), np.iinfo(kind).max)
-        out.append(t)
-        at += -(-n // CHUNK)
-    return out
-
-
-def _rows_of(batches, size: int = 20_000):
-    for b in batches:
-        for a in range(0, b.num_rows, size):
-            part = b.slice(a, size)
-            yield part.column(0), part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), dtype=np.int64)
-
-
-class Model:
-    """What is fitted: word counts with log-probabilities, and the totals of the training tokens."""
-
-    def __init__(self, words: DataFrame, n: int, v: int, scorer):
-        self.words, self.n, self.v, self.scorer = words, n, v, scorer
+# --- fitting ----------------------------------------------------------------------------------------------------------
 
 
 def count_words(docs: DataFrame, *, folds: int = FOLDS, flush: int = 300_000) -> DataFrame:
@@ -305,124 +435,292 @@ def _threshold(words: DataFrame, most: int) -> int:
     return max(2, t)
 
 
-def fit(docs: DataFrame, *, folds: int = FOLDS, frequent_words: int = 1 << 17) -> Model:
-    """Fit on the training rows of docs (doc_id, text). Every pass runs over the table of distinct words."""
-    spark, docs = docs.sparkSession, id_and_text(docs)
-    words = written(count_words(docs, folds=folds), "lm-words")
-    total = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-    often = _threshold(words, frequent_words)
-    trained = words.filter("c > 0")
+class Model:
+    """What is fitted: word counts, their sum and number, and (the tree's words, all that was learned of decisions)."""
 
-    def contexts(batches):
-        tables = _empty()
-        for _, w, c in _rows_of(batches):
-            count_contexts(tables, w, c, c >= often)
-        for place, counts in _packed(tables):
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([counts], pa.binary())], names=["place", "counts"])
+    def __init__(self, counts: DataFrame, n: int, v: int, learned: tuple):
+        self.counts, self.n, self.v, self.learned = counts, n, v, learned
 
-    tables = _summed(trained.mapInArrow(contexts, "place int, counts binary"), [2 << s for s in SLOTS], np.uint32)
-    held = spark.sparkContext.broadcast(tables)
 
-    def weights(batches):
-        mixer, refine, mass = Mixer(held.value), np.zeros(2 * REFINERS, dtype=np.int64), np.zeros(GATES)
-        for _, w, c in _rows_of(batches, 2_000):
-            mass += mixer.learn(w, c, c >= often, refine)
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (mixer.weights.tobytes(), mass.tobytes(), zlib.compress(refine.tobytes(), 1))], names=["weights", "mass", "refine"])
-
-    # one row per task, of a fixed size: averaged by evidence in a few tasks, then here
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        top, under, refine = np.zeros((GATES, INPUTS)), np.zeros(GATES), np.zeros(2 * REFINERS, dtype=np.int64)
+def _scorer(learned: tuple) -> Scorer:
+    words, logits, levels, weights, refine, spelled, spelled_weights, spelled_refine = learned
+    spelling = lm_spelling.Mixer(spelled, spelled_weights, spelled_refine)
+    spelling.frozen()
+    spelling.tables = []
+    return Scorer(words, logits, levels, weights, refine, spelling)
+
+
+_COUNTS = "place int, task int, counts binary"
+
+
+def _counts_of(arrays: list[np.ndarray]):
+    task = TaskContext.get().partitionId()
+    for place, counts in packed(arrays):
+        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([task], pa.int32()), pa.array([counts], pa.binary())], names=["place", "task", "counts"])
+
+
+_LEARNED = "place int, task int, weights binary, mass binary, refine binary"
+
+
+def _learned_of(weights: np.ndarray, mass: np.ndarray, refine: np.ndarray):
+    values = (weights.tobytes(), mass.tobytes(), zlib.compress(refine.tobytes(), 1))
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x], pa.binary()) for x in values)], names=["place", "task", "weights", "mass", "refine"])
+
+
+def _averaged(df: DataFrame, label: str, start: np.ndarray, refiners: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of all tasks averaged by evidence, and the sum of their refining counts."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, under, refine = np.zeros(start.shape), np.zeros(len(start)), np.zeros(2 * refiners, dtype=np.int64)
         for w, m, r in zip(pdf["weights"], pdf["mass"], pdf["refine"]):
             mass = np.frombuffer(m)
-            top += np.frombuffer(w).reshape(GATES, INPUTS) * mass[:, None]
+            top += np.frombuffer(w).reshape(start.shape) * mass[:, None]
             under += mass
             refine += np.frombuffer(zlib.decompress(r), dtype=np.int64)
-        mean = np.where(under[:, None] > 0, top / np.maximum(under, 1e-9)[:, None], Mixer.start())
+        mean = np.where(under[:, None] > 0, top / np.maximum(under, 1e-9)[:, None], start)
         return pd.DataFrame({"weights": [mean.tobytes()], "mass": [under.tobytes()], "refine": [zlib.compress(refine.tobytes(), 1)]})
 
-    kinds = "weights binary, mass binary, refine binary"
-    parts = trained.mapInArrow(weights, kinds).groupBy(F.pmod(F.xxhash64("weights"), F.lit(16))).applyInPandas(merged, kinds).toPandas()
-    final = merged(parts).iloc[0]
-    mixed = np.frombuffer(final["weights"]).reshape(GATES, INPUTS)
-    refine = np.frombuffer(zlib.decompress(final["refine"]), dtype=np.int64).astype(np.float64)
+    got = tree_sum(written(df, label), fold).first()
+    if got is None:
+        return start, np.zeros(2 * refiners)
+    return np.frombuffer(got["weights"]).reshape(start.shape), np.frombuffer(zlib.decompress(got["refine"]), dtype=np.int64).astype(np.float64)
+
 
-    def scores(batches):
-        mixer = Mixer(held.value, mixed, refine)
-        mixer.frozen()
-        for column, w, c in _rows_of(batches):
-            yield pa.RecordBatch.from_arrays([column, pa.array(c), pa.array(mixer.log10(w))], names=["word", "c", "score"])
+def _spelling(rare: DataFrame) -> tuple:
+    """Context counts, weights and refinement learned from the table (word, c) of rare training words."""
 
-    return Model(written(words.mapInArrow(scores, "word binary, c long, score double"), "lm-scored"), n, v, scores)
+    def parts(batches, size: int = 2_000):
+        for b in batches:
+            for a in range(0, b.num_rows, size):
+                part = b.slice(a, size)
+                yield part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), dtype=np.int64)
 
+    def contexts(batches):
+        tables = lm_spelling._empty()
+        for w, c in parts(batches, 20_000):
+            lm_spelling.count_contexts(tables, w, c)
+        yield from _counts_of(tables)
 
-_hot: list = []
+    sizes = [2 << s for s in lm_spelling.SLOTS]
+    tables = summed(written(rare.mapInArrow(contexts, _COUNTS), "lm-letters"), sizes, np.uint32)
+    held = rare.sparkSession.sparkContext.broadcast(tables)
 
+    def weights(batches):
+        mixer, refine, mass = lm_spelling.Mixer(held.value), np.zeros(2 * lm_spelling.REFINERS, dtype=np.int64), np.zeros(lm_spelling.GATES)
+        for w, c in parts(batches):
+            mass += mixer.learn(w, c, refine)
+        yield from _learned_of(mixer.weights, mass, refine)
 
-def _places(words: pa.Array) -> dict:
-    """The place of each hot word; kept for the tasks of a worker that share them."""
-    if not _hot or _hot[0] is not words:
-        _hot[:] = [words, dict(zip(words.to_pylist(), range(len(words))))]
-    return _hot[1]
+    return tables, *_averaged(rare.mapInArrow(weights, _LEARNED), "lm-letter-weights", lm_spelling.Mixer.start(), lm_spelling.REFINERS)
 
 
-def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, hot_words: int = 1 << 18, same_docs: bool = False) -> DataFrame:
-    """With same_docs, docs are those that were fitted, so that the model has a score for each of their words already.
+def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Model:
+    """Fit words and letters on the training rows of docs (doc_id, text); phrases come in `score`."""
+    spark, docs = docs.sparkSession, id_and_text(docs)
+    counts = written(count_words(docs, folds=folds), "lm-words")
+    total = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    n, v = total["n"] or 0, total["v"]
+    often = _threshold(counts, hot_words)
+    hot = counts.filter((F.col("c") >= often) | (F.col("word") == b"")).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    names, own = hot["word"].map(bytes).tolist(), hot["c"].to_numpy(dtype=float)
+    if b"" not in names:
+        names, own = [*names, b""], np.append(own, 0.0)
+    words = Words(names, own, n - own.sum())
+    train = docs.filter(~F.coalesce(held_out("doc_id", folds), F.lit(False))).select("text")
+    named = spark.sparkContext.broadcast(words)
+
+    def profile(batches):
+        held = named.value
+        total = np.zeros((PROFILE + 1) * (held.size + 1), dtype=np.int32)
+        for b in batches:
+            for _, _, t in _runs(b.column(0).to_pylist(), held):
+                np.add.at(total, t.frequent_before() * (held.size + 1) + t.ids, 1)
+        yield from _counts_of([total])
 
-    One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    cells = summed(written(train.mapInArrow(profile, _COUNTS), "lm-profile"), [(PROFILE + 1) * (words.size + 1)], np.int32)
+    words.shaped(cells[0].reshape(PROFILE + 1, -1))
+    del cells
+    shaped = spark.sparkContext.broadcast(words)
+
+    def contexts(batches):
+        held, tables = shaped.value, _empty()
+        for b in batches:
+            for _, _, t in _runs(b.column(0).to_pylist(), held):
+                found = t.contexts(held)
+                for a in range(0, len(t.ids), TOKENS):
+                    rows = Rows(t, held, found, np.arange(a, min(a + TOKENS, len(t.ids))))
+                    for table, slot in zip(tables, rows.slots):
+                        np.add.at(table, 2 * slot + rows.bit, 1)
+        yield from _counts_of(tables)
+
+    tables = summed(written(train.mapInArrow(contexts, _COUNTS), "lm-contexts"), [len(t) for t in _empty()], np.int32)
+    counted = spark.sparkContext.broadcast(tables)
+
+    def weights(batches):
+        held = shaped.value
+        mixer, refine, mass = Mixer(held, counted.value), np.zeros(2 * NODES * STEPS, dtype=np.int64), np.zeros(GATES)
+        for b in batches:
+            for _, _, t in _runs(b.column(0).to_pylist(), held):
+                found = t.contexts(held)
+                for a in range(0, len(t.ids), TOKENS):
+                    mass += mixer.learn(Rows(t, held, found, np.arange(a, min(a + TOKENS, len(t.ids)))), refine)
+        yield from _learned_of(mixer.weights, mass, refine)
+
+    learned = _averaged(train.mapInArrow(weights, _LEARNED), "lm-weights", Mixer.start(), NODES * STEPS)
+    logits, levels = Mixer(words, tables).frozen()
+    counted.unpersist()
+    spelled = _spelling(counts.filter((F.col("c") > 0) & (F.col("c") < often) & (F.col("word") != b"")))
+    return Model(counts, n, v, (words, logits, levels, *learned, *spelled))
+
+
+# --- phrases ----------------------------------------------------------------------------------------------------------
+
+#: Bounds of the counts and shares that tell apart how a phrase was predicted.
+TIMES = (1, 2, 4, 8)
+SHARES = (0.25, 0.5, 0.75, 0.999)
+
+
+def _kind(times: Column, all_: Column) -> Column:
+    """The number of (count, share) of a predicted phrase."""
+    size, share = F.lit(0), F.lit(0)
+    for t in TIMES:
+        size = size + (times > t).cast("int")
+    for s in SHARES:
+        share = share + (times / all_ >= s).cast("int")
+    return size * 5 + share
+
+
+def _hit_chances(kinds: pd.DataFrame, rounds: int = 30) -> np.ndarray:
+    """The probability that a predicted phrase comes, for each (kind, history): three predictors of pairs of features,
+    mixed by weights that the history selects, learned in rounds and refined by what happened to each triple."""
+    n = np.zeros((5, 5, 9, 2))
+    for r in kinds.itertuples():
+        n[r.kind // 5, r.kind % 5, r.history] += (r.n - r.hits, r.hits)
+    x = np.empty((5, 5, 9, 4))
+    for k, axis in enumerate((2, 1, 0)):
+        part = n.sum(axis=axis, keepdims=True) + 0.5
+        x[..., k] = np.log(part[..., 1] / part[..., 0])
+    x[..., 3] = 0.5
+    w = np.tile(np.array([0.4, 0.3, 0.3, 0.0]), (9, 1))
+    for _ in range(rounds):
+        p = _squash(np.einsum("abhk,hk->abh", x, w))
+        total = n.sum(axis=-1)
+        grad = np.einsum("abh,abhk->hk", n[..., 1] - total * p, x)
+        bend = np.einsum("abh,abhk->hk", total * p * (1 - p), x**2)
+        w += 0.5 * grad / (bend + 1.0)
+    p = _squash(np.einsum("abhk,hk->abh", x, w))
+    p = (p + (n[..., 1] + 4 * p) / (n.sum(axis=-1) + 4)) / 2
+    return np.clip(p, 1e-6, 1 - 1e-6).reshape(-1)
+
+
+def _corpus_phrases(phrases: DataFrame) -> DataFrame:
+    """(context, n, c, best): how often a context occurs in training texts, and its most frequent phrase (ties: by hash)."""
+    known = phrases.filter("train and context <> 0").groupBy("context", "content").agg(F.count("*").alias("c"))
+    best = F.max(F.struct("c", "content")).alias("b")
+    return known.groupBy("context").agg(F.sum("c").alias("n"), best).select("context", "n", "b.c", F.col("b.content").alias("best"))
+
+
+def _met(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Every phrase (row, seq, train, own) with whether one was predicted and came, and the kind of the prediction."""
+    total = corpus.agg(F.sum("n")).first()[0] or 0
+    least = max(2.0, total / 100_000)  # at most 100,000 contexts have so many phrases
+    hot = corpus.filter(F.col("n") >= least).select(F.col("context").alias("h_context"), F.col("n").alias("h_n"), F.col("c").alias("h_c"), F.col("best").alias("h_best"))
+    rest = corpus.filter(F.col("n") < least).select(F.col("context").alias("r_context"), "n", "c", "best")
+    out = phrases.join(F.broadcast(hot), F.col("context") == F.col("h_context"), "left")
+    # rows that met a hot context are spread by an even hash of their own; contexts are odd
+    key = F.when(F.col("h_n").isNotNull() | (F.col("context") == 0), F.shiftleft(F.xxhash64("row", "seq"), 1)).otherwise(F.col("context"))
+    out = out.withColumn("key", key).join(rest, F.col("key") == F.col("r_context"), "left")
+    n, c, best = (F.coalesce(f"h_{k}", k) for k in ("n", "c", "best"))
+    same = F.col("content") == best
+    mine = F.col("train").cast("int")
+    n, c = n - mine, c - F.when(same, mine).otherwise(0)
+    some = F.coalesce(c > 0, F.lit(False))
+    return out.select("row", "seq", "train", "own", F.when(some, _kind(c, n)).alias("kind"), F.when(some, same).alias("hit"))
+
+
+def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 10) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, and
+    n_phrases and n_predicted (the phrases that came as predicted). The phrases of the corpus are those of docs."""
     spark, docs = docs.sparkSession, id_and_text(docs)
     n, v = model.n, model.v
-    often = _threshold(model.words, hot_words)
-    hot = model.words.filter(F.col("c") >= often).toArrow()
-    counts = hot.column("c").to_numpy().astype(float)
-    base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-    held = spark.sparkContext.broadcast((hot.column("word").combine_chunks(), np.append(base, 0.0), np.append(hot.column("score").to_numpy(), 0.0)))
-    del hot
     kind = docs.schema["doc_id"].dataType.simpleString()
+    held = spark.sparkContext.broadcast(model.learned)
+    docs = docs.select("doc_id", "text", F.coalesce(held_out("doc_id", folds), F.lit(False)).alias("held_out"))
+    base = np.log10((model.learned[0].counts[:-1] + 0.1) / (n + 0.1 * (v + 1)))
 
     def rows(batches):
-        words, base, own = held.value
-        get = _places(words).get
+        scorer = _scorer(held.value)
+        words = scorer.words
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for text in b.column(1).to_pylist():
-                w = tokens(text)
-                w.append(b"")
-                ids = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-                rare = Counter(w[i] for i in np.flatnonzero(ids < 0).tolist())
-                known = len(w) - rare.total()
-                for c, x in zip(cols, (row, len(w), len(text.encode("utf-8", "replace")), known, float(base[ids].sum()), float(own[ids].sum()), list(rare.items()))):
-                    c.append(x)
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))]
-            cols[6] = [[{"word": w, "times": t} for w, t in x] for x in cols[6]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "row", "n_tokens", "n_bytes", "known", "base", "own", "rare"])
-
-    first = written(docs.mapInArrow(rows, f"doc_id {kind}, row long, n_tokens long, n_bytes long, known long, base double, own double, rare array<struct<word: binary, times: int>>"), "lm-rows", codec="zstd")
-    parts = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    known = model.words
-    if not same_docs:
-        new = parts.select("word").distinct().join(known, "word", "left_anti").select("word", F.lit(0).cast("long").alias("c"))
-        known = known.unionByName(new.mapInArrow(model.scorer, "word binary, c long, score double"))
-    parts = parts.join(known, "word")
+            for a, z, t in _runs(b.column(1).to_pylist(), words):
+                k = z - a
+                at, spelled = t.rare(words)
+                logs = scorer.tokens(t)
+                named = t.ids != words.rare
+                starts, context, content = t.phrases(every)
+                of_text = np.searchsorted(starts, np.append(t.first, len(t.ids)))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(of_text, pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(context), pa.array(content), pa.array(np.add.reduceat(logs, starts).astype(np.float32))], names=["context", "content", "own"]),
+                )
+                rare: list[Counter] = [Counter() for _ in range(k)]
+                for i, w in zip(t.own[at].tolist(), spelled):
+                    rare[i][w] += 1
+                rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+                bytes_ = [len(x.encode("utf-8", "replace")) for x in b.column(1).slice(a, k).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(a, k),
+                        b.column(2).slice(a, k),
+                        pa.array(np.arange(row, row + k)),
+                        pa.array(t.sizes.astype(np.int64)),
+                        pa.array(bytes_, pa.int64()),
+                        pa.array(np.add.reduceat(named.astype(np.int64), t.first)),
+                        pa.array(np.add.reduceat(np.where(named, np.append(base, 0.0)[t.ids], 0.0), t.first)),
+                        pa.array([[{"word": w, "times": x} for w, x in r.items()] for r in rare], rare_kind),
+                        lists,
+                    ],
+                    names=["doc_id", "held_out", "row", "n_tokens", "n_bytes", "known", "base", "rare", "phrases"],
+                )
+                row += k
+
+    columns = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_bytes long, known long, base double, rare array<struct<word: binary, times: int>>, phrases array<struct<context: long, content: long, own: float>>"
+    first = written(docs.mapInArrow(rows, columns), "lm-rows", codec="zstd")
+    phrases = first.select("row", (~F.col("held_out")).alias("train"), F.posexplode("phrases").alias("seq", "p")).select("row", "seq", "train", "p.*")
+    corpus = written(_corpus_phrases(phrases), "lm-phrases")
+    met = _met(phrases, corpus)
+    w = Window.partitionBy("row").orderBy("seq")
+    outcome = F.coalesce(F.col("hit").cast("int") + 1, F.lit(0))
+    history = F.coalesce(F.lag(outcome, 1).over(w), F.lit(0)) * 3 + F.coalesce(F.lag(outcome, 2).over(w), F.lit(0))
+    met = written(met.withColumn("history", history).select("row", "train", "own", "hit", "kind", "history"), "lm-met", codec="zstd")
+    known = met.filter("train and hit is not null").groupBy("kind", "history").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
+    chances = _hit_chances(known.toPandas())
+    at = F.col("kind") * 9 + F.col("history")
+    yes, no = (F.get(F.array(*[F.lit(float(x)) for x in np.log10(p)]), at) for p in (chances, 1 - chances))
+    log = F.when(F.col("hit"), yes).when(~F.col("hit"), no + F.col("own")).otherwise(F.col("own").cast("double"))
+    sums = met.groupBy("row").agg(F.sum(log).alias("score"), F.count("*").alias("n_phrases"), F.sum(F.coalesce(F.col("hit").cast("long"), F.lit(0))).alias("n_predicted"))
+    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(model.counts, "word")
     unit = F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))
-    parts = parts.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum(F.col("times") * unit).alias("b2"), F.sum(F.col("times") * F.col("score")).alias("o2"))
-    out = first.drop("rare").join(parts, "row", "left")
-    total = F.col("own") + F.coalesce("o2", F.lit(0.0))
+    missing = math.log10(0.1 / (n + 0.1 * (v + 1)))
+    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum("times").alias("met"), F.sum(F.col("times") * unit).alias("b2"))
+    out = first.select("doc_id", "held_out", "row", "n_tokens", "n_bytes", "known", "base").join(sums, "row").join(rare, "row", "left")
+    unmet = F.col("n_tokens") - F.col("known") - F.coalesce("met", F.lit(0))  # words that no fitted text has
     return out.select(
         "doc_id",
-        F.coalesce(held_out("doc_id", folds), F.lit(False)).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("k2", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b2", F.lit(0.0))).alias("base_score"),
-        total.alias("score"),
-        F.when(F.col("n_bytes") > 0, -total / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("b2", F.lit(0.0)) + unmet * F.lit(missing)).alias("base_score"),
+        "score",
+        F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+        "n_phrases",
+        "n_predicted",
     )
 
 
-def score_documents(docs: DataFrame, *, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Fit on the training fold and score every document."""
     docs = id_and_text(docs, id_col, text_col)
-    return score(docs, fit(docs, folds=folds), folds=folds, same_docs=True)
+    return score(docs, fit(docs, folds=folds, **options), folds=folds)
