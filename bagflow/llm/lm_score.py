@@ -22,7 +22,7 @@ What grows with the corpus are Spark tables: the counts of all words, and the ph
 meet in a shuffle join (contexts that hold more than 1/100,000 of all phrases, at most 100,000, are broadcast). The
 tree's words (`hot_words` at most), the contexts of words (4,096 each, at every node of the tree) and of letters have
 sizes of their own at every scale. Where a prediction is learned or a training text is scored, its own occurrence is left
-out of phrase counts.
+out of the counts.
 
 Defined results: null or empty text is the end token alone; rows without a doc_id are training rows; repeated rows
 score alike; an empty table gives an empty result; without training rows all decisions start from even chances.
@@ -233,22 +233,59 @@ class Rows:
         code = words.code[ids][self.token]
         self.node = (1 << self.depth) | (code >> (DEPTH - self.depth))
         self.bit = (code >> (DEPTH - 1 - self.depth)) & 1
-        self.slots = [(c[stretch][self.token] << DEPTH) | self.node for c in contexts]
+        self.slots = [(c[stretch].astype(np.int64) << DEPTH)[self.token] | self.node for c in contexts]
+
+    def count(self, tables: list[np.ndarray]) -> None:
+        """Add these decisions to the tables."""
+        for table, slot in zip(tables, self.slots):
+            np.add.at(table, 2 * slot + self.bit, np.int32(1))
 
 
 def _empty() -> list[np.ndarray]:
     return [np.zeros(2 * CONTEXTS * NODES, dtype=np.int32) for _ in range(INPUTS - 2)]
 
 
-class Mixer:
-    """Predictions from context counts, gated weights and the refining stage."""
+def _level(total: np.ndarray) -> np.ndarray:
+    """Evidence level of a count: 0 to 3."""
+    return (total > LEVELS[0]).astype(np.int8) + (total > LEVELS[1]) + (total > LEVELS[2])
+
+
+def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The logit of each decision: its inputs (rows of x) under its gate's weights (a row for each input)."""
+    z = x[0] * weights[0][gate]
+    for k in range(1, len(x)):
+        z += x[k] * weights[k][gate]
+    return z
+
+
+def _read(n0: np.ndarray, n1: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The logit after these counts, which starts from the node's own share of ones."""
+    return np.log((n1 + np.float32(0.8) * share) / (n0 + np.float32(0.8) * (1 - share)))
+
+
+def frozen(words: Words, tables: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Logits and evidence levels of every slot."""
+    share = words.share[np.arange(CONTEXTS * NODES) & (NODES - 1)]
+    logits, levels = [], []
+    for t in tables:
+        n = t.reshape(-1, 2).astype(np.float32)
+        logits.append(_read(n[:, 0], n[:, 1], share))
+        levels.append(_level(n.sum(axis=1)))
+    return logits, levels
 
-    def __init__(self, words: Words, tables: list[np.ndarray] | None = None, weights: np.ndarray | None = None):
+
+class Learner:
+    """Learns context counts and gated weights in one reading: a decision is predicted from what was counted before it."""
+
+    def __init__(self, words: Words):
         self.words = words
-        self.tables = [t.reshape(-1, 2) for t in tables] if tables is not None else None
         self.logit = np.log(words.share / (1 - words.share)).astype(np.float32)
-        self.weights = self.start() if weights is None else weights
-        self.curve = np.zeros((GATES, INPUTS))
+        self.tables = _empty()
+        self.pairs = [t.view(np.uint64) for t in self.tables]
+        self.weights = self.start().T.copy()
+        self.curve = np.zeros((INPUTS, GATES))
+        self.mass = np.zeros(GATES)
+        self.refine = np.zeros(2 * NODES * STEPS, dtype=np.int64)
 
     @staticmethod
     def start() -> np.ndarray:
@@ -256,55 +293,37 @@ class Mixer:
         w[:, :4] = (0.1, 0.3, 0.3, 0.3)
         return w
 
-    def _read(self, n0: np.ndarray, n1: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """The logit after these counts, which starts from the node's own."""
-        p = self.words.share[node]
-        return np.log((n1 + 0.8 * p) / (n0 + 0.8 * (1 - p)))
-
-    def learning_inputs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs and gates, each decision's own occurrence left out of the counts."""
-        x = np.empty((len(rows.node), INPUTS), dtype=np.float32)
-        x[:, 0], x[:, -1] = self.logit[rows.node], 0.5
-        gate = rows.depth
-        one = rows.bit.astype(np.float32)
+    def inputs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        x = np.empty((INPUTS, len(rows.node)), dtype=np.float32)
+        x[0], x[-1] = self.logit[rows.node], 0.5
+        gate = rows.depth.astype(np.int64)
+        share = self.words.share[rows.node]
         for k, slot in enumerate(rows.slots):
-            n = self.tables[k][slot].astype(np.float32)
-            n0, n1 = np.maximum(n[:, 0] - (1 - one), 0), np.maximum(n[:, 1] - one, 0)
-            x[:, k + 1] = self._read(n0, n1, rows.node)
-            gate = gate * 4 + np.searchsorted(LEVELS, n0 + n1)
+            both = self.pairs[k][slot]
+            n0, n1 = (both & np.uint64(0xFFFFFFFF)).astype(np.float32), (both >> np.uint64(32)).astype(np.float32)
+            x[k + 1] = _read(n0, n1, share)
+            gate = gate * 4 + _level(n0 + n1)
         return x, gate
 
-    def frozen(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Logits and evidence levels of every slot."""
-        node = np.arange(CONTEXTS * NODES) & (NODES - 1)
-        logits, levels = [], []
-        for t in self.tables:
-            n = t.astype(np.float32)
-            logits.append(self._read(n[:, 0], n[:, 1], node))
-            levels.append(np.searchsorted(LEVELS, n.sum(axis=1)).astype(np.int8))
-        return logits, levels
-
-    def learn(self, rows: Rows, refine: np.ndarray) -> np.ndarray:
-        """One online step of each gate's weights, scaled by a fading sum of curvature; returns each gate's evidence.
-
-        What happened at each mixed probability is added to `refine`.
-        """
-        x, gate = self.learning_inputs(rows)
-        z = np.einsum("ij,ij->i", x, self.weights.astype(np.float32)[gate])
+    def learn(self, rows: Rows) -> None:
+        """One online step of each gate's weights, scaled by a fading sum of curvature; then the decisions are counted."""
+        x, gate = self.inputs(rows)
+        z = _mixed(x, gate, self.weights.astype(np.float32))
         p = _squash(z)
-        np.add.at(refine, 2 * _place(z, rows.node) + rows.bit, 1)
-        err, var = rows.bit - p, p * (1 - p)
-        grad, bend = np.empty((GATES, INPUTS)), np.empty((GATES, INPUTS))
+        np.add.at(self.refine, 2 * _place(z, rows.node) + rows.bit, np.int64(1))
+        err, var = rows.bit.astype(np.float32) - p, p * (1 - p)
+        grad, bend = np.empty((INPUTS, GATES)), np.empty((INPUTS, GATES))
         for k in range(INPUTS):
-            grad[:, k] = np.bincount(gate, weights=err * x[:, k], minlength=GATES)
-            bend[:, k] = np.bincount(gate, weights=var * x[:, k] ** 2, minlength=GATES)
+            grad[k] = np.bincount(gate, weights=err * x[k], minlength=GATES)
+            bend[k] = np.bincount(gate, weights=var * x[k] * x[k], minlength=GATES)
         self.curve = np.where(self.curve == 0, 10 * bend, 0.9 * self.curve + bend)
         self.weights += np.clip(grad / (self.curve + 1.0), -0.5, 0.5)
-        return np.bincount(gate, minlength=GATES).astype(float)
+        self.mass += np.bincount(gate, minlength=GATES)
+        rows.count(self.tables)
 
 
 def _place(z: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return node * STEPS + np.rint(np.clip(z, -8, 8) * 2).astype(np.int32) + STEPS // 2
+    return node.astype(np.int64) * STEPS + np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + STEPS // 2
 
 
 def _block(since: np.ndarray) -> np.ndarray:
@@ -316,20 +335,20 @@ def _block(since: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores runs of texts, given all that was learned."""
 
-    def __init__(self, words: Words, logits: list, levels: list, weights: np.ndarray, refine: np.ndarray, spelling: lm_spelling.Mixer):
+    def __init__(self, words: Words, logits: list, levels: list, weights: np.ndarray, refine: np.ndarray, spelling: lm_spelling.Speller):
         self.words, self.logits, self.levels, self.spelling = words, logits, levels, spelling
         self.own_logit = np.log(words.share / (1 - words.share)).astype(np.float32)
-        self.weights = weights.astype(np.float32)
+        self.weights = np.ascontiguousarray(weights.T, dtype=np.float32)
         n = refine.reshape(-1, 2).astype(np.float32)
         self.ones, self.times = n[:, 1], n.sum(axis=1)
         self.spelled: dict[bytes, float] = {}
 
     def inputs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
-        x = np.empty((len(rows.node), INPUTS), dtype=np.float32)
-        x[:, 0], x[:, -1] = self.own_logit[rows.node], 0.5
-        gate = rows.depth
+        x = np.empty((INPUTS, len(rows.node)), dtype=np.float32)
+        x[0], x[-1] = self.own_logit[rows.node], 0.5
+        gate = rows.depth.astype(np.int64)
         for k, slot in enumerate(rows.slots):
-            x[:, k + 1] = self.logits[k][slot]
+            x[k + 1] = self.logits[k][slot]
             gate = gate * 4 + self.levels[k][slot]
         return x, gate
 
@@ -367,29 +386,30 @@ class Scorer:
         block = _block(since)
         order = np.argsort(block, kind="stable")
         blocks = block[order]
-        change = np.zeros((len(texts.sizes), INPUTS))
-        curve = np.full((len(texts.sizes), INPUTS), PATIENCE)
+        change = np.zeros((INPUTS, len(texts.sizes)))
+        curve = np.full((INPUTS, len(texts.sizes)), PATIENCE)
         for a in range(0, len(order), TOKENS):
             stretch = order[a : a + TOKENS]
             rows = Rows(texts, self.words, contexts, stretch)
             x, gate = self.inputs(rows)
-            z = np.einsum("ij,ij->i", x, self.weights[gate])
+            z = _mixed(x, gate, self.weights)
             own = texts.own[stretch][rows.token]
-            logs = np.empty(len(z))
+            ones = rows.bit.astype(np.float32)
             tokens = np.flatnonzero(np.diff(blocks[a : a + TOKENS], prepend=-1))
             ends = np.searchsorted(rows.token, np.append(tokens, len(stretch)))
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 if lo == hi:
                     continue
-                xs, who, bit = x[lo:hi], own[lo:hi], rows.bit[lo:hi]
-                z[lo:hi] += np.einsum("ij,ij->i", xs, change[who].astype(np.float32))
-                p = _squash(z[lo:hi])
-                err, var = bit - p, p * (1 - p)
+                xs, who = x[:, lo:hi], own[lo:hi]
                 low = who[0]
+                if blocks[a + rows.token[lo]]:  # nothing has changed before the first block's end
+                    z[lo:hi] += _mixed(xs, who, change)
+                p = _squash(z[lo:hi])
+                err, var = ones[lo:hi] - p, p * (1 - p)
                 for k in range(INPUTS):
-                    grad = np.bincount(who - low, weights=err * xs[:, k])
-                    curve[low : low + len(grad), k] += np.bincount(who - low, weights=var * xs[:, k] ** 2)
-                    change[low : low + len(grad), k] += grad / curve[low : low + len(grad), k]
+                    grad = np.bincount(who - low, weights=err * xs[k])
+                    curve[k, low : low + len(grad)] += np.bincount(who - low, weights=var * xs[k] * xs[k])
+                    change[k, low : low + len(grad)] += grad / curve[k, low : low + len(grad)]
             logs = self.of_bits(z, rows.node, rows.bit)
             out[stretch] += np.bincount(rows.token, weights=logs, minlength=len(stretch))
         return out
@@ -443,14 +463,12 @@ class Model:
 
 
 def _scorer(learned: tuple) -> Scorer:
-    words, logits, levels, weights, refine, spelled, spelled_weights, spelled_refine = learned
-    spelling = lm_spelling.Mixer(spelled, spelled_weights, spelled_refine)
-    spelling.frozen()
-    spelling.tables = []
-    return Scorer(words, logits, levels, weights, refine, spelling)
+    words, logits, levels, weights, refine, spelled = learned
+    return Scorer(words, logits, levels, weights, refine, lm_spelling.Speller(*spelled))
 
 
 _COUNTS = "place int, task int, counts binary"
+_LEARNED = "place int, task int, counts binary, weights binary, mass binary, refine binary"
 
 
 def _counts_of(arrays: list[np.ndarray]):
@@ -459,16 +477,17 @@ def _counts_of(arrays: list[np.ndarray]):
         yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([task], pa.int32()), pa.array([counts], pa.binary())], names=["place", "task", "counts"])
 
 
-_LEARNED = "place int, task int, weights binary, mass binary, refine binary"
-
-
-def _learned_of(weights: np.ndarray, mass: np.ndarray, refine: np.ndarray):
-    values = (weights.tobytes(), mass.tobytes(), zlib.compress(refine.tobytes(), 1))
-    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x], pa.binary()) for x in values)], names=["place", "task", "weights", "mass", "refine"])
+def _learned_of(tables: list[np.ndarray], weights: np.ndarray, mass: np.ndarray, refine: np.ndarray):
+    """A task's counts in chunks, and its weights at place -1."""
+    none = pa.array([None], pa.binary())
+    for b in _counts_of(tables):
+        yield pa.RecordBatch.from_arrays([*b.columns, none, none, none], names=["place", "task", "counts", "weights", "mass", "refine"])
+    values = (np.ascontiguousarray(weights).tobytes(), mass.tobytes(), zlib.compress(refine.tobytes(), 1))
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), none, *(pa.array([x], pa.binary()) for x in values)], names=["place", "task", "counts", "weights", "mass", "refine"])
 
 
-def _averaged(df: DataFrame, label: str, start: np.ndarray, refiners: int) -> tuple[np.ndarray, np.ndarray]:
-    """The weights of all tasks averaged by evidence, and the sum of their refining counts."""
+def _gathered(df: DataFrame, label: str, sizes: list[int], start: np.ndarray, refiners: int) -> tuple:
+    """The sums of all tasks' counts, their weights averaged by evidence, and the sums of their refining counts."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         top, under, refine = np.zeros(start.shape), np.zeros(len(start)), np.zeros(2 * refiners, dtype=np.int64)
@@ -480,38 +499,26 @@ def _averaged(df: DataFrame, label: str, start: np.ndarray, refiners: int) -> tu
         mean = np.where(under[:, None] > 0, top / np.maximum(under, 1e-9)[:, None], start)
         return pd.DataFrame({"weights": [mean.tobytes()], "mass": [under.tobytes()], "refine": [zlib.compress(refine.tobytes(), 1)]})
 
-    got = tree_sum(written(df, label), fold).first()
+    df = written(df, label)
+    tables = summed(df.filter("place >= 0").select("place", "task", "counts"), sizes, np.int32)
+    got = tree_sum(df.filter("place < 0").select("place", "task", "weights", "mass", "refine"), fold).first()
     if got is None:
-        return start, np.zeros(2 * refiners)
-    return np.frombuffer(got["weights"]).reshape(start.shape), np.frombuffer(zlib.decompress(got["refine"]), dtype=np.int64).astype(np.float64)
+        return tables, start, np.zeros(2 * refiners)
+    return tables, np.frombuffer(got["weights"]).reshape(start.shape), np.frombuffer(zlib.decompress(got["refine"]), dtype=np.int64).astype(np.float64)
 
 
 def _spelling(rare: DataFrame) -> tuple:
     """Context counts, weights and refinement learned from the table (word, c) of rare training words."""
 
-    def parts(batches, size: int = 2_000):
+    def learn(batches, size: int = 4_000):
+        learner = lm_spelling.Learner()
         for b in batches:
             for a in range(0, b.num_rows, size):
                 part = b.slice(a, size)
-                yield part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), dtype=np.int64)
-
-    def contexts(batches):
-        tables = lm_spelling._empty()
-        for w, c in parts(batches, 20_000):
-            lm_spelling.count_contexts(tables, w, c)
-        yield from _counts_of(tables)
-
-    sizes = [2 << s for s in lm_spelling.SLOTS]
-    tables = summed(written(rare.mapInArrow(contexts, _COUNTS), "lm-letters"), sizes, np.uint32)
-    held = rare.sparkSession.sparkContext.broadcast(tables)
-
-    def weights(batches):
-        mixer, refine, mass = lm_spelling.Mixer(held.value), np.zeros(2 * lm_spelling.REFINERS, dtype=np.int64), np.zeros(lm_spelling.GATES)
-        for w, c in parts(batches):
-            mass += mixer.learn(w, c, refine)
-        yield from _learned_of(mixer.weights, mass, refine)
+                learner.learn(part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), dtype=np.int32))
+        yield from _learned_of(learner.tables, learner.weights.T, learner.mass, learner.refine)
 
-    return tables, *_averaged(rare.mapInArrow(weights, _LEARNED), "lm-letter-weights", lm_spelling.Mixer.start(), lm_spelling.REFINERS)
+    return _gathered(rare.mapInArrow(learn, _LEARNED), "lm-letters", [2 << s for s in lm_spelling.SLOTS], lm_spelling.start(), lm_spelling.REFINERS)
 
 
 def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Model:
@@ -534,7 +541,7 @@ def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Mod
         total = np.zeros((PROFILE + 1) * (held.size + 1), dtype=np.int32)
         for b in batches:
             for _, _, t in _runs(b.column(0).to_pylist(), held):
-                np.add.at(total, t.frequent_before() * (held.size + 1) + t.ids, 1)
+                np.add.at(total, t.frequent_before().astype(np.int64) * (held.size + 1) + t.ids, np.int32(1))
         yield from _counts_of([total])
 
     cells = summed(written(train.mapInArrow(profile, _COUNTS), "lm-profile"), [(PROFILE + 1) * (words.size + 1)], np.int32)
@@ -542,35 +549,19 @@ def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Mod
     del cells
     shaped = spark.sparkContext.broadcast(words)
 
-    def contexts(batches):
-        held, tables = shaped.value, _empty()
+    def learn(batches):
+        learner = Learner(shaped.value)
         for b in batches:
-            for _, _, t in _runs(b.column(0).to_pylist(), held):
-                found = t.contexts(held)
-                for a in range(0, len(t.ids), TOKENS):
-                    rows = Rows(t, held, found, np.arange(a, min(a + TOKENS, len(t.ids))))
-                    for table, slot in zip(tables, rows.slots):
-                        np.add.at(table, 2 * slot + rows.bit, 1)
-        yield from _counts_of(tables)
-
-    tables = summed(written(train.mapInArrow(contexts, _COUNTS), "lm-contexts"), [len(t) for t in _empty()], np.int32)
-    counted = spark.sparkContext.broadcast(tables)
-
-    def weights(batches):
-        held = shaped.value
-        mixer, refine, mass = Mixer(held, counted.value), np.zeros(2 * NODES * STEPS, dtype=np.int64), np.zeros(GATES)
-        for b in batches:
-            for _, _, t in _runs(b.column(0).to_pylist(), held):
-                found = t.contexts(held)
+            for _, _, t in _runs(b.column(0).to_pylist(), learner.words):
+                found = t.contexts(learner.words)
                 for a in range(0, len(t.ids), TOKENS):
-                    mass += mixer.learn(Rows(t, held, found, np.arange(a, min(a + TOKENS, len(t.ids)))), refine)
-        yield from _learned_of(mixer.weights, mass, refine)
+                    learner.learn(Rows(t, learner.words, found, np.arange(a, min(a + TOKENS, len(t.ids)))))
+        yield from _learned_of(learner.tables, learner.weights.T, learner.mass, learner.refine)
 
-    learned = _averaged(train.mapInArrow(weights, _LEARNED), "lm-weights", Mixer.start(), NODES * STEPS)
-    logits, levels = Mixer(words, tables).frozen()
-    counted.unpersist()
+    tables, *learned = _gathered(train.mapInArrow(learn, _LEARNED), "lm-learned", [len(t) for t in _empty()], Learner.start(), NODES * STEPS)
+    logits, levels = frozen(words, tables)
     spelled = _spelling(counts.filter((F.col("c") > 0) & (F.col("c") < often) & (F.col("word") != b"")))
-    return Model(counts, n, v, (words, logits, levels, *learned, *spelled))
+    return Model(counts, n, v, (words, logits, levels, *learned, spelled))
 
 
 # --- phrases ----------------------------------------------------------------------------------------------------------

@@ -52,142 +52,139 @@ class _Bits:
             first = np.repeat(starts, sizes)
             self.bases.append(mix64((sums[:-1] - sums[first]) * down[first] + place.astype(np.uint64)))
 
-    def bit(self, j: int):
+    def bit(self, j: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Bit j (0 first) of all bytes, the decisions before it in the byte, and each predictor's slot."""
         node = (1 << j) | (self.bytes >> (8 - j))
         bit = (self.bytes >> (7 - j)) & 1
         slots = [(self.bases[0].astype(np.int64) << 8 | node) & 0xFFFF]
+        turn = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for base, size in zip(self.bases[1:], SLOTS[1:]):
             with np.errstate(over="ignore"):
-                slots.append(((base + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - size)).astype(np.int64))
+                slots.append(((base + turn) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - size)).astype(np.int64))
         return bit, node, slots
 
 
-def _empty() -> list[np.ndarray]:
-    return [np.zeros(2 << size, dtype=np.int64) for size in SLOTS]
+def _logit(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05))), -12, 12)
 
 
-def count_contexts(tables: list[np.ndarray], words: list[bytes], counts: np.ndarray) -> None:
-    """Add the bits of words, `counts` times each."""
-    b = _Bits(words)
-    weight = counts[b.own]
-    for j in range(8):
-        bit, _, slots = b.bit(j)
-        for k, slot in enumerate(slots):
-            np.add.at(tables[k], 2 * slot + bit, weight)
+def _level(total: np.ndarray, bounds: tuple) -> np.ndarray:
+    out = np.zeros(len(total), dtype=np.int8)
+    for b in bounds:
+        out += total > b
+    return out
 
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+#: Evidence bounds of the tables that gate: the beginning, the last 5 and the last 3 bytes.
+BOUNDS = {4: (0.5, 2.5, 8.5, 64.5, 1000.5), 3: (0.5, 4.5, 32.5), 2: (2.5, 64.5)}
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -18, 18)))
 
 
-class Mixer:
-    """Predictions for the bits of words from context counts, gate weights and the refining stage."""
+def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    z = x[0] * weights[0][gate]
+    for k in range(1, len(x)):
+        z += x[k] * weights[k][gate]
+    return z
 
-    def __init__(self, tables: list[np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.tables = [t.reshape(-1, 2) for t in tables]
-        self.weights = self.start() if weights is None else weights
-        self.refine = refine
-        self.curve: np.ndarray | None = None
 
-    @staticmethod
-    def start() -> np.ndarray:
-        """Weights to begin with: the more evidence the beginning of the word has, the more it counts."""
-        of_beginning = np.array([0.0, 0.4, 0.6, 0.8, 0.95, 1.0])
-        spelling = np.array([0.1, 0.2, 0.35, 0.35])
-        w = np.zeros((6, GATES // 6, INPUTS))
-        w[:, :, :4] = (1 - of_beginning)[:, None, None] * spelling
-        w[:, :, 4] = of_beginning[:, None]
-        return w.reshape(GATES, INPUTS)
+def _place(z: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return node * STEPS + np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + STEPS // 2
 
-    def parts(self, words: list[bytes]) -> Iterator[tuple]:
-        """For each of the eight bits: the word of each row, bit, node, inputs and gate. Words leave out one occurrence of their own."""
-        b = _Bits(words)
-        for j in range(8):
-            bit, node, slots = b.bit(j)
-            inputs = np.empty((len(bit), INPUTS), dtype=np.float32)
-            zero = bit == 0
-            totals = []
-            for k, slot in enumerate(slots):
-                n = self.tables[k][slot].astype(np.float32)
-                n0 = np.maximum(n[:, 0] - zero, 0)
-                n1 = np.maximum(n[:, 1] - ~zero, 0)
-                inputs[:, k] = np.log((n1 + 0.05) / (n0 + 0.05))
-                totals.append(n0 + n1)
-            inputs[:, -1] = 0.5
-            yield b.own, bit, node, np.clip(inputs, -12, 12, out=inputs), self.gates(self.level(totals[-1], 0), self.level(totals[-2], 1), self.level(totals[2], 2), j)
-
-    @staticmethod
-    def level(total: np.ndarray, which: int) -> np.ndarray:
-        return np.searchsorted(([0.5, 2.5, 8.5, 64.5, 1000.5], [0.5, 4.5, 32.5], [2.5, 64.5])[which], total)
-
-    @staticmethod
-    def gates(beginning: np.ndarray, last5: np.ndarray, last3: np.ndarray, j: int) -> np.ndarray:
-        return ((beginning.astype(np.int64) * 4 + last5) * 3 + last3) * 8 + j
-
-    def frozen(self) -> None:
-        """Logits and evidence levels of every slot, for scoring: one lookup each instead of two counts and a logarithm."""
-        self.logits, self.levels = [], {}
-        for k, t in enumerate(self.tables):
-            n = t.astype(np.float32)
-            self.logits.append(np.clip(np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)), -12, 12))
-            which = {len(SLOTS) - 1: 0, len(SLOTS) - 2: 1, 2: 2}.get(k)
-            if which is not None:
-                self.levels[which] = self.level(n.sum(axis=1), which).astype(np.int8)
-
-    def fixed_parts(self, words: list[bytes]) -> Iterator[tuple]:
-        """As `parts`, with all counts as they are."""
+
+def _gate(levels: dict, j: int) -> np.ndarray:
+    return ((levels[4].astype(np.int64) * 4 + levels[3]) * 3 + levels[2]) * 8 + j
+
+
+def start() -> np.ndarray:
+    """Weights to begin with: the more evidence the beginning of the word has, the more it counts."""
+    of_beginning = np.array([0.0, 0.4, 0.6, 0.8, 0.95, 1.0])
+    spelling = np.array([0.1, 0.2, 0.35, 0.35])
+    w = np.zeros((6, GATES // 6, INPUTS))
+    w[:, :, :4] = (1 - of_beginning)[:, None, None] * spelling
+    w[:, :, 4] = of_beginning[:, None]
+    return w.reshape(GATES, INPUTS)
+
+
+class Learner:
+    """Learns counts and weights in one reading: a word is predicted from what was counted before its batch."""
+
+    def __init__(self):
+        self.tables = [np.zeros(2 << size, dtype=np.int32) for size in SLOTS]
+        self.pairs = [t.view(np.uint64) for t in self.tables]
+        self.weights = start().T.copy()
+        self.curve = np.zeros((INPUTS, GATES))
+        self.mass = np.zeros(GATES)
+        self.refine = np.zeros(2 * REFINERS, dtype=np.int64)
+
+    def learn(self, words: list[bytes], counts: np.ndarray) -> None:
+        """One online step of each gate's weights, scaled by a fading sum of curvature; then the words are counted."""
         b = _Bits(words)
+        weight = counts.astype(np.int32)[b.own]
+        c = weight.astype(np.float32)
+        mass, grad, bend = np.zeros(GATES), np.zeros((INPUTS, GATES)), np.zeros((INPUTS, GATES))
+        weights = self.weights.astype(np.float32)
+        counted = []
         for j in range(8):
             bit, node, slots = b.bit(j)
-            inputs = np.empty((len(bit), INPUTS), dtype=np.float32)
+            x, levels = np.empty((INPUTS, len(bit)), dtype=np.float32), {}
+            x[-1] = 0.5
             for k, slot in enumerate(slots):
-                inputs[:, k] = self.logits[k][slot]
-            inputs[:, -1] = 0.5
-            yield b.own, bit, node, inputs, self.gates(self.levels[0][slots[-1]], self.levels[1][slots[-2]], self.levels[2][slots[2]], j)
-
-    def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return _squash(np.einsum("ij,ij->i", inputs, self.weights[gate]))
-
-    def learn(self, words: list[bytes], counts: np.ndarray, refine: np.ndarray) -> np.ndarray:
-        """One online step of each gate's weights on a batch, scaled by a fading sum of curvature; returns each gate's evidence.
-
-        What happened at each mixed probability is added to `refine`.
-        """
-        if self.curve is None:
-            self.curve = np.zeros((GATES, INPUTS))
-        mass, grad, bend = np.zeros(GATES), np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS))
-        for own, bit, node, inputs, gate in self.parts(words):
-            c = counts[own].astype(float)
-            p = self.mixed(inputs, gate)
-            np.add.at(refine, 2 * self.place(p, node) + bit, counts[own])
-            err, var = (bit - p) * c, p * (1 - p) * c
+                both = self.pairs[k][slot]
+                n0, n1 = (both & np.uint64(0xFFFFFFFF)).astype(np.float32), (both >> np.uint64(32)).astype(np.float32)
+                x[k] = _logit(n0, n1)
+                if k in BOUNDS:
+                    levels[k] = _level(n0 + n1, BOUNDS[k])
+                counted.append((self.tables[k], 2 * slot + bit))
+            gate = _gate(levels, j)
+            z = _mixed(x, gate, weights)
+            p = _squash(z)
+            np.add.at(self.refine, 2 * _place(z, node) + bit, weight.astype(np.int64))
+            err, var = (bit.astype(np.float32) - p) * c, p * (1 - p) * c
             mass += np.bincount(gate, weights=c, minlength=GATES)
             for k in range(INPUTS):
-                grad[:, k] += np.bincount(gate, weights=err * inputs[:, k], minlength=GATES)
-                bend[:, k] += np.bincount(gate, weights=var * inputs[:, k] ** 2, minlength=GATES)
+                grad[k] += np.bincount(gate, weights=err * x[k], minlength=GATES)
+                bend[k] += np.bincount(gate, weights=var * x[k] * x[k], minlength=GATES)
         self.curve = np.where(self.curve == 0, 10 * bend, 0.9 * self.curve + bend)
         self.weights += np.clip(grad / (self.curve + 1.0), -0.5, 0.5)
-        return mass
+        self.mass += mass
+        for table, at in counted:
+            np.add.at(table, at, weight)
+
 
-    @staticmethod
-    def place(p: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return node * STEPS + np.rint(np.clip(_stretch(p), -8, 8) * 2).astype(np.int64) + STEPS // 2
+class Speller:
+    """Scores words by fixed tables of logits and evidence levels, weights and refinement."""
+
+    def __init__(self, tables: list[np.ndarray], weights: np.ndarray, refine: np.ndarray):
+        self.logits, self.levels = [], {}
+        for k, t in enumerate(tables):
+            n = t.reshape(-1, 2).astype(np.float32)
+            self.logits.append(_logit(n[:, 0], n[:, 1]))
+            if k in BOUNDS:
+                self.levels[k] = _level(n.sum(axis=1), BOUNDS[k])
+        self.weights = np.ascontiguousarray(weights.T, dtype=np.float32)
+        n = refine.reshape(-1, 2).astype(np.float32)
+        self.ones, self.times = n[:, 1], n.sum(axis=1)
+
+    def bits(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each of the eight bits: the word of each row, the bit, and the probability that it is 1."""
+        b = _Bits(words)
+        for j in range(8):
+            bit, node, slots = b.bit(j)
+            x = np.empty((INPUTS, len(bit)), dtype=np.float32)
+            x[-1] = 0.5
+            for k, slot in enumerate(slots):
+                x[k] = self.logits[k][slot]
+            z = _mixed(x, _gate({k: level[slots[k]] for k, level in self.levels.items()}, j), self.weights)
+            p, at = _squash(z), _place(z, node)
+            p = (p + (self.ones[at] + 4 * p) / (self.times[at] + 4)) / 2
+            yield b.own, bit, np.clip(p, 1e-7, 1 - 1e-7)
 
     def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability; needs `frozen` first."""
+        """log10 of each word's probability."""
         out = np.zeros(len(words))
-        for own, bit, node, inputs, gate in self.fixed_parts(words):
-            p = self.mixed(inputs, gate)
-            if self.refine is not None:
-                n = self.refine.reshape(-1, 2)[self.place(p, node)]
-                total = n.sum(axis=1)
-                better = (n[:, 1] + 4 * p) / (total + 4)
-                p = (p + better) / 2
-            p = np.clip(p, 1e-7, 1 - 1e-7)
+        for own, bit, p in self.bits(words):
             out += np.bincount(own, weights=np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(words))
         return out
