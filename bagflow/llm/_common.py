@@ -31,6 +31,13 @@ def written(df: DataFrame, label: str, *, codec: str = "lz4") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 100_000, megabytes: int = 32) -> DataFrame:
+    """df (a written table) with a broadcast hint if it has at most that many rows and bytes; else joins shuffle."""
+    some = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("n"))
+    n, size = some.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= megabytes << 20 else df
+
+
 def held_out(doc_id: str, folds: int):
     """True where crc32(doc_id as text) mod folds is 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0

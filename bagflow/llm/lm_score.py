@@ -46,7 +46,7 @@ from ._common import chunks, held_out, id_and_text, mix64, packed, summed, tree_
 
 FOLDS = 10
 #: Branches of the tree down to a class; frequent words whose followers shape it; frequent words of the second context.
-DEPTH = 9
+DEPTH = 7
 NODES = 1 << DEPTH
 PROFILE = 32
 FREQUENT = 63
@@ -55,8 +55,9 @@ INPUTS = 5
 LEVELS = np.array([2.5, 20.5, 200.5])
 GATES = 4**3 * DEPTH
 STEPS = 33
+TABLE = 20
 #: Inputs that are computed at once, and how slowly a text changes its weights.
-TOKENS = 50_000
+TOKENS = 8_000
 PATIENCE = 60.0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xA0761D6478BD642F)
@@ -112,6 +113,12 @@ class Words:
         self.order = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.order]
         self.end = words.index(b"")
+        lead = (self.hashes >> np.uint64(64 - TABLE)).astype(np.int64)
+        first = np.flatnonzero(np.diff(lead, prepend=-1))
+        self.table = np.zeros(1 << TABLE, dtype=np.int32)
+        self.table[lead[first]] = first
+        rest = np.setdiff1d(np.arange(len(lead)), first)
+        self.others, self.order_of_others = self.hashes[rest], self.order[rest]
 
     def shaped(self, profile: np.ndarray) -> None:
         """Make the tree from counts of (frequent word before, symbol)."""
@@ -132,8 +139,15 @@ class Words:
         self.near = np.append(self.code >> (DEPTH - 4), 0).astype(np.int32)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
-        return np.where(self.hashes[at] == hashes, self.order[at], self.rare).astype(np.int32)
+        """The symbol of each word: by a table of the hashes' leading bits, then by search for those that it doesn't hold."""
+        at = self.table[(hashes >> np.uint64(64 - TABLE)).astype(np.int64)]
+        out = np.where(self.hashes[at] == hashes, self.order[at], self.rare).astype(np.int32)
+        rest = np.flatnonzero(out == self.rare)
+        at = np.minimum(np.searchsorted(self.others, hashes[rest]), max(len(self.others) - 1, 0))
+        if len(self.others):
+            hit = self.others[at] == hashes[rest]
+            out[rest[hit]] = self.order_of_others[at[hit]]
+        return out
 
 
 class Texts:
@@ -286,6 +300,7 @@ class Learner:
         self.curve = np.zeros((INPUTS, GATES))
         self.mass = np.zeros(GATES)
         self.refine = np.zeros(2 * NODES * STEPS, dtype=np.int64)
+        self.batches = 0
 
     @staticmethod
     def start() -> np.ndarray:
@@ -310,13 +325,14 @@ class Learner:
         x, gate = self.inputs(rows)
         z = _mixed(x, gate, self.weights.astype(np.float32))
         p = _squash(z)
-        np.add.at(self.refine, 2 * _place(z, rows.node) + rows.bit, np.int64(1))
-        err, var = rows.bit.astype(np.float32) - p, p * (1 - p)
-        grad, bend = np.empty((INPUTS, GATES)), np.empty((INPUTS, GATES))
-        for k in range(INPUTS):
-            grad[k] = np.bincount(gate, weights=err * x[k], minlength=GATES)
-            bend[k] = np.bincount(gate, weights=var * x[k] * x[k], minlength=GATES)
-        self.curve = np.where(self.curve == 0, 10 * bend, 0.9 * self.curve + bend)
+        self.refine += np.bincount(2 * _place(z, rows.node) + rows.bit, minlength=len(self.refine))
+        err = rows.bit.astype(np.float32) - p
+        grad = np.stack([np.bincount(gate, weights=err * x[k], minlength=GATES) for k in range(INPUTS)])
+        if self.batches % 4 == 0:  # the curvature changes slowly
+            var = p * (1 - p)
+            bend = np.stack([np.bincount(gate, weights=var * x[k] * x[k], minlength=GATES) for k in range(INPUTS)])
+            self.curve = np.where(self.curve == 0, 10 * bend, 0.7 * self.curve + 3 * bend)
+        self.batches += 1
         self.weights += np.clip(grad / (self.curve + 1.0), -0.5, 0.5)
         self.mass += np.bincount(gate, minlength=GATES)
         rows.count(self.tables)
@@ -367,8 +383,8 @@ class Scorer:
         if len(self.spelled) + len(new) > 400_000:
             self.spelled.clear()
             new = sorted(set(words))
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
+        for a in range(0, len(new), 2_000):
+            part = new[a : a + 2_000]
             self.spelled.update(zip(part, self.spelling.log10(part).tolist()))
         return at, np.array([self.spelled[w] for w in words])
 
@@ -418,7 +434,7 @@ class Scorer:
 # --- fitting ----------------------------------------------------------------------------------------------------------
 
 
-def count_words(docs: DataFrame, *, folds: int = FOLDS, flush: int = 300_000) -> DataFrame:
+def count_words(docs: DataFrame, *, folds: int = FOLDS, flush: int = 500_000) -> DataFrame:
     """(word, c) for every distinct token of all rows; c counts training rows only. Counted in tasks before the shuffle."""
     df = docs.select("text", (~F.coalesce(held_out("doc_id", folds), F.lit(False))).alias("train"))
 
@@ -510,12 +526,13 @@ def _gathered(df: DataFrame, label: str, sizes: list[int], start: np.ndarray, re
 def _spelling(rare: DataFrame) -> tuple:
     """Context counts, weights and refinement learned from the table (word, c) of rare training words."""
 
-    def learn(batches, size: int = 4_000):
+    def learn(batches, size: int = 2_000):
         learner = lm_spelling.Learner()
         for b in batches:
             for a in range(0, b.num_rows, size):
                 part = b.slice(a, size)
                 learner.learn(part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), dtype=np.int32))
+        learner.count()
         yield from _learned_of(learner.tables, learner.weights.T, learner.mass, learner.refine)
 
     return _gathered(rare.mapInArrow(learn, _LEARNED), "lm-letters", [2 << s for s in lm_spelling.SLOTS], lm_spelling.start(), lm_spelling.REFINERS)
@@ -629,7 +646,7 @@ def _met(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.select("row", "seq", "train", "own", F.when(some, _kind(c, n)).alias("kind"), F.when(some, same).alias("hit"))
 
 
-def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 10) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 12) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, and
     n_phrases and n_predicted (the phrases that came as predicted). The phrases of the corpus are those of docs."""
     spark, docs = docs.sparkSession, id_and_text(docs)

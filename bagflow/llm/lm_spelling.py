@@ -1,7 +1,7 @@
 """The spelling of words that the code of `lm_score` doesn't name, by logistic context mixing over their bits.
 
 A word is spelled in bytes and closed by a space; every byte is eight binary decisions. Predictors estimate each bit from
-hashed contexts (the last 1, 2, 3 and 5 bytes of the word, and its whole beginning), each from how often 0 and 1 followed
+hashed contexts (the last 2 and 4 bytes of the word, and its whole beginning), each from how often 0 and 1 followed
 that context in the training words. Their logits are mixed with weights that a gate selects by how much evidence the
 longest contexts have; a last stage refines the mixed probability by what happened at such probabilities.
 """
@@ -15,11 +15,11 @@ import numpy as np
 from ._common import _power_tables, mix64
 
 #: How many of a word's last bytes the predictors see, besides the whole beginning; log2 of the slots of their tables.
-LAST = (1, 2, 3, 5)
-SLOTS = (16, 18, 20, 21, 21)
+LAST = (2, 4)
+SLOTS = (18, 20, 20)
 INPUTS = len(SLOTS) + 1
-#: Evidence levels of the beginning and of the last 5 and 3 bytes, and the place of the bit.
-GATES = 6 * 4 * 3 * 8
+#: Evidence levels of the beginning and of the last 4 bytes, and the place of the bit.
+GATES = 6 * 4 * 8
 STEPS = 33
 REFINERS = 256 * STEPS
 
@@ -44,7 +44,7 @@ class _Bits:
             prev[place < k] = 0
             context = context * np.uint64(257) + prev
             if k in LAST:
-                self.bases.append(context.copy() if k == 1 else mix64(context + np.uint64(k << 56)))
+                self.bases.append(mix64(context + np.uint64(k << 56)))
         up, down = _power_tables(len(raw) + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(raw) + 1, dtype=np.uint64)
@@ -56,9 +56,9 @@ class _Bits:
         """Bit j (0 first) of all bytes, the decisions before it in the byte, and each predictor's slot."""
         node = (1 << j) | (self.bytes >> (8 - j))
         bit = (self.bytes >> (7 - j)) & 1
-        slots = [(self.bases[0].astype(np.int64) << 8 | node) & 0xFFFF]
+        slots = []
         turn = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for base, size in zip(self.bases[1:], SLOTS[1:]):
+        for base, size in zip(self.bases, SLOTS):
             with np.errstate(over="ignore"):
                 slots.append(((base + turn) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - size)).astype(np.int64))
         return bit, node, slots
@@ -75,8 +75,8 @@ def _level(total: np.ndarray, bounds: tuple) -> np.ndarray:
     return out
 
 
-#: Evidence bounds of the tables that gate: the beginning, the last 5 and the last 3 bytes.
-BOUNDS = {4: (0.5, 2.5, 8.5, 64.5, 1000.5), 3: (0.5, 4.5, 32.5), 2: (2.5, 64.5)}
+#: Evidence bounds of the tables that gate: the beginning and the last 4 bytes.
+BOUNDS = {2: (0.5, 2.5, 8.5, 64.5, 1000.5), 1: (0.5, 4.5, 32.5)}
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -95,16 +95,15 @@ def _place(z: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def _gate(levels: dict, j: int) -> np.ndarray:
-    return ((levels[4].astype(np.int64) * 4 + levels[3]) * 3 + levels[2]) * 8 + j
+    return (levels[2].astype(np.int64) * 4 + levels[1]) * 8 + j
 
 
 def start() -> np.ndarray:
     """Weights to begin with: the more evidence the beginning of the word has, the more it counts."""
     of_beginning = np.array([0.0, 0.4, 0.6, 0.8, 0.95, 1.0])
-    spelling = np.array([0.1, 0.2, 0.35, 0.35])
     w = np.zeros((6, GATES // 6, INPUTS))
-    w[:, :, :4] = (1 - of_beginning)[:, None, None] * spelling
-    w[:, :, 4] = of_beginning[:, None]
+    w[:, :, :2] = (1 - of_beginning)[:, None, None] * np.array([0.4, 0.6])
+    w[:, :, 2] = of_beginning[:, None]
     return w.reshape(GATES, INPUTS)
 
 
@@ -118,15 +117,17 @@ class Learner:
         self.curve = np.zeros((INPUTS, GATES))
         self.mass = np.zeros(GATES)
         self.refine = np.zeros(2 * REFINERS, dtype=np.int64)
+        self.batches = 0
+        self.waiting: list = []
 
     def learn(self, words: list[bytes], counts: np.ndarray) -> None:
-        """One online step of each gate's weights, scaled by a fading sum of curvature; then the words are counted."""
+        """One online step of each gate's weights, scaled by a fading sum of curvature; words are counted a few batches later."""
         b = _Bits(words)
-        weight = counts.astype(np.int32)[b.own]
-        c = weight.astype(np.float32)
+        c = counts.astype(np.float32)[b.own]
         mass, grad, bend = np.zeros(GATES), np.zeros((INPUTS, GATES)), np.zeros((INPUTS, GATES))
         weights = self.weights.astype(np.float32)
-        counted = []
+        slow = self.batches % 4 == 0  # the curvature changes slowly
+        counted: list[list[np.ndarray]] = [[] for _ in SLOTS]
         for j in range(8):
             bit, node, slots = b.bit(j)
             x, levels = np.empty((INPUTS, len(bit)), dtype=np.float32), {}
@@ -137,21 +138,34 @@ class Learner:
                 x[k] = _logit(n0, n1)
                 if k in BOUNDS:
                     levels[k] = _level(n0 + n1, BOUNDS[k])
-                counted.append((self.tables[k], 2 * slot + bit))
+                counted[k].append(2 * slot + bit)
             gate = _gate(levels, j)
             z = _mixed(x, gate, weights)
             p = _squash(z)
-            np.add.at(self.refine, 2 * _place(z, node) + bit, weight.astype(np.int64))
-            err, var = (bit.astype(np.float32) - p) * c, p * (1 - p) * c
+            self.refine += np.bincount(2 * _place(z, node) + bit, weights=c, minlength=len(self.refine)).astype(np.int64)
+            err = (bit.astype(np.float32) - p) * c
             mass += np.bincount(gate, weights=c, minlength=GATES)
             for k in range(INPUTS):
                 grad[k] += np.bincount(gate, weights=err * x[k], minlength=GATES)
-                bend[k] += np.bincount(gate, weights=var * x[k] * x[k], minlength=GATES)
-        self.curve = np.where(self.curve == 0, 10 * bend, 0.9 * self.curve + bend)
+                if slow:
+                    bend[k] += np.bincount(gate, weights=p * (1 - p) * c * x[k] * x[k], minlength=GATES)
+        if slow:
+            self.curve = np.where(self.curve == 0, 10 * bend, 0.7 * self.curve + 3 * bend)
+        self.batches += 1
         self.weights += np.clip(grad / (self.curve + 1.0), -0.5, 0.5)
         self.mass += mass
-        for table, at in counted:
-            np.add.at(table, at, weight)
+        self.waiting.append((counted, np.tile(c, 8)))
+        if len(self.waiting) == 8:
+            self.count()
+
+    def count(self) -> None:
+        """Add the words of the last batches to the tables."""
+        if self.waiting:
+            times = np.concatenate([t for _, t in self.waiting])
+            for k, table in enumerate(self.tables):
+                at = np.concatenate([a for counted, _ in self.waiting for a in counted[k]])
+                table += np.bincount(at, weights=times, minlength=len(table)).astype(np.int32)
+            self.waiting.clear()
 
 
 class Speller:
