@@ -1,7 +1,7 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items by block-max WAND.
 
 Test items are the indexed side: small enough to hold, in blocks of `block_items` with one pass over the documents
-each; every block is an inverted index of pairs of neighbouring words whose postings carry weights and the largest weight of every 64 postings.
+each (what a pass leaves is written for the next); every block is an inverted index of pairs of neighbouring words whose postings carry weights and the largest weight of every 64 postings.
 A weight is BM25's term weight over the item's greatest possible score, so a passage scores between 0 and 1: the share
 of an item's informative word pairs that it holds. Passages are windows of twice the longest item's words that advance by
 one such length, so that any run of an item's words lies in one of them whole.
@@ -10,7 +10,9 @@ Retrieval returns all items that score at least `threshold` in a passage. Terms
 its score from them can't reach the threshold by themselves, so only passages with enough other terms are evaluated
 (the pivot rule of WAND, checked for a whole batch at once); those walk the postings and skip blocks by their
 largest weights. A found item is verified on words: at least `question_overlap` of the question's five-word runs and
-`answer_overlap` of the answer's words stand in the passage.
+`answer_overlap` of the answer's words stand in the passage. One changed word is allowed beyond that where these shares
+leave no room for it: in a question of four words or more (the others and all runs without it must stand there), or in
+an answer of two or more if the question stands there whole. Items of a single word are found wherever it stands.
 
 Items have the columns of `items`: an id, a question, and optionally an answer; without an answer column, the last
 sentence of an item that has several is its answer.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, mix64, shingles, words_of
+from ._common import id_and_text, mix64, shingles, words_of, written
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -63,7 +65,13 @@ class Index:
         whole = [_hashed(f"{q}\n{a}") for q, a in items]
         self.question = [shingles(_hashed(q), SHINGLE) for q, _ in items]
         self.question_words = [min(SHINGLE, len(_hashed(q))) for q, _ in items]
+        self.words = [np.unique(_hashed(q)) for q, _ in items]
         self.answer = [np.unique(_hashed(a)) for _, a in items]
+        self.alone: dict[int, list[int]] = {}
+        for i, w in enumerate(whole):
+            if len(w) == 1:
+                self.alone.setdefault(int(w[0]), []).append(i)
+        self.ones = np.array(sorted(self.alone), dtype=np.uint64)
         self.longest = max([len(w) for w in whole], default=0)
         whole = [pairs(w) for w in whole]
         lengths = np.array([len(w) for w in whole], dtype=float)
@@ -172,6 +180,9 @@ class Matcher:
         index, out = self.index, set()
         if not len(words) or not len(index.vocabulary):
             return out
+        if len(index.ones):
+            for w in np.unique(words[np.isin(words, index.ones)]).tolist():
+                out.update(index.alone[w])
         terms = index.terms(pairs(words))
         value = np.where(terms >= 0, self.value[terms], 0.0)
         sums = np.concatenate([[0.0], np.cumsum(value)])
@@ -198,9 +209,14 @@ class Matcher:
         if not len(q):
             return False
         held = np.isin(q, shingles(words, self.index.question_words[item]) if len(words) >= self.index.question_words[item] else words[:0])
-        if held.sum() < self.question_overlap * len(q):
-            return False
-        return not len(a) or np.isin(a, words).sum() >= self.answer_overlap * len(a)
+        missing = len(q) - int(held.sum())
+        if missing > (1 - self.question_overlap) * len(q) + 1e-9:
+            # one changed word takes up to five runs with it
+            own = self.index.words[item]
+            if len(own) < 4 or missing > SHINGLE or len(own) - np.isin(own, words).sum() > 1:
+                return False
+        lost = len(a) - int(np.isin(a, words).sum())
+        return lost <= (1 - self.answer_overlap) * len(a) + 1e-9 or lost == 1 and len(a) > 1 and not missing
 
 
 def _indexes(items: DataFrame, item_id: str, question_col: str, answer_col: str | None, block_items: int):
@@ -245,6 +261,8 @@ def contamination(
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(value))], names=[*b.schema.names, name])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+        if names:
+            out = written(out, "decontaminate")  # one index at a time in a worker
         out = out.mapInArrow(task, f"{fields}, {name} array<{kind}>")
         names.append(name)
     ids = F.array_sort(F.array_distinct(F.concat(*names)))
@@ -267,7 +285,9 @@ def clean(
     """The rows of docs, with all their columns, that hold no item."""
     at = docs.columns.index(text_col)
     out = docs
-    for block in _indexes(items, item_id, question_col, answer_col, block_items):
+    for k, block in enumerate(_indexes(items, item_id, question_col, answer_col, block_items)):
+        if k:
+            out = written(out, "decontaminate")  # one index at a time in a worker
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def task(batches, held=held):

@@ -1,19 +1,24 @@
 """Main text of web pages with a site style tree.
 
-The pages of a host are merged into one style tree: a node is a path of block elements with their classes, and holds,
-over the host's different pages, how often it occurs and how its content varies; branches of articles and main elements
-count once for each different main text, so that copies of a page don't pass for boilerplate. A node's importance is the entropy of its
-content over those pages, divided by its greatest possible value (all different: 1, all the same: 0). From each page,
-branches of low importance are removed if enough pages of the host have them. Branches that HTML itself or their class
-names mark as menus, headers, footers, sidebars, notices, adverts, forms or reader comments go too; they need no
-statistics, so hosts with few pages are treated alike. Class names count as whole names (`sidebar`, `site-footer`, but
-not `has-sidebar`), and neither they nor forms mark an article, a main element or a branch with most of a page's text
-(outside an article: unless the page has its articles elsewhere).
+The pages of a host are merged into one style tree: a node is a path of block elements with their classes, over the host's
+different pages (branches of articles and main elements count once for each different main text, so that copies of a page
+don't pass for boilerplate). With m pages that have the node, its presentation importance is the entropy of its forms (the
+sequence of its child elements) over log m, its content importance is 1 minus the mean of log n over log m, where n is the
+number of pages on which a text block below it stands in the same place. Its importance is 1 - (1 - presentation) *
+(1 - content): a branch matters if its forms or its texts vary. From each page, branches go that are on at least
+`least_pages` pages and whose importance is below `least_importance`, or, for containers outside articles, below
+`against_siblings` of their most important sibling's.
+
+Branches that HTML itself or their class names mark as menus, headers, footers, sidebars, notices, adverts, forms or
+reader comments go too, whatever the tree says of them: hosts with few pages have nothing else to go by. Class names count
+as whole names (`sidebar`, `site-footer`, but not `has-sidebar`), and neither they nor forms mark an article, a main
+element or a branch with most of a page's text (outside an article: unless the page has its articles elsewhere).
 If a page has a main element, or articles with at least half of the text that is left, its text is the text in there;
 else what is left of the body. A rule that would leave a page without any text isn't applied to it.
 
-Only (host, path, hash of content, hash of page) is shuffled for the tree, each once a task; pages are joined with
-their host's list of low-importance paths, broadcast if it is small enough.
+Only hashes of texts, forms and pages are shuffled for the tree, with their path, each once a task; pages are joined with
+their host's list of low-importance paths, broadcast if it is small enough. A path has at most 32 elements: what lies
+deeper belongs to the node there, so that a page of any depth is read in linear time.
 
 Defined results: null or empty html gives an empty text; pages without a host take part in no tree; repeated rows give
 equal texts; an empty table gives an empty result; pages of any length are read whole, and broken markup (unclosed or
@@ -31,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import small, written
 
-_TAG = re.compile(r"""<(?:(!--)|(!|\?)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""")
+_TAG = re.compile(r"""<(?:(!--)|(!|\?)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+)>)""")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|$)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -49,6 +54,7 @@ MAIN = set("article main".split())
 #: Elements that end an open paragraph, and those that end an open element of the same kind.
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = set("ul ol dl table menu".split())
 NOISE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog discussion disqus dropdown "
     "footer gdpr hidden legal login menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion reactions "
@@ -58,6 +64,9 @@ NOISE_WORDS = set(
 PLACES = set("area bar block bottom box column container desktop fixed global group inner item items left lower links list main mobile outer page panel primary region right secondary section site sticky top upper wrap wrapper".split())
 #: Marked as noise only outside an article.
 HEADER_WORDS = set("header masthead hero branding logo".split())
+#: Elements that hold others, and how deep a style tree goes.
+CONTAINERS = set("aside center details dialog div dl fieldset footer form header hgroup menu nav ol search section table ul".split())
+DEPTH = 32
 NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 
@@ -77,7 +86,7 @@ def _attributes(rest: str) -> tuple[str, bool, set]:
     for name, value in _NAME.findall(rest):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name == "class":
-            kind = ".".join(value.split())
+            kind = ".".join(value.replace(">", "").split())
         if name in ("class", "id"):
             names.update(value.split())
         elif name == "role":
@@ -95,11 +104,12 @@ def _named(names: set, words: set) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order."""
+def blocks(page: str, forms: dict | None = None) -> list[Block]:
+    """The blocks of a page in order. `forms` receives the child elements of every path, in order."""
     out: list[Block] = []
     # open block elements: (tag, path, inside an article or main element, noise, marks)
     stack: list[tuple] = [("", (), 0, False, ())]
+    opened: Counter = Counter()
     marked = 0
     held: list[str] = []
     at, end = 0, len(page)
@@ -113,9 +123,12 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(path, text, inside, noise, marks))
 
     def close(tags: set, within: int = 0) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, within, -1):
             if stack[i][0] in tags:
                 flush()
+                opened.subtract(x[0] for x in stack[i:])
                 del stack[i:]
                 return
 
@@ -168,8 +181,7 @@ def blocks(page: str) -> list[Block]:
         if tag in ENDS_P:
             close({"p"})
         if tag in ENDS_SAME:
-            lists = [i for i, x in enumerate(stack) if x[0] in ("ul", "ol", "dl", "table", "menu")]
-            close(ENDS_SAME[tag], lists[-1] if lists else 0)
+            close(ENDS_SAME[tag], next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in LISTS), 0) if any(opened[t] for t in LISTS) else 0)
         flush()
         kind, hidden, names = _attributes(rest) if rest else ("", False, set())
         _, path, inside, noise, marks = stack[-1]
@@ -179,8 +191,12 @@ def blocks(page: str) -> list[Block]:
         names = {w for w in names if not w.startswith("role:")}
         if not main and (tag == "form" or _named(names, NOISE_WORDS) or not inside and _named(names, HEADER_WORDS)):
             marked += 1
-            marks = (*marks, (marked, inside))
-        stack.append((tag, (*path, f"{tag}.{kind}" if kind else tag), max(inside, main), noise, marks))
+            marks = (*marks, (marked, inside)) if len(marks) < DEPTH else marks
+        step = f"{tag}.{kind}" if kind else tag
+        if forms is not None and len(path) <= DEPTH:
+            forms.setdefault(path, []).append(step)
+        stack.append((tag, (*path, step) if len(path) < DEPTH else path, max(inside, main), noise, marks))
+        opened[tag] += 1
     flush()
     return out
 
@@ -189,17 +205,22 @@ def _hash(texts: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
 
 
-def branch_hashes(found: list[Block], page: str) -> dict[str, tuple[int, int]]:
-    """For every path and its beginnings: hashes of the text below it, and of the page or, inside an article, its main text."""
-    below: dict[tuple, list[str]] = {}
-    outside = set()
+def node_rows(page: str) -> set[tuple[str, bool, int, int]]:
+    """What a page adds to its host's tree: (path, whether of its form, hash of text or form, hash of page or main text)."""
+    forms: dict[tuple, list[str]] = {}
+    found = blocks(page, forms)
+    outside, inside = set(), set()
     for b in found:
-        for k in range(1, len(b.path) + 1):
-            below.setdefault(b.path[:k], []).append(b.text)
-            if not b.inside:
-                outside.add(b.path[:k])
+        (inside if b.inside else outside).add(b.path)
     whole, main = _hash([page]), _hash([b.text for b in without_noise(found) if b.inside])
-    return {">".join(path): (_hash(texts), whole if path in outside else main) for path, texts in below.items()}
+    out = {(">".join(b.path), False, _hash([b.text]), main if b.inside else whole) for b in found}
+    of = {}
+    for paths, key in ((inside, main), (outside, whole)):  # a branch with texts of both counts for the whole page
+        for path in paths:
+            for k in range(1, len(path) + 1):
+                of[path[:k]] = key
+    out.update((">".join(path), True, _hash(forms.get(path, [])), key) for path, key in of.items())
+    return out
 
 
 def _size(found: list[Block]) -> int:
@@ -220,17 +241,25 @@ def without_noise(found: list[Block]) -> list[Block]:
     return [b for b in shown if spared.issuperset(b.marks)] or shown
 
 
-def main_text(found: list[Block], low: set) -> str:
-    """The text of a page given its host's paths of low importance."""
+def _low(b: Block, low: set) -> bool:
+    return any(">".join(b.path[:k]) in low for k in range(1, len(b.path) + 1))
+
+
+def main_blocks(found: list[Block], low: set) -> list[Block]:
+    """The main text's blocks, given the page's host's paths of low importance."""
     kept = without_noise(found)
 
     def rest(kept: list[Block]) -> list[Block]:
-        return [b for b in kept if not any(">".join(b.path[:k]) in low for k in range(1, len(b.path) + 1))] if low else kept
+        return [b for b in kept if not _low(b, low)] if low else kept
 
     inside = [b for b in kept if b.inside]
     if any(b.inside == 2 for b in inside) or inside and 2 * _size(rest(inside)) >= _size(rest(kept) or kept):
         kept = inside
-    return "\n\n".join(b.text for b in rest(kept) or kept)
+    return rest(kept) or kept
+
+
+def main_text(found: list[Block], low: set) -> str:
+    return "\n\n".join(b.text for b in main_blocks(found, low))
 
 
 def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -239,45 +268,67 @@ def _with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
 
 
 def style_tree(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of every node of every host's style tree; pages counts different ones."""
+    """(host, path, pages, presentation, content, importance) of every node of every host's style tree; pages counts different ones."""
     df = _with_host(pages, id_col, url_col, html_col).filter("host <> ''").select("host", "html")
 
     def rows(batches):
         def batch(seen: set):
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*seen), kinds)], names=["host", "path", "content", "page"])
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*seen), kinds)], names=["host", "path", "form", "what", "page"])
 
         seen: set = set()
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen.update((host, path, *h) for path, h in branch_hashes(blocks(page), page).items())
+                seen.update((host, *r) for r in node_rows(page))
                 if len(seen) > 100_000:
                     yield batch(seen)
                     seen = set()
         if seen:
             yield batch(seen)
 
-    found = df.mapInArrow(rows, "host string, path string, content long, page long").distinct()
-    counts = found.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
-    nodes = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    entropy = F.log2("pages") - F.col("s") / F.col("pages")
-    return nodes.select("host", "path", "pages", F.when(F.col("pages") > 1, entropy / F.log2("pages")).otherwise(1.0).alias("importance"))
-
-
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, least_importance: float = 0.2, broadcast_rows: int = 50_000) -> DataFrame:
-    """page_id, url, text and n_chars for every page."""
-    tree = style_tree(pages, id_col=id_col, url_col=url_col, html_col=html_col)
-    low = tree.filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    low = written(low.groupBy("host").agg(F.collect_set("path").alias("low")), "style-tree")
-    if low.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        low = F.broadcast(low)
+    found = df.mapInArrow(rows, "host string, path string, form boolean, what long, page long").distinct()
+    counts = found.groupBy("host", "path", "form", "what").agg(F.count("*").alias("n"))
+    logs = F.sum(F.col("n") * F.log2("n")).alias("s")
+    paths = counts.groupBy("host", "path", "form").agg(F.sum("n").alias("n"), logs)
+    forms = paths.filter("form").select("host", "path", F.col("n").alias("pages"), "s")
+    # a text counts for every node above it
+    steps = F.split("path", ">")
+    above = paths.filter("not form").select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), ">"))).alias("path"), F.col("n").alias("texts"), F.col("s").alias("of_texts"))
+    above = above.groupBy("host", "path").agg(F.sum("texts").alias("texts"), F.sum("of_texts").alias("of_texts"))
+    nodes = forms.join(above, ["host", "path"])
+    some = F.col("pages") > 1
+    presentation = F.when(some, 1 - F.col("s") / F.col("pages") / F.log2("pages")).otherwise(1.0)
+    content = F.when(some, F.greatest(F.lit(0.0), 1 - F.col("of_texts") / F.col("texts") / F.log2("pages"))).otherwise(1.0)
+    nodes = nodes.withColumn("presentation", presentation).withColumn("content", content)
+    return nodes.select("host", "path", "pages", "presentation", "content", (1 - (1 - F.col("presentation")) * (1 - F.col("content"))).alias("importance"))
+
+
+def low_paths(tree: DataFrame, *, least_pages: int = 5, least_importance: float = 0.2, against_siblings: float = 0.8) -> DataFrame:
+    """(host, low): the paths of each host's branches of low importance."""
+    above = F.regexp_replace("path", r"(^|>)[^>]*$", "")
+    last = F.regexp_extract("path", r"([^>.]*)(?:\.[^>]*)?$", 1)
+    tree = tree.filter(F.col("pages") >= least_pages).withColumn("above", above)
+    best = tree.groupBy("host", "above").agg(F.max("importance").alias("best"))
+    held = last.isin(*sorted(CONTAINERS)) & ~F.col("path").rlike(r"(^|>)(article|main)\b")
+    low = tree.join(best, ["host", "above"]).filter((F.col("importance") < least_importance) | held & (F.col("importance") < against_siblings * F.col("best")))
+    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
+
+
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    """page_id, url, text, n_chars, and how many blocks the style tree alone would remove, for every page. Options: see low_paths."""
+    low = small(written(low_paths(style_tree(pages, id_col=id_col, url_col=url_col, html_col=html_col), **options), "style-tree"), 50_000)
     df = _with_host(pages, id_col, url_col, html_col)
     kind = df.schema["page_id"].dataType.simpleString()
     df = df.join(low, "host", "left").select("page_id", "url", "html", "low")
 
     def rows(batches):
         for b in batches:
-            texts = [main_text(blocks(page), set(paths or ())) for page, paths in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return df.mapInArrow(rows, f"page_id {kind}, url string, text string, n_chars long")
+            texts, removed = [], []
+            for page, paths in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                found, low = blocks(page), set(paths or ())
+                texts.append(main_text(found, low))
+                removed.append(sum(_low(x, low) for x in found) if low else 0)
+            cols = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", "text", "n_chars", "low_blocks"])
+
+    return df.mapInArrow(rows, f"page_id {kind}, url string, text string, n_chars long, low_blocks long")

@@ -1,18 +1,24 @@
 """Personal data by patterns, and terms that reveal it by corpus co-occurrence (information-theoretic sanitisation).
 
-Patterns find the protected entities: e-mail addresses, IP addresses, card numbers and phone numbers. A term is a word
-that stands near an entity. Over the whole corpus, with N documents, n(e) and n(t) that hold the entity and the term,
-and n(t, e) where t stands near e, the term discloses
-
-    log2(n(t, e) * N / (n(t) * n(e))) / log2(N / n(e))
-
-of the entity's information (1: knowing the term is knowing the entity). Terms that stand near an entity in at least
-`support` different contexts and disclose at least `threshold` become spans of kind "term" in the documents that hold
-that entity, and are generalised together with the entities when a text is sanitised.
-
-Everything is DataFrame functions; there is no Python on executors. Contexts are bounded (`reach` code points on each
-side of a mention), counts are aggregated in tasks before they are shuffled, and tables of terms are broadcast only
-after their size is checked.
+Patterns find the protected entities: e-mail addresses, IP addresses, card numbers and phone numbers. Each mention counts
+for its value and for the classes that the value belongs to: its kind, and the e-mail's domain, the address's first two
+parts, the card's issuer (six digits) or the phone's country and area (first four digits). A term is any word of a text
+that isn't part of a mention. With N documents, n(e) that hold the entity or class, n(t) that hold the term and n(t, e)
+that hold both, anywhere in the text,
+
+    P(e) = n(e) / N,   P(e | t) = (n(t, e) + smoothing * P(e)) / (n(t) + smoothing)
+
+estimate what is known without and with the term, and the term discloses log2(P(e | t) / P(e)) bits of the
+-log2 P(e) bits of information. A term exceeds the threshold if it leaves at most `residual` bits of them, discloses at
+least `least_bits`, and stands with e in at least `support` different texts. Smoothing keeps the few documents of a rare
+term from counting as proof: with the default 2, one common document leaves 1.6 bits, three leave 0.74. Such terms become
+spans of kind "term" wherever they stand, in any document, and are generalised together with the entities when a text is
+sanitised.
+
+Everything is DataFrame functions; there is no Python on executors. Only terms that can exceed reach a join with
+entities: n(t, e) is at most the number of documents with any mention that hold t, so terms for which that is too small
+beside n(t) go first, as do entities in fewer than `support` texts. Counts are aggregated in tasks before they are
+shuffled, and tables are broadcast only after their rows and bytes are checked.
 
 Patterns are written with possessive quantifiers where giving back can't help, so that very long runs of matching
 characters neither overflow the stack nor take quadratic time; they match what the plain forms match.
@@ -27,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, written
+from ._common import id_and_text, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the four kinds, by kind.
@@ -96,72 +102,89 @@ def with_spans(docs: DataFrame, text: str = "text", name: str = "base") -> DataF
     return out.select(*columns, F.concat(*spans).alias(name))
 
 
-def _contexts(reach: int) -> Column:
-    """For every base span: its entity and the words (A-Z lowered) of at most `reach` code points on each side."""
+def _entities(s: Column) -> Column:
+    """The names of a span's value and classes."""
+    value, kind = s["value"], s["kind"]
+    digits = _digits(value)
+    group = (
+        F.when(kind == "email", F.substring_index(value, "@", -1))
+        .when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, 1, 4))
+    )
+    return F.array(kind, F.concat_ws(" ", kind, F.lit("in"), group), F.concat_ws(" ", kind, F.lit("is"), value))
+
 
-    def one(s: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(F.lit(reach), s["start"]))
-        after = F.substring(F.col("text"), s["end"] + 1, F.lit(reach))
-        # a word cut by the border of the context is left out
-        before = F.when(s["start"] > reach, F.regexp_replace(before, r"^[^\x20\x09-\x0D]*+", "")).otherwise(before)
-        after = F.when(F.length("text") > s["end"] + reach, F.regexp_replace(after, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++$", "")).otherwise(after)
-        return F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("entity"), F.concat(before, F.lit(" "), after).alias("context"))
+def _lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    return F.transform("base", one)
 
+def _words(text: Column) -> Column:
+    """Distinct words, A-Z lowered."""
+    return F.array_distinct(F.split(_lower(text), WHITE + "+"))
 
-def _terms(words: Column) -> Column:
-    """Distinct words that may be terms: at least three letters, and nothing that a base pattern would take."""
-    return F.filter(F.array_distinct(F.split(words, WHITE + "+")), lambda w: w.rlike(r"^[^0-9@]*\p{L}{3}[^0-9@]*$"))
 
+def _replaced(text: Column, spans: Column, by: Column | None = None) -> Column:
+    """The text with each span (sorted by start) replaced by the name of its kind in brackets, or by `by`."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-def _lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    def step(done: Column, s: Column) -> Column:
+        name = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")) if by is None else by
+        piece = F.concat(done["out"], F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))), F.when(s["start"] >= done["at"], name).otherwise(""))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), piece.alias("out"))
 
+    return F.aggregate(spans, begin, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, *, threshold: float = 0.8, support: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
-    """(entity, term, disclosure) over the whole corpus. found: doc_id, text_hash, mentions (written)."""
-    mentions = found.filter(F.size("mentions") > 0).select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.entity", "m.context")
-    # entities in too few different contexts can't support a term
-    often = mentions.select("entity", F.xxhash64("context").alias("c")).distinct().groupBy("entity").count().filter(F.col("count") >= support).select("entity")
-    known = mentions.join(often, "entity", "left_semi")
-    per_entity = known.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = known.select("entity", "doc_id", "text_hash", F.xxhash64("context").alias("c"), F.explode(_terms(_lower(F.col("context")))).alias("term"))
-    contexts = near.select("entity", "term", "c").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
-    both = near.select("entity", "term", "doc_id", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    # a term is held by at least as many documents as have it near any mention: terms that stay below the threshold
-    # even with that count are out before the texts are read again
-    total = docs.count()
-    near_any = mentions.select("doc_id", "text_hash", F.explode(_terms(_lower(F.col("context")))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-
-    def disclosure(n_term: str) -> Column:
-        return F.when(information > 0, F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col(n_term) * F.col("n_entity"))) / information).otherwise(0.0)
-
-    pairs = contexts.join(both, ["entity", "term"]).join(per_entity, "entity").join(near_any, "term").filter(disclosure("n_near") >= threshold)
-    pairs = written(pairs.select("entity", "term", "n_both", "n_entity"), "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    holding = docs.select(F.explode(F.array_distinct(F.split(_lower(F.col("text")), WHITE + "+"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    out = pairs.join(holding, "term").withColumn("disclosure", disclosure("n_term"))
-    return written(out.select("entity", "term", "disclosure").filter(F.col("disclosure") >= threshold), "pii-terms")
-
-
-def _survey(docs: DataFrame, reach: int) -> DataFrame:
-    """Written: doc_id, text_hash, base spans and mentions with their contexts."""
-    spans = with_spans(docs.select("doc_id", "text"))
-    return written(spans.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", _contexts(reach).alias("mentions")), "pii-survey", codec="zstd")
 
+def _in_order(spans: Column) -> Column:
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-def _term_pattern(found: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
-    """For the documents that hold an entity with disclosing terms: doc_id, text_hash, pattern of those terms."""
-    holders = found.filter(F.size("mentions") > 0).select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-    if terms.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        terms = F.broadcast(terms)
-    rows = holders.join(terms, "entity").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit("")), F.lit(r"\E")))
-    return rows.select("doc_id", "text_hash", F.concat(F.lit(r"(?i)(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])")).alias("pattern"))
+
+def _survey(docs: DataFrame) -> DataFrame:
+    """Written: doc_id, text_hash and base spans of every row, with the entities and other words of those that have spans."""
+    spans = with_spans(docs.select("doc_id", "text"))
+    some = F.size("base") > 0
+    entities = F.array_distinct(F.flatten(F.transform("base", _entities)))
+    words = F.filter(_words(_replaced(F.col("text"), _in_order(F.col("base")), F.lit(" "))), lambda w: w.rlike(r"[\p{L}\p{N}]{3}"))
+    out = spans.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", F.when(some, entities).alias("entities"), F.when(some, words).alias("words"))
+    return written(out, "pii-survey", codec="zstd")
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, *, residual: float = 0.75, least_bits: float = 2.0, support: int = 3, smoothing: float = 2.0) -> DataFrame:
+    """(entity, term, n_both, n_term, n_entity, left, disclosed) over the whole corpus, written. found: see _survey."""
+    total = float(max(found.count(), 1))
+    holders = found.filter(F.size("base") > 0)
+    # the least share of a term's documents that any entity must have, with all smoothing in its favour
+    share = 2.0**-residual
+    known = holders.select("text_hash", F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
+    # a term in fewer than `support` documents with mentions can't stand with an entity in so many texts
+    known = written(known.filter(F.col("n_held") >= support).select("term", "n_held"), "pii-known")
+    terms = docs.select(F.explode(_words(F.col("text"))).alias("term")).join(small(known.select("term"), 1_000_000), "term", "left_semi")
+    terms = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(known, "term")
+    terms = terms.filter(F.col("n_held") + smoothing >= share * (F.col("n_term") + smoothing))
+    terms = small(written(terms.select("term", "n_term"), "pii-candidates"))
+    entities = holders.select("text_hash", F.explode("entities").alias("entity"))
+    often = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("text_hash").alias("texts")).filter(F.col("texts") >= support)
+    often = small(written(often.select("entity", "n_entity"), "pii-entities"))
+    some = holders.select("doc_id", "text_hash", "entities", F.explode("words").alias("term")).join(terms, "term")
+    both = some.select("text_hash", "term", "n_term", F.explode("entities").alias("entity")).join(often, "entity")
+    both = both.groupBy("entity", "term", "n_term", "n_entity", "text_hash").agg(F.count("*").alias("n"))
+    both = both.groupBy("entity", "term", "n_term", "n_entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    prior = F.col("n_entity") / F.lit(total)
+    after = (F.col("n_both") + smoothing * prior) / (F.col("n_term") + smoothing)
+    out = both.withColumn("left", -F.log2(after)).withColumn("disclosed", F.log2(after / prior))
+    out = out.filter((F.col("left") <= residual) & (F.col("disclosed") >= least_bits))
+    return written(out.select("entity", "term", "n_both", "n_term", "n_entity", "left", "disclosed"), "pii-terms")
+
+
+def _term_pattern(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Written, for the documents that hold disclosing terms: doc_id, text_hash and a pattern of the terms they hold."""
+    terms = small(written(terms.select("term").distinct(), "pii-disclosing"), 1_000_000)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_words(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
+    rows = rows.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?i)(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
+    return written(rows.select("doc_id", "text_hash", pattern.alias("pattern")), "pii-patterns")
 
 
 def _term_spans(text: Column, pattern: Column) -> Column:
@@ -172,19 +195,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, threshold: float = 0.8, support: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256, n_term and all spans as a string, for every row."""
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, counts of base spans, base_sha256, n_term and all spans as a string, for every row. Options: see disclosing_terms."""
     docs = id_and_text(docs, id_col, text_col)
-    found = _survey(docs, reach)
-    terms = disclosing_terms(docs, found, threshold=threshold, support=support, broadcast_rows=broadcast_rows)
-    patterns = written(_term_pattern(found, terms, broadcast_rows), "pii-patterns")
-    some = F.broadcast(patterns) if patterns.limit(broadcast_rows + 1).count() <= broadcast_rows else patterns
+    found = _survey(docs)
+    some = small(_term_pattern(docs, disclosing_terms(docs, found, **options)))
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
     both = texts["doc_id"].eqNullSafe(some["doc_id"]) & (texts["text_hash"] == some["text_hash"])
     extra = texts.join(some, both).select(texts["doc_id"], texts["text_hash"], _term_spans(F.col("text"), F.col("pattern")).alias("extra"))
-    extra = written(extra.dropDuplicates(["doc_id", "text_hash"]), "pii-extra")
-    if extra.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        extra = F.broadcast(extra)
+    extra = small(written(extra.dropDuplicates(["doc_id", "text_hash"]), "pii-extra"))
     base = found.select("doc_id", "text_hash", "base")
     out = base.join(extra, base["doc_id"].eqNullSafe(extra["doc_id"]) & (base["text_hash"] == extra["text_hash"]), "left")
     out = out.select(base["doc_id"], "base", F.coalesce("extra", F.array().cast(SPAN)).alias("extra"))
@@ -195,30 +214,20 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rea
     return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_term"))
 
 
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, threshold: float = 0.8, support: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
+def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with entities and disclosing terms of the text replaced by the name of their kind in brackets; null stays null."""
     columns = docs.columns
     plain = id_and_text(docs, id_col, text_col)
-    found = _survey(plain, reach)
-    terms = disclosing_terms(plain, found, threshold=threshold, support=support, broadcast_rows=broadcast_rows)
-    patterns = _term_pattern(found, terms, broadcast_rows).select("doc_id", "text_hash", "pattern")
-    # only documents with entities change: their spans come from the survey, so no text is searched twice
-    dirty = found.filter(F.size("base") > 0).select("doc_id", "text_hash", "base").dropDuplicates(["doc_id", "text_hash"])
-    both = dirty["doc_id"].eqNullSafe(patterns["doc_id"]) & (dirty["text_hash"] == patterns["text_hash"])
-    dirty = dirty.join(patterns, both, "left").select(dirty["doc_id"].alias("pii_id"), dirty["text_hash"].alias("pii_hash"), F.col("base").alias("pii_base"), F.col("pattern").alias("pii_pattern"))
-    dirty = written(dirty, "pii-dirty")
-    if dirty.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        dirty = F.broadcast(dirty)
+    found = _survey(plain)
+    patterns = _term_pattern(plain, disclosing_terms(plain, found, **options)).withColumn("base", F.array().cast(SPAN))
+    # only documents with spans change: those of the survey are reused, so no text is searched twice
+    dirty = found.filter(F.size("base") > 0).select("doc_id", "text_hash", F.lit(None).cast("string").alias("pattern"), "base").unionByName(patterns)
+    dirty = dirty.groupBy(F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash")).agg(F.max("pattern").alias("pii_pattern"), F.max_by("base", F.size("base")).alias("pii_base"))
+    dirty = small(written(dirty, "pii-dirty"))
     rows = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
     rows = rows.join(dirty, F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.xxhash64("pii_text") == F.col("pii_hash")), "left")
     rows = rows.withColumn("pii_base", F.coalesce("pii_base", F.array().cast(SPAN)))
     extra = F.when(F.col("pii_pattern").isNotNull(), _term_spans(F.col("pii_text"), F.col("pii_pattern"))).otherwise(F.array().cast(SPAN))
-    rows = rows.withColumn("pii_spans", F.array_sort(F.transform(F.concat("pii_base", extra), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, s: Column) -> Column:
-        piece = F.concat(done["out"], F.substring(F.col("pii_text"), done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))), F.when(s["start"] >= done["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), piece.alias("out"))
-
-    clean = F.aggregate("pii_spans", begin, step, lambda done: F.concat(done["out"], F.substring(F.col("pii_text"), done["at"] + 1, F.length("pii_text"))))
+    rows = rows.withColumn("pii_spans", _in_order(F.concat("pii_base", extra)))
+    clean = _replaced(F.col("pii_text"), F.col("pii_spans"))
     return rows.select(*[F.when((F.size("pii_spans") > 0) & F.col(text_col).isNotNull(), clean).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in columns])

@@ -51,9 +51,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_fingerprints: for ids divisible by 20, how many other distinct fingerprints lie within 20 bits; else null."""
     prints = simhash.with_edits(_table(spark, sf_dir, "documents"))
-    found = simhash.count_near(prints, prints.filter("doc_id % 20 = 0"))
-    out = prints.join(found, "fingerprint", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(F.col("doc_id") % 20 == 0, F.coalesce("n", F.lit(0))).alias("near_fingerprints"))
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    found = simhash.count_near(prints, prints.filter(asked))
+    counted = simhash.with_counts(prints.filter(asked), found)
+    return counted.unionByName(prints.filter(~asked).withColumn("near_fingerprints", F.lit(None).cast("long")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

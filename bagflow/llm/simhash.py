@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, mix64, words_of, written
+from ._common import id_and_text, mix64, small, words_of, written
 
 BITS = 128
 BLOCKS = 8
@@ -252,3 +252,16 @@ def count_near(prints: DataFrame, queries: DataFrame, *, radius: int = RADIUS, m
             yield pa.RecordBatch.from_arrays([pa.array([tables.queries[q].tobytes().hex() for q in part], pa.string()), pa.array(n[part])], names=["fingerprint", "n"])
 
     return _searched(prints, queries, radius, rows, "fingerprint string, n long", most).groupBy("fingerprint").agg(F.sum("n").alias("n"))
+
+
+def with_counts(prints: DataFrame, counts: DataFrame, *, salts: int = 32, name: str = "near_fingerprints") -> DataFrame:
+    """prints with the count of their fingerprint (0 if it has none). Counts are broadcast if they are small enough, else
+    each meets its rows in `salts` places, so that a fingerprint with very many rows isn't one task."""
+    counts = written(counts.select("fingerprint", F.col("n").alias(name)), "simhash-counts")
+    hinted = small(counts)
+    if hinted is not counts:
+        out = prints.join(hinted, "fingerprint", "left")
+    else:
+        spread = counts.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+        out = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, ["fingerprint", "salt"], "left").drop("salt")
+    return out.select(*prints.columns, F.coalesce(name, F.lit(0)).cast("long").alias(name))

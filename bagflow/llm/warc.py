@@ -33,7 +33,7 @@ INDEX = "file string, offset long, length long, url string, digest string, page_
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 #: A read of several records skips at most so many bytes between two of them, and holds at most so many.
 MOST_GAP, MOST_READ = 64 << 10, 8 << 20
-BLOCK = 32 << 20
+BLOCK = 8 << 20
 
 
 def _filesystem(uri: str):
@@ -124,7 +124,11 @@ def write(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id
 def read(index: DataFrame, *, block: int = BLOCK, payloads: bool = True) -> DataFrame:
     """The records that the index rows name. Rows of one stretch of `block` bytes of a file meet in one task."""
     want = index.select("file", "offset", "length")
-    dealt = want.repartition(F.col("file"), F.floor(F.col("offset") / block)).sortWithinPartitions("file", "offset")
+    # rows of the index are few bytes, the records that they name many: the number of tasks follows the records' bytes
+    stretch = F.floor(F.col("offset") / block)
+    size, stretches = want.agg(F.sum("length"), F.count_distinct("file", stretch)).first()
+    tasks = max(1, -(-(size or 0) // block), min(stretches, want.sparkSession.sparkContext.defaultParallelism))
+    dealt = want.repartition(tasks, F.col("file"), stretch).sortWithinPartitions("file", "offset")
 
     def task(batches):
         opened: dict[str, object] = {}

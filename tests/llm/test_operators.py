@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from bagflow.llm import decontaminate, html_text, lm_score, ngram_join, packing, pii, quality, queries, simhash, token_counts, warc
+from bagflow.llm import decontaminate, html_text, lm_score, lm_spelling, ngram_join, packing, pii, quality, queries, simhash, token_counts, warc
 from bagflow.llm._common import word_hashes
 from bagflow.llm.graph import components
 
@@ -131,6 +132,31 @@ def test_wand_finds_what_brute_force_finds():
             assert {d for d, _ in index.above(query, threshold)} == set(np.flatnonzero(scores >= threshold - 1e-9).tolist())
 
 
+def test_one_word_items_and_one_changed_word(spark):
+    rnd = random.Random(8)
+    pool = [f"word{k}" for k in range(400)]
+    items = [("one", "Paris"), *[(f"q{k}", " ".join(rnd.sample(pool, n)) + ". " + " ".join(rnd.sample(pool, m))) for k, (n, m) in enumerate([(12, 3), (8, 2), (25, 4), (40, 1), (6, 5)])]]
+    table = spark.createDataFrame([(*x, 0) for x in items], "item_id string, text string, doc_id int")
+    docs, want = ["I like Paris much", "parisian", None, ""], [["one"], [], [], []]
+    for name, text in items[1:]:
+        q = decontaminate.split_item(text)[0].split()
+        for at in range(len(q)):
+            other = text.split()
+            other[at] = "changed"
+            docs.append(" ".join([*rnd.sample(pool, 20), *other, *rnd.sample(pool, 20)]))
+            want.append([name] if len(q) >= 8 and 0 < at < len(q) - 1 else None)
+        docs.append(" ".join(rnd.sample(pool, 60)))
+        want.append([])
+    got = decontaminate.contamination(frame(spark, docs), table, threshold=0.6).toPandas().set_index("doc_id").sort_index()
+    for k, w in enumerate(want):
+        if w is not None:
+            assert list(got.item_ids[k]) == w, docs[k]
+    several = decontaminate.contamination(frame(spark, docs), table, block_items=2).toPandas().set_index("doc_id").sort_index()
+    assert list(several.item_ids[0]) == ["one"] and not several.contaminated[1]
+    kept = decontaminate.clean(frame(spark, docs), table, block_items=2)
+    assert kept.count() < len(docs) and kept.filter("doc_id = 0").isEmpty()
+
+
 # --- 3: n-gram join ---------------------------------------------------------------------------------------------------------
 
 
@@ -189,6 +215,29 @@ def test_one_of_each_keeps_one(spark, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp))
 
 
+@pytest.mark.parametrize("block,pivots", [(16, 3), (8, 2), (40, 8)])
+def test_dividing_regions_equals_brute_force(spark, texts, block, pivots):
+    """A large group of near copies, with a chain through it and documents just out of reach."""
+    rnd = random.Random(9)
+    near = [edited(rnd, texts[12], rnd.choice([0.002, 0.01, 0.02, 0.03, 0.05, 0.08])) for _ in range(150)]
+    chain = [near[0]]
+    for _ in range(20):
+        chain.append(edited(rnd, chain[-1], 0.02))
+    docs = [*near, *chain, *near[:30], *texts[:20]]
+    got = ngram_join.jaccard_components(frame(spark, docs), n=4, num=85, den=100, sketch_bits=12, block=block, pivots=pivots).toPandas().set_index("doc_id").sort_index()
+    comp, sizes = brute_components(docs, 4, 85, 100)
+    assert list(got.component_id) == comp and list(got.n_shingles) == sizes
+    assert 3 < len(set(comp)) < len(docs) - 40
+
+
+def test_one_id_on_several_texts(spark, texts):
+    a, b, c = texts[12], texts[13], texts[14]
+    rows = [(1, a), (5, a), (5, b), (7, b), (5, b), (5, c), (2, ""), (2, ""), (2, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, root int")
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in ngram_join.one_of_each(docs, sketch_bits=12).collect())
+    assert kept == sorted([(1, a), (5, b), (5, c), (2, ""), (2, ""), (0, a), (0, a)])
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (200, 203), (203, 201)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -221,21 +270,134 @@ def test_lm_scores(spark, texts, real):
     assert lm_score.score(shuffled, model).agg(F.avg("bits_per_byte")).first()[0] > held.bits_per_byte.mean() + 1
 
 
-def test_probabilities_of_a_byte_sum_to_one():
-    table = lm_score._empty()
-    ws = [b"ab", b"abc", b"b", b""]
-    lm_score.count_contexts(table, ws, np.array([5, 2, 1, 3]), np.array([True] * 4))
-    mixer = lm_score.Mixer([t.astype(np.uint32) for t in table])
-    mixer.frozen()
-    # all words of one byte before their end, plus the end token: first bytes share out all probability
+def learned_of(texts):
+    """A scorer fitted on texts in this process, with its words."""
+    counts = Counter(w for t in texts for w in [*lm_score.tokens(t), b""])
+    hot = [w for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c > 1 or w == b""]
+    words = lm_score.Words(hot, np.array([counts[w] for w in hot], dtype=float), sum(c for w, c in counts.items() if c == 1 and w))
+    profile = np.zeros((lm_score.PROFILE + 1) * (words.size + 1), dtype=np.int32)
+    runs = [t for _, _, t in lm_score._runs(texts, words, 3000)]
+    for t in runs:
+        np.add.at(profile, t.frequent_before().astype(np.int64) * (words.size + 1) + t.ids, np.int32(1))
+    words.shaped(profile.reshape(lm_score.PROFILE + 1, -1))
+    learner = lm_score.Learner(words)
+    for t in runs:
+        learner.learn(lm_score.Rows(t, words, t.contexts(words), np.arange(len(t.ids))))
+    letters = lm_spelling.Learner()
+    rare = [w for w, c in counts.items() if c == 1 and w]
+    letters.learn(rare, np.ones(len(rare), dtype=np.int32))
+    letters.count()
+    spelling = lm_spelling.Speller(letters.tables, letters.weights.T, letters.refine.astype(float))
+    return lm_score.Scorer(words, *lm_score.frozen(words, learner.tables), learner.weights.T, learner.refine.astype(float), spelling)
+
+
+def plain_score(scorer, text):
+    """log10 of a text's words and letters, one decision after the other."""
+    words, n = scorer.words, lm_score.INPUTS
+    names = {int(h): int(s) for h, s in zip(words.hashes, words.order)}
+    toks = [*lm_score.tokens(text), b""]
+    ids = [words.end if not w else names.get(int(word_hashes(w)[0][0]), words.rare) for w in toks]
+    begin = words.size + 1
+    change, curve = np.zeros(n), np.full(n, lm_score.PATIENCE)
+    grad, bend, total, block = np.zeros(n), np.zeros(n), 0.0, 0
+    for i, (w, own) in enumerate(zip(toks, ids)):
+        now = int(lm_score._block(np.array([i]))[0])
+        if now != block:
+            curve += bend
+            change += grad / curve
+            grad, bend, block = np.zeros(n), np.zeros(n), now
+        back = [ids[i - k] if i >= k else begin for k in (1, 2, 3)]
+        often = [x for x in ids[:i] if x < lm_score.FREQUENT][::-1] + [lm_score.FREQUENT] * 2
+        contexts = [words.before[back[0]], often[0] * 64 + often[1], words.near[back[0]] * 256 + words.near[back[1]] * 16 + words.near[back[2]]]
+        node = 1
+        for d in range(int(words.length[own])):
+            bit = int(words.code[own]) >> (lm_score.DEPTH - 1 - d) & 1
+            slots = [int(c) * lm_score.NODES + node for c in contexts]
+            share = float(words.share[node])
+            x = np.array([np.log(share / (1 - share)), *(scorer.logits[k][s] for k, s in enumerate(slots)), 0.5])
+            gate = d
+            for k, s in enumerate(slots):
+                gate = gate * 4 + int(scorer.levels[k][s])
+            z = float(x @ (scorer.weights[:, gate] + change))
+            p = 1 / (1 + np.exp(-np.clip(z, -18, 18)))
+            grad += (bit - p) * x
+            bend += p * (1 - p) * x * x
+            at = node * lm_score.STEPS + int(np.rint(np.clip(z, -8, 8) * 2)) + lm_score.STEPS // 2
+            p = (p + (scorer.ones[at] + 4 * p) / (scorer.times[at] + 4)) / 2
+            p = np.clip(p, 1e-7, 1 - 1e-7)
+            total += np.log10(p if bit else 1 - p)
+            node = node * 2 + bit
+        total += words.tail[own]
+        if own == words.rare:
+            total += scorer.spelling.log10([w])[0]
+    return total
+
+
+def test_batches_score_as_one_text_after_the_other(real):
+    known = [t for t in real.text.head(150) if t]
+    scorer = learned_of(known)
+    some = ["", "the", "Zyzzyx the of", *known[:3], " ".join(known[4:9]), *known[160:170]]
+    for _, _, t in lm_score._runs(some, scorer.words, 1 << 30):
+        sums = np.add.reduceat(scorer.tokens(t), t.first)
+    assert np.allclose(sums, [plain_score(scorer, t) for t in some], rtol=1e-4)
+
+
+def test_probabilities_sum_to_one(real):
+    scorer = learned_of([t for t in real.text.head(150) if t])
+    words = scorer.words
+    # the first token of a text: all symbols together
+    every = lm_score.Texts([b"x"], words)
+    every.ids = np.arange(words.size + 1, dtype=np.int32)
+    every.first, every.own, every.sizes = np.arange(words.size + 1), np.arange(words.size + 1), np.ones(words.size + 1, dtype=np.int64)
+    scorer.of_rare = lambda texts: (np.zeros(0, dtype=np.int64), np.zeros(0))
+    assert np.sum(10.0 ** scorer.tokens(every)) == pytest.approx(1, abs=1e-4)
+    # the first byte of a word
     total = 0.0
     for byte in range(256):
-        out = 0.0
-        for j, (own, bit, node, inputs, gate) in enumerate(mixer.fixed_parts([bytes([byte])])):
-            p = mixer.mixed(inputs, gate)
-            out += np.log(p[0] if bit[0] else 1 - p[0])
-        total += np.exp(out)
-    assert abs(total - 1) < 1e-5
+        total += np.prod([p[0] if bit[0] else 1 - p[0] for _, bit, p in scorer.spelling.bits([bytes([byte])])])
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_phrases_are_cut_alike_in_different_texts():
+    words = lm_score.Words([b"", b"the"], np.array([2.0, 2.0]), 5.0)
+    rnd = random.Random(3)
+    a, b, c = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(200)) for _ in range(3))
+    found = []
+    for text in (f"{a} {b}", f"{c} {b}", b):
+        t = lm_score.Texts([text.encode()], words)
+        starts, context, content = t.phrases(8)
+        assert starts[0] == 0 and context[0] == 0 and (np.diff(starts) > 0).all() and (context[1:] % 2 != 0).all()
+        found.append(set(zip(context.tolist(), content.tolist())))
+    shared = found[0] & found[1]
+    assert len(shared) > 15 and shared - found[2] == set() or len(shared - found[2]) <= 1
+
+
+def test_lm_beats_the_base_and_hears_the_order(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = lm_score.score_documents(docs).toPandas()
+    held = got[got.held_out]
+    assert held.score.sum() > 0.9 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.75
+    assert held.n_predicted.sum() > 0
+    real = [t for t in docs.toPandas().text.head(300) if t]
+    scorer = learned_of(real[:250])
+    rnd = random.Random(1)
+    mixed = [" ".join(rnd.sample(t.split(), len(t.split()))) for t in real[:40]]
+
+    def of(texts):
+        return sum(scorer.tokens(t).sum() for _, _, t in lm_score._runs(texts, scorer.words))
+
+    assert of(real[:40]) > of(mixed)
+
+
+def test_lm_edges(spark):
+    empty = lm_score.score_documents(frame(spark, ["a b"]).limit(0))
+    assert empty.count() == 0
+    # doc_id 4 is held out (crc32 of "4" mod 10 is 0), and no row is left to learn from
+    one = spark.createDataFrame([(i, t, 1.0) for i, t in [(4, "some words here"), (4, None), (None, "some words"), (None, "some words")]], "doc_id long, text string, n double")
+    got = lm_score.score_documents(one).toPandas()
+    assert len(got) == 4 and np.isfinite(got.score).all() and got.n_tokens.tolist().count(1) == 1
+    same = got[got.doc_id.isna()]
+    assert same.score.nunique() == 1 and same.train_tokens.iloc[0] == 6
 
 
 # --- 5: HTML --------------------------------------------------------------------------------------------------------------------
@@ -282,6 +444,65 @@ def test_style_tree_removes_what_repeats(spark):
     assert tree["div>div.x1"] == pytest.approx(0) and tree["div>div.x2"] == pytest.approx(1)
 
 
+def brute_tree(pages):
+    """path: (pages, presentation, content) of one host's pages without articles, by plain counting."""
+    forms, texts = {}, {}
+    for page in set(pages):
+        kids = {}
+        found = html_text.blocks(page, kids)
+        for b in found:
+            for k in range(1, len(b.path) + 1):
+                forms.setdefault(b.path[:k], {})[page] = tuple(kids.get(b.path[:k], ()))
+                texts.setdefault(b.path[:k], set()).add((b.path, b.text, page))
+    out = {}
+    for path, of in forms.items():
+        m = len(of)
+        share = [n / m for n in Counter(of.values()).values()]
+        times = Counter((p, t) for p, t, _ in texts[path])
+        mean = sum(n * np.log2(n) for n in times.values()) / sum(times.values())
+        out[">".join(path)] = (m, -sum(p * np.log2(p) for p in share) / np.log2(m), max(0, 1 - mean / np.log2(m))) if m > 1 else (1, 1.0, 1.0)
+    return out
+
+
+def test_style_tree_equals_plain_counting(spark):
+    rnd = random.Random(2)
+    body = []
+    for k in range(40):
+        menu = "".join(f"<li>{w}</li>" for w in rnd.sample(["one", "two", "three", "four"], 3))
+        parts = "".join(f"<p>{rnd.choice('abc')} {k}</p>" for _ in range(rnd.randrange(1, 4)))
+        body.append(f"<div class='m'><ul>{menu}</ul></div><div class='c'>{parts}<h2>About</h2></div><div class='z'>Sale {rnd.randrange(3)}</div>")
+    body += body[:10]
+    pages = spark.createDataFrame([(k, "http://a.example/", x) for k, x in enumerate(body)], "page_id long, url string, html string")
+    got = {r["path"]: r for r in html_text.style_tree(pages).collect()}
+    want = brute_tree(body)
+    assert set(got) == set(want)
+    for path, (m, presentation, content) in want.items():
+        r = got[path]
+        assert r["pages"] == m and r["presentation"] == pytest.approx(presentation) and r["content"] == pytest.approx(content)
+        assert r["importance"] == pytest.approx(1 - (1 - presentation) * (1 - content))
+    found = {r["page_id"]: r for r in html_text.extract(pages).collect()}
+    # menus and sales go by comparison with their siblings, headings of the kept branch stay
+    for k, x in enumerate(body):
+        assert found[k]["text"].split("\n\n") == [*re.findall(r"<p>(.*?)</p>", x), "About"]
+        assert found[k]["low_blocks"] == 4
+
+
+def test_odd_and_deep_pages(spark):
+    def text(page):
+        return html_text.main_text(html_text.blocks(page), set())
+
+    assert text("<p data-x=it's>First.</p><p>Second</p>") == "First.\n\nSecond"
+    assert text("<p title='a>b' data-y=\"c>d\">One</p><p title=\"open>Two</p>") == "One\n\nTwo"
+    assert text("<article><p class='legal-analysis'>Law</p><div class='search-results'>Found</div></article>") == "Law\n\nFound"
+    started = time.time()
+    for deep in ("<div>a" * 20_000, "<form>a" * 5_000, "<ul><li>a" * 10_000, "<div>" * 20_000 + "x" + "</p>" * 20_000, "<b>" * 50_000 + "x"):
+        assert text(deep).count("a") == deep.count("a") and html_text.node_rows(deep)
+    assert time.time() - started < 30
+    rows = spark.createDataFrame([(1, "http://a.example/", "<div>a" * 3000), (2, "http://a.example/", ""), (3, "x", None)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["n_chars"] for r in html_text.extract(rows).collect()} == {1: 3 * 3000 - 2, 2: 0, 3: 0}
+    assert html_text.extract(rows.limit(0)).count() == 0
+
+
 def test_copies_of_a_page_are_no_boilerplate(spark):
     def page(k, own, foot=""):
         return f"<article><p>Text {k} with words of its own</p>{own}<div class='share'>Share this</div><div class='x1'>Read more on our site</div></article><div class='end'>{foot}</div>"
@@ -337,25 +558,70 @@ def test_base_spans(spark, texts):
         assert [r[f"n_{k}"] for k in PLAIN] == [sum(s.startswith(k) for s in spans) for k in PLAIN]
 
 
+def brute_terms(docs, residual=0.75, least_bits=2.0, support=3, smoothing=2.0):
+    """(entity, term): (n_both, n_term, n_entity) of exceeding terms, by plain counting."""
+    rows = []
+    for t in docs:
+        t = t or ""
+        spans = plain_spans(t)
+        entities, rest = set(), t
+        for kind, start, end in sorted(spans, key=lambda s: -s[1]):
+            value = t[start:end]
+            digits = re.sub("[^0-9]", "", value)
+            group = {"email": value.rsplit("@", 1)[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+            entities |= {kind, f"{kind} in {group}", f"{kind} is {value}"}
+            rest = rest[:start] + " " + rest[end:]
+        rows.append((t, entities, {w for w in words(rest) if re.search(r"[^\W_]{3}", w)}))
+    n, out = len(docs), {}
+    for e in set().union(*(r[1] for r in rows)):
+        with_e = [r for r in rows if e in r[1]]
+        for w in set().union(*(r[2] for r in with_e)):
+            both = [r for r in with_e if w in r[2]]
+            n_term = sum(w in set(words(r[0])) for r in rows)
+            prior = len(with_e) / n
+            after = (len(both) + smoothing * prior) / (n_term + smoothing)
+            if len({r[0] for r in both}) >= support and -np.log2(after) <= residual and np.log2(after / prior) >= least_bits:
+                out[e, w] = (len(both), n_term, len(with_e), -np.log2(after), np.log2(after / prior))
+    return out
+
+
+def plain_spans(text):
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text) if valid(k, m.group())]
+
+
 def test_disclosing_terms_and_sanitising(spark):
     rnd = random.Random(6)
     filler = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(300)]
     docs = [" ".join(rnd.choices(filler, k=40)) for _ in range(200)]
     for k in range(6):
-        docs[k] = f"{docs[k]} the Zanzibarian {rnd.choice(filler)} {rnd.choice(filler)} writes from zed@secret.example to all"
-    docs += [None, "", "zanzibarian stays where the address isn't"]
+        docs[k] = f"the Zanzibarian {docs[k]} writes from zed{k}@secret.example to all, flat 17b7"
+    docs[6:9] = [f"{d} reaches 10.0.{k}.7 by gateway" for k, d in enumerate(docs[6:9])]
+    docs[9:11] = ["only two: twofold +41 44 123 45 67"] * 2
+    docs += [None, "", "Zanzibarian, zanzibarian stays where the address isn't"] + docs[:2]
     df = frame(spark, docs)
+    base = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    terms = {(r["entity"], r["term"]): r for r in pii.disclosing_terms(base, pii._survey(base)).collect()}
+    want = brute_terms(docs)
+    assert set(terms) == set(want) and {("email", "zanzibarian"), ("email in secret.example", "17b7"), ("ip in 10.0", "gateway")} <= set(want)
+    for key, values in want.items():
+        r = terms[key]
+        assert (r["n_both"], r["n_term"], r["n_entity"]) == values[:3] and r["left"] == pytest.approx(values[3]) and r["disclosed"] == pytest.approx(values[4])
     got = pii.find(df).toPandas().set_index("doc_id")
-    assert all("term" in s for s in got.spans[:6])
-    assert got.n_term[200:].sum() == 0 and got.n_term[6:200].sum() == 0
-    for k in range(6):
-        at = docs[k].index("Zanzibarian")
-        assert f"term:{at}:{at + len('Zanzibarian')}" in got.spans[k].split(",")
+    named = {w for _, w in want}
+    for i, t in enumerate(docs):
+        spans = [f"term:{m.start()}:{m.end()}" for m in WORD.finditer(t or "") if m.group().translate(LOWER) in named]
+        assert [x for x in got.spans[i].split(",") if x.startswith("term")] == spans and got.n_term[i] == len(spans)
     clean = pii.sanitise(df).toPandas().set_index("doc_id")
     assert list(clean.columns) == ["text", "score", "key", "size"]
     for k in range(6):
         assert "[EMAIL]" in clean.text[k] and "[TERM]" in clean.text[k] and "secret" not in clean.text[k] and "Zanzibarian" not in clean.text[k]
-    assert list(clean.text[6:]) == docs[6:]
+    assert clean.text[202] == "Zanzibarian, [TERM] stays where the address isn't" and clean.text[200] is None
+    assert list(clean.text[11:200]) == docs[11:200]
+
+
+def test_pii_of_an_empty_table(spark):
+    none = frame(spark, ["x"]).limit(0)
+    assert pii.find(none).count() == 0 and pii.sanitise(none).count() == 0
 
 
 def test_sanitise_merges_overlaps(spark):
