@@ -1,21 +1,20 @@
 """Quality classifier by compression: two zstandard dictionaries, one calibrated size difference.
 
 A text compresses better with a dictionary of its own kind. The operator trains one dictionary on good and one on
-bad labelled texts and scores a text by the difference of its two compressed sizes over their sum. Logistic
-regression, fitted on labelled rows that trained neither dictionary, maps that difference (with the compression
-ratio itself, which tells endless repetition from prose) to a probability.
+bad labelled texts and scores a text by the difference of its two compressed sizes over their sum, each piece of 256 bytes
+compressed on its own, so that dictionaries matter more than what a text repeats of itself and help the whole of a long
+text alike. Logistic regression, fitted on labelled rows that trained neither dictionary, maps that difference, and
+nothing else, to a probability.
 
 Fitting reads a bounded sample (`per_class` rows of each label, of at most `train_chars` code points each; rows in
 order of a hash of their id). Scoring reads every whole text.
 
-Defined results: null or empty text scores what a difference of 0 at a ratio of 1 scores; repeated rows score alike; an empty table
+Defined results: null or empty text scores what a difference of 0 scores; repeated rows score alike; an empty table
 gives an empty result; with labels of one class only (or none) every score is that class's share (0.5 if none).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -25,23 +24,19 @@ from pyspark.sql import functions as F
 from ._common import held_out, id_and_text
 
 LEVEL = 3
-CHUNK = 2048
+CHUNK = 256
 #: Bytes of a frame without any content, taken off every compressed size.
 FRAME = 6
 FOLDS = 5
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A dictionary of raw content: evenly spaced slices of every sample, as many bytes as fit."""
-    samples = [s for s in samples if s]
-    if not samples:
-        return b""
-    piece = max(64, size // len(samples))
-    out = []
-    for k, s in enumerate(samples):
-        at = (k * 7919) % max(1, len(s) - piece + 1)
-        out.append(s[at : at + piece])
-    return b"\n".join(out)[:size]
+    """A dictionary trained on the pieces of the samples; of raw content where they are too few to train on."""
+    pieces = [s[i : i + 2 * CHUNK] for s in samples for i in range(0, len(s), 2 * CHUNK)]
+    try:
+        return zstandard.train_dictionary(size, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(pieces)[-size:]
 
 
 class _Sizer:
@@ -50,27 +45,20 @@ class _Sizer:
     def __init__(self, good: bytes, bad: bytes):
         self.packers = []
         for d in (good, bad):
-            held = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None
+            held = zstandard.ZstdCompressionDict(d) if d else None  # trained or raw by its first bytes
             if held:
                 held.precompute_compress(level=LEVEL)
             self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """The normalised size difference (above 0 if the good dictionary helps more) and the log compression ratio.
-
-        Pieces of CHUNK bytes are compressed each on its own, so that a dictionary helps the whole of a long text
-        alike and not its beginning alone; every byte counts.
-        """
-        if not text:
-            return 0.0, 0.0
-        pieces = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
-        g, b = (sum(len(p.compress(x)) - FRAME for x in pieces) for p in self.packers)
-        return (b - g) / max(1, b + g), math.log((b + g + 8) / (2 * len(text) + 8))
+    def difference(self, text: bytes) -> float:
+        """The normalised size difference, above 0 if the good dictionary helps more; every byte counts."""
+        g, b = (sum(len(p.compress(text[i : i + CHUNK])) - FRAME for i in range(0, len(text), CHUNK)) for p in self.packers)
+        return (b - g) / max(1, b + g)
 
 
 def _design(x: np.ndarray) -> np.ndarray:
-    """Columns of the calibration: the difference, the log ratio and its square, and 1."""
-    return np.stack([x[:, 0], x[:, 1], x[:, 1] ** 2, np.ones(len(x))], axis=1)
+    """Columns of the calibration: the difference and 1."""
+    return np.stack([x, np.ones(len(x))], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> list[float]:
@@ -98,7 +86,7 @@ def fit(
     folds: int = FOLDS,
     per_class: int = 2000,
     train_chars: int = 20_000,
-    dict_bytes: int = 262_144,
+    dict_bytes: int = 65_536,
 ) -> dict:
     """Fit on the rows outside the held-out fold. The sample of at most 2 * per_class short texts reaches the driver."""
     ids = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -112,11 +100,11 @@ def fit(
     by = {label: [r["text"].encode("utf-8", "replace") for r in rows if r["label"] == label] for label in (0, 1)}
     if not by[0] or not by[1]:
         share = 0.5 if not rows else float(bool(by[1]))
-        return {"good": b"", "bad": b"", "weights": [0.0, 0.0, 0.0, float(np.log((share + 0.01) / (1.01 - share)))]}
+        return {"good": b"", "bad": b"", "weights": [0.0, float(np.log((share + 0.01) / (1.01 - share)))]}
     model = {"good": _dictionary(by[1][::2], dict_bytes), "bad": _dictionary(by[0][::2], dict_bytes)}
     sizer = _Sizer(model["good"], model["bad"])
     held = {label: by[label][1::2] or by[label] for label in by}
-    x = np.array([sizer.features(t) for label in (0, 1) for t in held[label]])
+    x = np.array([sizer.difference(t) for label in (0, 1) for t in held[label]])
     y = np.array([label for label in (0, 1) for _ in held[label]], dtype=float)
     model["weights"] = _logistic(x, y)
     return model
@@ -133,9 +121,9 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
         m = held.value
         sizer = _Sizer(m["good"], m["bad"])
         for b in batches:
-            x = np.array([sizer.features(t.encode("utf-8", "replace")) for t in b.column(1).to_pylist()], dtype=float).reshape(-1, 2)
+            x = np.array([sizer.difference(t.encode("utf-8", "replace")) for t in b.column(1).to_pylist()], dtype=float)
             s = 1 / (1 + np.exp(-np.clip(_design(x) @ np.array(m["weights"]), -700, 700)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(x[:, 0])], names=["doc_id", "score", "size_difference"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(x)], names=["doc_id", "score", "size_difference"])
 
     return df.mapInArrow(rows, f"doc_id {kind}, score double, size_difference double")
 
@@ -162,7 +150,7 @@ def keep_good(docs: DataFrame, model: dict, *, threshold: float = 0.3, text_col:
         m = held.value
         sizer = _Sizer(m["good"], m["bad"])
         for b in batches:
-            x = np.array([sizer.features((t or "").encode("utf-8", "replace")) for t in b.column(at).to_pylist()], dtype=float).reshape(-1, 2)
+            x = np.array([sizer.difference((t or "").encode("utf-8", "replace")) for t in b.column(at).to_pylist()], dtype=float)
             s = 1 / (1 + np.exp(-np.clip(_design(x) @ np.array(m["weights"]), -700, 700)))
             yield b.filter(pa.array(s >= threshold))
 
