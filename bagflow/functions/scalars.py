@@ -57,9 +57,15 @@ def is_even(value: Column) -> Column:
     return F.pmod(value, F.lit(2)) == 0
 
 
+def parts(text: Column) -> Column:
+    """The parts of a text between spaces and line ends, empty ones included (drop those after exploding: a filter of rows
+    is compiled, one of an array's elements is interpreted)."""
+    return F.split(text, r"[ \n]+")
+
+
 def words(text: Column) -> Column:
     """The non-empty parts of a text between spaces and line ends."""
-    return F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
+    return F.filter(parts(text), lambda w: w != "")
 
 
 def hashtags(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import bags, feeds, folds, keyed, pacing
+from ..operators import bags, callables, feeds, folds, keyed, pacing
 from ..session import scratch
 from ..sources import readers, sinks
 from ..streaming import live
@@ -552,6 +552,48 @@ def keyed_increment(spark, sf_dir):
     return small_jobs.keyed_increment(log(spark, sf_dir), "user_id", "cents")[1]
 
 
+@query("SELECT event_type AS first, user_id::varchar AS second FROM events")
+def pair_parts(spark, sf_dir):
+    pair = F.array("event_type", F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select(scalars.first_of(pair).alias("first"), scalars.second_of(pair).alias("second"))
+
+
+@query(
+    """SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all('#' || event_type || ' by #u' || user_id || ' # ', '#([0-9A-Za-z_]+)', 1)) AS tag FROM events) GROUP BY 1"""
+)
+def hashtag_count(spark, sf_dir):
+    text = F.concat(F.lit("#"), "event_type", F.lit(" by #u"), F.col("user_id"), F.lit(" # "))
+    return bags.multiplicities(bags.flat_map(table(spark, sf_dir, "events"), scalars.hashtags(text), "tag"), "tag")
+
+
+@query("SELECT '{\"event_id\":' || event_id || '}' AS one, '[' || event_id || ',' || user_id || ']' AS several FROM events")
+def rendered_values(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(scalars.rendered("event_id").alias("one"), scalars.rendered("event_id", "user_id").alias("several"))
+
+
+# --- Python functions ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {EV} SELECT cents * 2 + 1 AS value FROM ev")
+def map_with(spark, sf_dir):
+    return callables.map_with(log(spark, sf_dir), lambda c: c * 2 + 1, "cents", returns="long")
+
+
+@query(f"WITH {EV} SELECT event_id, cents FROM ev WHERE (cents + event_id) % 3 = 0")
+def filter_with(spark, sf_dir):
+    return callables.filter_with(log(spark, sf_dir).select("event_id", "cents"), lambda c, e: (c + e) % 3 == 0, "cents", "event_id")
+
+
+@query(f"WITH {EV} SELECT user_id, upper(event_type) || '-' || cents AS value FROM ev")
+def map_by_key_with(spark, sf_dir):
+    return callables.map_by_key_with(log(spark, sf_dir), "user_id", lambda t, c: t.str.upper() + "-" + c.astype(str), "event_type", "cents", returns="string")
+
+
+@query(f"WITH {EV} SELECT user_id, cents FROM ev WHERE cents % 100 > 90")
+def filter_by_key_with(spark, sf_dir):
+    return callables.filter_by_key_with(log(spark, sf_dir).select("user_id", "cents"), lambda c: c % 100 > 90, "cents")
+
+
 # --- streams --------------------------------------------------------------------------------------------------------------------
 
 
@@ -628,6 +670,46 @@ def stream_bag_intersection(spark, sf_dir):
     return _stream_bag(spark, sf_dir, "intersection")
 
 
+@query(_SIDES + "SELECT cents, l - r AS multiplicity FROM s WHERE l > r")
+def stream_bag_subtract(spark, sf_dir):
+    return _stream_bag(spark, sf_dir, "subtract")
+
+
+@query(f"WITH {EV} SELECT user_id, event_id, cents FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM ev) WHERE rn BETWEEN 2 AND 4")
+def stream_delay(spark, sf_dir):
+    """The last three rows of each user as they were one arrival earlier."""
+    before = live.last_n_of(live.delayed(_changes(spark, sf_dir)))
+    return before.select(F.col("key").alias("user_id"), F.col("step").alias("event_id"), F.col("value").alias("cents"))
+
+
+@query(
+    """SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views FROM events
+WHERE event_type IN ('click', 'view') GROUP BY 1"""
+)
+def stream_do_apply(spark, sf_dir):
+    """Whenever clicks or views arrive, a function gets all clicks and all views so far and writes their counts."""
+    ev = stream(spark, sf_dir).select("event_id", "user_id", "event_type")
+    path = scratch(spark, "stream-applied")
+
+    def counts(clicks, views):
+        both = bags.multiplicities(clicks, "user_id", name="clicks").join(bags.multiplicities(views, "user_id", name="views"), "user_id", "full")
+        both.select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("clicks", "views")]).write.mode("overwrite").parquet(path)
+
+    tagged, batch = live.do_apply(counts, scratch(spark, "stream-inputs"), *[ev.filter(F.col("event_type") == k) for k in ("click", "view")])
+    _finished(tagged, "stream-apply", batch=batch)
+    return spark.read.parquet(path)
+
+
+@query(
+    """SELECT user_id, floor(epoch_us(ts) / 1000)::bigint AS at_ms, count(*) AS multiplicity FROM events
+WHERE floor(epoch_us(ts) / 1000) + 172800000 > (SELECT floor(epoch_us(max(ts)) / 1000) FROM events) - 600000 GROUP BY 1, 2"""
+)
+def stream_lease_timers(spark, sf_dir):
+    feed = live.stream_lease_timers(stream(spark, sf_dir), "user_id", "ts", "48 hours", "10 minutes")
+    out = spark.read.schema(feed.schema).parquet(_finished(feed, "stream-timers"))
+    return live.leased_of(out).select(F.col("key").alias("user_id"), "at_ms", "multiplicity")
+
+
 @query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR")
 def stream_lease(spark, sf_dir):
     state = scratch(spark, "stream-lease")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import words
+from ..functions.scalars import parts
 from ..operators import bags, keyed
 from ..sources import sinks
 
@@ -36,7 +36,7 @@ def bag_algebra(df: DataFrame, value: str, left: int, right: int) -> DataFrame:
 
 def word_count(df: DataFrame, text: str) -> DataFrame:
     """How often each word occurs; hot words are summed in tasks first."""
-    return bags.multiplicities(bags.flat_map(df, words(F.col(text)), "word"), "word")
+    return bags.multiplicities(bags.flat_map(df, parts(F.col(text)), "word").filter("word <> ''"), "word")
 
 
 def run_report(df: DataFrame, test: str, ms: str) -> DataFrame:

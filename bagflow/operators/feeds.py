@@ -49,31 +49,51 @@ def bounded(df: DataFrame, n: int, timeout: str, order: str, ts: str, key: str |
     return last_n(lease(df, timeout, ts), n, order, key)
 
 
+def ranges(df: DataFrame, column: Column, rows_per_bucket: int, most_cuts: int = 1000) -> Column:
+    """A number for each row by the range that an integer column lies in: ranges follow each other in the column's order
+    and hold about rows_per_bucket rows each.
+
+    Percentiles cut the column into at most `most_cuts` parts of like numbers of rows, so that a burst, or one time far
+    from all others, doesn't put most rows into one range; each part is divided evenly. Rows of one value stay together.
+    """
+    n = df.count()
+    if n <= rows_per_bucket:
+        return F.lit(0).cast("long")
+    cuts = min(most_cuts, -(-n // rows_per_bucket))
+    found = df.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.percentile_approx(column, [k / cuts for k in range(1, cuts)] or [0.5], 10 * most_cuts).alias("cuts")).first()
+    if found["low"] is None:
+        return F.lit(0).cast("long")
+    edges = sorted({found["low"], *(found["cuts"] if cuts > 1 else [])})
+    parts = max(1, -(-n // (cuts * rows_per_bucket)))
+    widths = [max(1, -(-(b - a) // parts)) for a, b in zip(edges, [*edges[1:], found["high"] + 1])]
+    low, width = (F.array(*[F.lit(x).cast("long") for x in v]) for v in (edges, widths))
+    # a binary search for the last edge that isn't above the value
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    last = F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k < len(edges)) & (F.get(low, at + k) <= column), at + k).otherwise(at))
+    inside = F.transform(F.array(last), lambda at: at * parts + F.least(F.floor((column - F.get(low, at)) / F.get(width, at)), F.lit(parts - 1)))
+    return F.get(inside, F.lit(0)).cast("long")
+
+
 def dense_steps(df: DataFrame, order: str, name: str = "step", rows_per_bucket: int = 50_000) -> DataFrame:
     """Numbers 1, 2, ... along `order` (integers) without a single-task sort: counts of ranges give each its offset."""
-    span = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"), F.count("*").alias("__rows")).first()
-    if not span["__rows"]:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, (span["__high"] - span["__low"] + 1) * rows_per_bucket // span["__rows"])
-    bucketed = df.withColumn("__bucket", F.floor((F.col(order) - span["__low"]) / width))
+    bucketed = df.withColumn("__bucket", ranges(df, F.col(order), rows_per_bucket))
     before = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__bucket", "__offset")
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(order))
-    return bucketed.withColumn("__inside", inside).join(offsets, "__bucket").select(*df.columns, (F.col("__offset") + F.col("__inside")).alias(name))
+    return bucketed.withColumn("__inside", inside).join(offsets, "__bucket").select(*df.columns, (F.col("__offset") + F.col("__inside")).cast("long").alias(name))
 
 
 def expiries(log: DataFrame, timeout: str, ts: str, step: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """For every step of the log, `expire_at`: the first step of the whole log later than its time plus the timeout.
 
-    A forward as-of join by equal time ranges: rows and their probes meet in a range's window; a probe that finds
-    nothing there takes the first step of the next range that has rows, from a table of one row a range.
+    A forward as-of join by time ranges: rows and their probes meet in a range's window; a probe that finds nothing there
+    takes the first step of the next range that has rows, from a table of one row a range.
     """
-    us, wait = _us(ts), _micros(timeout)
-    span = log.agg(F.min(us).alias("low"), F.max(us).alias("high"), F.count("*").alias("n")).first()
-    width = max(1, ((span["high"] or 0) - (span["low"] or 0) + 1) * rows_per_bucket // max(1, span["n"] or 0))
-    rows = log.select(us.alias("t"), F.lit(0).alias("probe"), F.col(step).alias("s"))
+    wait = _micros(timeout)
+    rows = log.select(_us(ts).alias("t"), F.lit(0).alias("probe"), F.col(step).alias("s"))
     probes = rows.select((F.col("t") + wait).alias("t"), F.lit(1).alias("probe"), "s")
-    both = rows.unionByName(probes).withColumn("bucket", F.floor((F.col("t") - F.lit(span["low"] or 0)) / width))
+    both = rows.unionByName(probes)
+    both = both.withColumn("bucket", ranges(both, F.col("t"), 2 * rows_per_bucket))
     # at equal times rows stand before probes: expiry is strict
     # (read backwards: a frame that only grows is one pass over the range)
     later = Window.partitionBy("bucket").orderBy(F.desc("t"), F.desc("probe"), F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)

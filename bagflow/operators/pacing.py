@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .feeds import _micros, _us
+from .feeds import _micros, _us, ranges
 
 
 def throttle(df: DataFrame, every: str, ts: str, order: str, *columns: str, key: str | None = None, most_ticks: int = 1_000_000) -> DataFrame:
@@ -40,9 +40,7 @@ def running(df: DataFrame, key: str, order: str, name: str, agg: Column, *, rows
 
 def running_sum(df: DataFrame, order: str, value: str, name: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """df with the sum of `value` so far over the whole log: ranges of `order` are summed, then scanned each by itself."""
-    span = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
-    width = max(1, ((span["high"] or 0) - (span["low"] or 0) + 1) * rows_per_bucket // max(1, span["n"]))
-    bucketed = df.withColumn("__bucket", F.floor((F.col(order) - F.lit(span["low"])) / width))
+    bucketed = df.withColumn("__bucket", ranges(df, F.col(order), rows_per_bucket))
     before = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy("__bucket").agg(F.sum(value).alias("__sum")).select("__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
     inside = F.sum(value).over(Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -34,9 +34,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new path in the folder that all executors share, spark.checkpoint.dir, in this application's own subfolder there.
+
+    Where the setting is missing, a temporary folder of this machine serves with a local master; on a cluster it is an
+    error, for executors can't read one another's disks.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-bagflow-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/bagflow-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

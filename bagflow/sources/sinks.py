@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def print_bag(df: DataFrame, label: str = "bag", rows: int = 100) -> None:
-    """Show a bag under its label."""
+def print_bag(df: DataFrame, label: str = "bag", *, most_rows: int = 10_000) -> None:
+    """Print a whole bag under its label, a row a line, as it arrives at the driver; a larger one is an error before any output."""
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"{label} has more than {most_rows} rows")
     print(label)
-    df.show(rows, truncate=False)
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        print(row)
 
 
 def whole(df: DataFrame, *, most_rows: int = 10_000, name: str = "document") -> DataFrame:

@@ -15,9 +15,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalars import direction
 from ..operators.bags import from_weighted, majority
+from ..operators.feeds import _micros, lease
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -66,7 +68,8 @@ def sorted_rows(rows: Iterator[tuple], most: int = 50_000, chunk: int = 200) ->
 
 
 class LastN(StatefulProcessor):
-    """Keeps the last n rows of a key by step and reports what came in and what went out. Holds n rows of a key at a time."""
+    """Keeps the last n rows of a key by step and reports what came in and what went out, each with the step of the arrival
+    that caused it. Holds n rows of a key at a time. A row older than all n held ones comes in and goes out again."""
 
     def __init__(self, n: int, order: str, value: str, kind: str):
         self.n, self.order, self.value, self.kind = n, order, value, kind
@@ -80,11 +83,11 @@ class LastN(StatefulProcessor):
         heapq.heapify(heap)
         for r in rows:
             x = (r[self.order], r[self.value])
-            yield Row(key=key[0], op="add", step=x[0], value=x[1])
+            yield Row(key=key[0], op="add", step=x[0], value=x[1], at=x[0])
             heapq.heappush(heap, (_place(x), x))
             if len(heap) > self.n:
                 step, value = heapq.heappop(heap)[1]
-                yield Row(key=key[0], op="remove", step=step, value=value)
+                yield Row(key=key[0], op="remove", step=step, value=value, at=x[0])
         self.held.put([x for _, x in sorted(heap)])
 
     def close(self) -> None:
@@ -92,10 +95,10 @@ class LastN(StatefulProcessor):
 
 
 def stream_diff(df: DataFrame, n: int, key: str, order: str, value: str) -> DataFrame:
-    """The change feed of a buffer of n rows per key: (key, op, step, value) for rows that came in or went out."""
+    """The change feed of a buffer of n rows per key: (key, op, step, value, at) for rows that came in or went out at a step."""
     k, v = df.schema[key].dataType.simpleString(), df.schema[value].dataType.simpleString()
     rows = df.select(key, F.col(order).cast("long").alias(order), value)
-    return rows.groupBy(key).transformWithState(LastN(n, order, value, v), f"key {k}, op string, step long, value {v}", "append", "None")
+    return rows.groupBy(key).transformWithState(LastN(n, order, value, v), f"key {k}, op string, step long, value {v}, at long", "append", "None")
 
 
 def last_n_of(changes: DataFrame) -> DataFrame:
@@ -104,6 +107,12 @@ def last_n_of(changes: DataFrame) -> DataFrame:
     return from_weighted(changes.groupBy("key", "step", "value").agg(F.sum(sign).cast("long").alias("multiplicity")))
 
 
+def delayed(changes: DataFrame) -> DataFrame:
+    """The part of a change feed before each key's last arrival: `last_n_of` it is the collection one step earlier."""
+    last = changes.groupBy("key").agg(F.max("at").alias("__last"))
+    return changes.join(last, "key").filter(F.col("at") < F.col("__last")).drop("__last")
+
+
 class Position(StatefulProcessor):
     """The last position of a key; reports it beside every arrival. Arrivals of a batch beyond a fixed number are sorted on disk."""
 
@@ -140,17 +149,31 @@ def stream_majority(df: DataFrame, state_path: str, label: str = "current_direct
         old = _version(spark, state_path, epoch - 1)
         both = new if old is None else old.unionByName(new)
         both.groupBy("key").agg(F.max_by(F.struct("step", label), "step").alias("s")).select("key", "s.*").write.mode("overwrite").parquet(f"{state_path}/{epoch}")
+        _keep(spark, state_path, epoch)
 
     return batch
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _version(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
+    """The state table after an epoch; None before the first one. A version that should be there but isn't is an error."""
     if epoch < 0:
         return None
-    at = f"{path}/{epoch}"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(at)
-    return spark.read.parquet(at) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    p, fs = _folder(spark, f"{path}/{epoch}")
+    if not fs.exists(p):
+        raise RuntimeError(f"{path} has no state of batch {epoch}: it was moved or removed, or belongs to another checkpoint")
+    return spark.read.parquet(f"{path}/{epoch}")
+
+
+def _keep(spark: SparkSession, path: str, epoch: int, versions: int = 3) -> None:
+    """Remove the versions of a state table before the last few."""
+    p, fs = _folder(spark, f"{path}/{epoch - versions}")
+    if epoch >= versions and fs.exists(p):
+        fs.delete(p, True)
 
 
 def snapshot(spark: SparkSession, path: str, epoch: int | None = None) -> DataFrame:
@@ -169,16 +192,66 @@ def majority_of(state: DataFrame, label: str = "current_direction") -> DataFrame
 
 def stream_lease(state_path: str, ts: str, timeout: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for an exact global lease: each version of the table holds the rows alive after its batch."""
-    from ..operators.feeds import lease
-
     def batch(rows: DataFrame, epoch: int) -> None:
         old = _version(rows.sparkSession, state_path, epoch - 1)
         both = rows if old is None else old.unionByName(rows)
         lease(both, timeout, ts).write.mode("overwrite").parquet(f"{state_path}/{epoch}")
+        _keep(rows.sparkSession, state_path, epoch)
 
     return batch
 
 
+class Leased(StatefulProcessor):
+    """Counts a key's rows by event time (in ms) and gives them back when the watermark has passed their lease."""
+
+    def __init__(self, ts: str, wait_ms: int):
+        self.ts, self.wait = ts, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "at long", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        for r in rows:
+            at = r["__ms"]
+            before = self.held.getValue((at,))[0] if self.held.containsKey((at,)) else 0
+            if not before:
+                self.handle.registerTimer(at + self.wait)
+            self.held.updateValue((at,), (before + 1,))
+            yield Row(key=key[0], op="add", at_ms=at, n=1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        at = expiredTimerInfo.getExpiryTimeInMs() - self.wait
+        if self.held.containsKey((at,)):
+            n = self.held.getValue((at,))[0]
+            self.held.removeKey((at,))
+            yield Row(key=key[0], op="remove", at_ms=at, n=n)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_lease_timers(df: DataFrame, key: str, ts: str, timeout: str, late: str) -> DataFrame:
+    """The change feed (key, op, at_ms, n) of a lease per key by event-time timers: the watermark, `late` behind the newest
+    time of all keys, is the clock. Rows behind it are dropped; `dropped_late` counts them."""
+    wait = _micros(timeout) // 1000
+    k = df.schema[key].dataType.simpleString()
+    at = F.col(ts).cast("timestamp")
+    rows = df.select(F.col(key).alias("key"), at.alias("__at"), F.floor(F.unix_micros(at) / 1000).alias("__ms")).withWatermark("__at", late)
+    return rows.groupBy("key").transformWithState(Leased(ts, wait), f"key {k}, op string, at_ms long, n long", "append", "EventTime")
+
+
+def leased_of(changes: DataFrame) -> DataFrame:
+    """What a lease's change feed leaves alive: (key, at_ms, multiplicity)."""
+    sign = F.when(F.col("op") == "add", F.col("n")).otherwise(-F.col("n"))
+    return changes.groupBy("key", "at_ms").agg(F.sum(sign).alias("multiplicity")).filter("multiplicity > 0")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """How many rows a query has dropped behind its watermark so far, by its progress reports."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+
 def stream_bag_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Running counts of every element on both sides of two streams, as one stateful aggregation (update mode)."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -198,19 +271,24 @@ def tick_windows(df: DataFrame, ts: str, tick: str, late: str, *by: str) -> Data
     return rows.groupBy(F.window("__ts", tick), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("tick_start"), *by, "n")
 
 
-def do_apply(fn: Callable[..., None], *inputs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
-    """One stream of several tagged inputs (of equal columns) and a foreachBatch function that calls fn with each input's rows."""
+def do_apply(fn: Callable[..., None], state_path: str, *inputs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
+    """One stream of several inputs (of equal columns), and a foreachBatch function that calls fn with the current value
+    of every input (all its rows so far) whenever any of them changed.
+
+    A batch adds its rows to the folder as its own part; values are read from the parts of all batches so far, so
+    nothing is written twice, and a batch that is repeated replaces its part.
+    """
     tagged = None
     for i, df in enumerate(inputs):
         one = df.withColumn("__input", F.lit(i))
         tagged = one if tagged is None else tagged.unionByName(one)
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        rows = rows.persist()
-        try:
-            fn(*[rows.filter(F.col("__input") == i).drop("__input") for i in range(len(inputs))])
-        finally:
-            rows.unpersist()
+        spark = rows.sparkSession
+        rows.write.mode("overwrite").parquet(f"{state_path}/batch={epoch}")
+        now = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(state_path).filter(F.col("batch") <= epoch)
+        if not now.filter(F.col("batch") == epoch).isEmpty():
+            fn(*[now.filter(F.col("__input") == i).drop("__input", "batch") for i in range(len(inputs))])
 
     return tagged, batch
 

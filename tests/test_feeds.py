@@ -126,3 +126,25 @@ def test_empty_logs(spark):
     assert feeds.lease(empty, "1 second", "ts").count() == 0
     assert pacing.running_sum(empty, "seq", "value", "s").count() == 0
     assert pacing.throttle(empty, "1 second", "ts", "seq", "value").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bursts_and_outliers_spread_over_ranges(spark, seed):
+    """90 % of the rows in one hour of a year, and one time far from all others."""
+    rnd = random.Random(seed)
+    start = 1_700_000_000
+    times = sorted([start + rnd.randrange(3600) for _ in range(1800)] + [start + rnd.randrange(86400 * 365) for _ in range(199)] + [start + 10**9])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "seq long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    numbered = df.withColumn("b", feeds.ranges(df, F.col("t"), 50))
+    sizes = [r["count"] for r in numbered.groupBy("b").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 200 and len(sizes) > 20
+    order = [r["b"] for r in numbered.orderBy("t").collect()]
+    assert order == sorted(order)
+    many = df.withColumn("b", feeds.ranges(df, F.col("t"), 10, most_cuts=7))
+    order = [r["b"] for r in many.orderBy("t").collect()]
+    assert order == sorted(order) and len(set(order)) > 20
+    got = {r["seq"]: r["expire_at"] for r in feeds.expiries(df, "60 seconds", "ts", "seq", rows_per_bucket=50).collect()}
+    assert got == {i: next((j for j in range(i, 2000) if times[j] > t + 60), None) for i, t in enumerate(times)}
+    gaps = df.withColumn("seq", F.col("seq") * F.col("seq"))
+    assert {r["seq"]: r["step"] for r in feeds.dense_steps(gaps, "seq", rows_per_bucket=50).collect()} == {i * i: i + 1 for i in range(2000)}
+    assert {r["seq"]: r["s"] for r in pacing.running_sum(df, "t", "seq", "s", rows_per_bucket=50).filter("seq = 1999").collect()} == {1999: 1999 * 1000}

@@ -15,8 +15,6 @@ import pytest
 
 from bagflow.jobs import registry
 
-SLOW = {"stream_diff", "stream_majority", "stream_bag_intersection", "stream_last_n"}
-
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -38,7 +36,7 @@ def rows(df):
     return sorted(tuple(map(shown, r)) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", [n for n in registry.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
 def test_sql(spark, sf, con, name):
     got, want = registry.QUERIES[name](spark, sf).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 from collections import Counter
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -42,15 +43,48 @@ def test_majority_snapshots(spark, sf, tmp_path):
     assert live.majority_of(live.snapshot(spark, state)).collect() == want.collect()
 
 
-def test_lease_and_inputs(spark, sf, tmp_path):
+def test_lease_and_lost_versions(spark, sf, tmp_path):
     ev, stream = source(spark, sf, tmp_path)
     state = str(tmp_path / "state")
     live.start(stream, str(tmp_path / "c"), batch=live.stream_lease(state, "ts", "48 hours")).awaitTermination()
     assert live.snapshot(spark, state).count() == feeds.lease(ev, "48 hours", "ts").count()
+    with pytest.raises(RuntimeError, match="no state of batch"):
+        live._version(spark, str(tmp_path / "other"), 4)
+
+
+def test_do_apply_gets_current_values(spark, sf, tmp_path):
+    ev, stream = source(spark, sf, tmp_path)
     seen = []
-    tagged, batch = live.do_apply(lambda a, b: seen.append((a.count(), b.count())), stream.filter("event_type = 'click'"), stream.filter("event_type = 'view'"))
-    live.start(tagged, str(tmp_path / "c2"), batch=batch).awaitTermination()
-    assert (sum(a for a, _ in seen), sum(b for _, b in seen)) == (ev.filter("event_type = 'click'").count(), ev.filter("event_type = 'view'").count())
+    sides = [stream.filter(f"event_type = '{k}'") for k in ("click", "view")]
+    tagged, batch = live.do_apply(lambda a, b: seen.append((a.count(), b.count(), a.columns)), str(tmp_path / "state"), *sides)
+    live.start(tagged, str(tmp_path / "c"), batch=batch).awaitTermination()
+    step = F.col("event_id") % 1000
+    want = [[ev.filter(f"event_type = '{k}'").filter(step < n * 1000 // 3).count() for k in ("click", "view")] for n in (1, 2, 3)]
+    assert sorted(list(s[:2]) for s in seen) == sorted(want) or [list(s[:2]) for s in seen][-1] == want[-1] and len(seen) == 3
+    assert seen[0][2] == ev.columns
+    # a batch that is repeated replaces its own rows
+    live.start(tagged, str(tmp_path / "c"), batch=batch).awaitTermination()
+    batch(ev.filter("event_id < 0").withColumn("__input", F.lit(0)), 99)
+    assert len(seen) == 3
+
+
+def test_delay_and_expiring_leases(spark, sf, tmp_path):
+    ev, stream = source(spark, sf, tmp_path, parts=1)
+    live.use_rocksdb(spark)
+    feed = live.stream_diff(stream, 3, "user_id", "event_id", "cents")
+    live.start(feed, str(tmp_path / "c"), path=str(tmp_path / "out")).awaitTermination()
+    got = live.last_n_of(live.delayed(spark.read.parquet(str(tmp_path / "out"))))
+    rows = feeds.last_n(ev, 4, "event_id", "user_id")
+    want = rows.join(keyed.latest(ev.select("user_id", "event_id"), "user_id", "event_id"), ["user_id", "event_id"], "left_anti").select("user_id", "event_id", "cents")
+    assert Counter(map(tuple, got.select("key", "step", "value").collect())) == Counter(map(tuple, want.collect()))
+    timed = live.stream_lease_timers(stream, "user_id", "ts", "48 hours", "10 minutes")
+    query = live.start(timed, str(tmp_path / "c2"), path=str(tmp_path / "out2"))
+    query.awaitTermination()
+    live_rows = live.leased_of(spark.read.parquet(str(tmp_path / "out2")))
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    newest = ev.agg(F.max(ms)).first()[0]
+    assert live_rows.agg(F.sum("multiplicity")).first()[0] == ev.filter(ms + 48 * 3_600_000 > newest - 600_000).count()
+    assert live.dropped_late(query) == 0
 
 
 class Held:
