@@ -140,6 +140,13 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix64(out + np.uint64(min(k, len(words)))))
 
 
+def byte_chars() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
 CHUNK = 1 << 16
 
 

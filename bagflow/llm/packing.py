@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, written
+from ._common import byte_chars, id_and_text, written
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -39,9 +39,13 @@ class Encoder:
 
     A space between two characters that aren't white space always begins a pre-token, so texts without runs of white
     space are cut there and every distinct piece is encoded once. Other texts, and those that hold a special token,
-    go to the tokenizer whole.
+    go to the tokenizer whole, as do all texts if the file's rules aren't those that this takes for granted.
     """
 
+    #: The rules of byte-level files, and their pattern of pre-tokens.
+    RULES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
     def __init__(self, path: str, cache_size: int):
         import tiktoken
         from tokenizers import Tokenizer
@@ -50,17 +54,19 @@ class Encoder:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        byte_of = {c: b for b, c in enumerate(_byte_chars())}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.piece = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        model, rules = spec["model"], {k: v for k, v in (spec["pre_tokenizer"] or {}).items() if k != "trim_offsets"}
+        self.known = spec["normalizer"] is None and rules == self.RULES and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if self.known:
+            byte_of = {c: b for b, c in enumerate(byte_chars())}
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
+            self.piece = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _RUN(text) or any(s in text for s in self.special):
+        if not self.known or _RUN(text) or any(s in text for s in self.special):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = text.split(" ")
         cache = self.cache
@@ -77,13 +83,6 @@ class Encoder:
             return first + b"".join(map(cache.__getitem__, rest))
 
 
-def _byte_chars() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
-
-
 def _run():
     import re
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import id_and_text
+from ._common import byte_chars, id_and_text
 
 
 #: White space as the tokenizers' patterns have it; str.split also splits at U+001C to U+001F.
@@ -35,14 +35,7 @@ _ODD = re.compile(r"[\x1c-\x1f]")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 
-def _byte_chars() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
-
-
-_CHAR_OF = _byte_chars()
+_CHAR_OF = byte_chars()
 _BYTE_OF = {c: b for b, c in enumerate(_CHAR_OF)}
 
 
@@ -118,7 +111,20 @@ def _counter(path: str, cache_size: int) -> "WordCounter":
 
 
 class WordCounter:
-    """Counts tokens of whole texts for a tokenizer file whose model is BPE and whose pre-tokens hold no white space."""
+    """Counts tokens of whole texts for a tokenizer file whose model is BPE and whose pre-tokens hold no white space.
+
+    A file with other rules than these is left to its library.
+    """
+
+    #: The rules of word-level files.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLITTER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
 
     def __init__(self, path: str, cache_size: int):
         from tokenizers import Tokenizer
@@ -126,8 +132,11 @@ class WordCounter:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         tok = Tokenizer.from_file(path)
-        self.normalizer, self.splitter = tok.normalizer, tok.pre_tokenizer
+        self.whole, self.normalizer, self.splitter = tok, tok.normalizer, tok.pre_tokenizer
         m = model["model"]
+        self.known = model["normalizer"] == self.NORMALIZER and model["pre_tokenizer"] == self.SPLITTER and m["type"] == "BPE" and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        if not self.known:
+            return
         suffix = m.get("end_of_word_suffix") or ""
         self.table = MergeTable(m["vocab"], m["merges"])
         self.inner = np.array([m["vocab"][_CHAR_OF[b]] for b in range(256)])
@@ -159,6 +168,8 @@ class WordCounter:
         self.cache.update(zip(pieces, counts.tolist()))
 
     def count(self, texts: list[str]) -> list[int]:
+        if not self.known:
+            return [len(e.ids) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
         split, extra = [], []
         for t in texts:
             n = 0

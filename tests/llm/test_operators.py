@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 import string
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -651,6 +653,27 @@ def test_token_counts(spark, texts):
     assert list(got.over_limit) == [x > 2048 for x in want]
 
 
+def test_files_with_other_rules_go_to_their_library(texts, tmp_path):
+    from tokenizers import Tokenizer
+
+    for name, change in (("byte_bpe_50k.json", {"add_prefix_space": True}), ("word_bpe_49k.json", None)):
+        spec = json.loads(Path(public_tokenizers.path(name)).read_text())
+        if change:
+            spec["pre_tokenizer"] |= change
+        else:
+            spec["normalizer"]["normalizers"].pop()
+        path = str(tmp_path / name)
+        Path(path).write_text(json.dumps(spec))
+        plain = Tokenizer.from_file(path)
+        some = [t or "" for t in texts[:20]]
+        want = [plain.encode(t, add_special_tokens=False).ids for t in some]
+        encoder, counter = packing.Encoder(path, 1000), token_counts.WordCounter(path, 1000)
+        assert not counter.known and counter.count(some) == [len(x) for x in want]
+        assert not encoder.known and [np.frombuffer(encoder.encode(t), dtype=np.uint32).tolist() for t in some] == want
+    assert packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1000).known
+    assert token_counts.WordCounter(public_tokenizers.path("word_bpe_49k.json"), 1000).known
+
+
 # --- 8: WARC --------------------------------------------------------------------------------------------------------------------------
 
 
