@@ -155,6 +155,7 @@ class Texts:
 
     def __init__(self, texts: list[bytes], words: Words):
         self.data = b"\n".join(texts)
+        self.bytes = np.fromiter(map(len, texts), np.int64, len(texts))
         hashes, self.start, self.stop = word_hashes(self.data)
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
         at = np.searchsorted(self.start, bounds)
@@ -169,11 +170,11 @@ class Texts:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.own = np.repeat(np.arange(len(texts)), self.sizes)
 
-    def rare(self, words: Words) -> tuple[np.ndarray, list[bytes]]:
-        """The tokens of rare words, and the words as bytes."""
         at = np.flatnonzero(self.ids[self.place] == words.rare)
         data = self.data.lower()
-        return self.place[at], [data[a:b] for a, b in zip(self.start[at].tolist(), self.stop[at].tolist())]
+        #: The tokens of rare words, and the words as bytes.
+        self.rare_at = self.place[at]
+        self.rare = [data[a:b] for a, b in zip(self.start[at].tolist(), self.stop[at].tolist())]
 
     def contexts(self, words: Words) -> list[np.ndarray]:
         """Three contexts of every token, each a number below CONTEXTS."""
@@ -376,17 +377,16 @@ class Scorer:
         p = np.clip(p, 1e-7, 1 - 1e-7)
         return np.log10(np.where(bit == 1, p, 1 - p))
 
-    def of_rare(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of rare words and log10 of their spellings; a task spells each word once."""
-        at, words = texts.rare(self.words)
+    def of_rare(self, words: list[bytes]) -> np.ndarray:
+        """log10 of the spellings of rare words; a task spells a word once while its memory of words lasts."""
         new = sorted(set(words).difference(self.spelled))
-        if len(self.spelled) + len(new) > 400_000:
+        if len(self.spelled) + len(new) > 200_000:
             self.spelled.clear()
             new = sorted(set(words))
-        for a in range(0, len(new), 2_000):
-            part = new[a : a + 2_000]
+        for a in range(0, len(new), 4_000):
+            part = new[a : a + 4_000]
             self.spelled.update(zip(part, self.spelling.log10(part).tolist()))
-        return at, np.array([self.spelled[w] for w in words])
+        return np.fromiter(map(self.spelled.__getitem__, words), np.float64, len(words))
 
     def tokens(self, texts: Texts) -> np.ndarray:
         """log10 of the probability of every token by its words and letters alone.
@@ -395,8 +395,7 @@ class Scorer:
         its own correction, which starts at 0 and takes a step by the text's errors after each block.
         """
         out = self.words.tail[texts.ids].copy()
-        at, spelled = self.of_rare(texts)
-        out[at] += spelled
+        out[texts.rare_at] += self.of_rare(texts.rare)
         contexts = texts.contexts(self.words)
         since = np.arange(len(texts.ids)) - texts.first[texts.own]
         block = _block(since)
@@ -419,10 +418,10 @@ class Scorer:
                 xs, who = x[:, lo:hi], own[lo:hi]
                 low = who[0]
                 if blocks[a + rows.token[lo]]:  # nothing has changed before the first block's end
-                    z[lo:hi] += _mixed(xs, who, change)
+                    z[lo:hi] += _mixed(xs[1:-1], who, change[1:-1])
                 p = _squash(z[lo:hi])
                 err, var = ones[lo:hi] - p, p * (1 - p)
-                for k in range(INPUTS):
+                for k in range(1, INPUTS - 1):  # the contexts' weights
                     grad = np.bincount(who - low, weights=err * xs[k])
                     curve[k, low : low + len(grad)] += np.bincount(who - low, weights=var * xs[k] * xs[k])
                     change[k, low : low + len(grad)] += grad / curve[k, low : low + len(grad)]
@@ -523,11 +522,11 @@ def _gathered(df: DataFrame, label: str, sizes: list[int], start: np.ndarray, re
     return tables, np.frombuffer(got["weights"]).reshape(start.shape), np.frombuffer(zlib.decompress(got["refine"]), dtype=np.int64).astype(np.float64)
 
 
-def _spelling(rare: DataFrame) -> tuple:
+def _spelling(rare: DataFrame, alphabet: lm_spelling.Alphabet) -> tuple:
     """Context counts, weights and refinement learned from the table (word, c) of rare training words."""
 
     def learn(batches, size: int = 2_000):
-        learner = lm_spelling.Learner()
+        learner = lm_spelling.Learner(alphabet)
         for b in batches:
             for a in range(0, b.num_rows, size):
                 part = b.slice(a, size)
@@ -535,7 +534,7 @@ def _spelling(rare: DataFrame) -> tuple:
         learner.count()
         yield from _learned_of(learner.tables, learner.weights.T, learner.mass, learner.refine)
 
-    return _gathered(rare.mapInArrow(learn, _LEARNED), "lm-letters", [2 << s for s in lm_spelling.SLOTS], lm_spelling.start(), lm_spelling.REFINERS)
+    return alphabet, *_gathered(rare.mapInArrow(learn, _LEARNED), "lm-letters", [2 << s for s in lm_spelling.SLOTS], lm_spelling.start(), lm_spelling.REFINERS)
 
 
 def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Model:
@@ -555,13 +554,16 @@ def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Mod
 
     def profile(batches):
         held = named.value
-        total = np.zeros((PROFILE + 1) * (held.size + 1), dtype=np.int32)
+        total, letters = np.zeros((PROFILE + 1) * (held.size + 1), dtype=np.int32), np.zeros(256, dtype=np.int64)
         for b in batches:
             for _, _, t in _runs(b.column(0).to_pylist(), held):
                 np.add.at(total, t.frequent_before().astype(np.int64) * (held.size + 1) + t.ids, np.int32(1))
-        yield from _counts_of([total])
+                letters += np.bincount(np.frombuffer(t.data, dtype=np.uint8), minlength=256)
+        letters[ord("a") : ord("z") + 1] += letters[ord("A") : ord("Z") + 1]
+        yield from _counts_of([total, letters])
 
-    cells = summed(written(train.mapInArrow(profile, _COUNTS), "lm-profile"), [(PROFILE + 1) * (words.size + 1)], np.int32)
+    cells = summed(written(train.mapInArrow(profile, _COUNTS), "lm-profile"), [(PROFILE + 1) * (words.size + 1), 256])
+    alphabet = lm_spelling.Alphabet(cells[1])
     words.shaped(cells[0].reshape(PROFILE + 1, -1))
     del cells
     shaped = spark.sparkContext.broadcast(words)
@@ -577,7 +579,7 @@ def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Mod
 
     tables, *learned = _gathered(train.mapInArrow(learn, _LEARNED), "lm-learned", [len(t) for t in _empty()], Learner.start(), NODES * STEPS)
     logits, levels = frozen(words, tables)
-    spelled = _spelling(counts.filter((F.col("c") > 0) & (F.col("c") < often) & (F.col("word") != b"")))
+    spelled = _spelling(counts.filter((F.col("c") > 0) & (F.col("c") < often) & (F.col("word") != b"")), alphabet)
     return Model(counts, n, v, (words, logits, levels, *learned, spelled))
 
 
@@ -646,7 +648,7 @@ def _met(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.select("row", "seq", "train", "own", F.when(some, _kind(c, n)).alias("kind"), F.when(some, same).alias("hit"))
 
 
-def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 12) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 16) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, and
     n_phrases and n_predicted (the phrases that came as predicted). The phrases of the corpus are those of docs."""
     spark, docs = docs.sparkSession, id_and_text(docs)
@@ -663,7 +665,6 @@ def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 12)
         for b in batches:
             for a, z, t in _runs(b.column(1).to_pylist(), words):
                 k = z - a
-                at, spelled = t.rare(words)
                 logs = scorer.tokens(t)
                 named = t.ids != words.rare
                 starts, context, content = t.phrases(every)
@@ -672,28 +673,24 @@ def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 12)
                     pa.array(of_text, pa.int32()),
                     pa.StructArray.from_arrays([pa.array(context), pa.array(content), pa.array(np.add.reduceat(logs, starts).astype(np.float32))], names=["context", "content", "own"]),
                 )
-                rare: list[Counter] = [Counter() for _ in range(k)]
-                for i, w in zip(t.own[at].tolist(), spelled):
-                    rare[i][w] += 1
-                rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-                bytes_ = [len(x.encode("utf-8", "replace")) for x in b.column(1).slice(a, k).to_pylist()]
+                of_rare = np.searchsorted(t.rare_at, np.append(t.first, len(t.ids)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(a, k),
                         b.column(2).slice(a, k),
                         pa.array(np.arange(row, row + k)),
                         pa.array(t.sizes.astype(np.int64)),
-                        pa.array(bytes_, pa.int64()),
+                        pa.array(t.bytes),
                         pa.array(np.add.reduceat(named.astype(np.int64), t.first)),
                         pa.array(np.add.reduceat(np.where(named, np.append(base, 0.0)[t.ids], 0.0), t.first)),
-                        pa.array([[{"word": w, "times": x} for w, x in r.items()] for r in rare], rare_kind),
+                        pa.ListArray.from_arrays(pa.array(of_rare, pa.int32()), pa.array(t.rare, pa.binary())),
                         lists,
                     ],
                     names=["doc_id", "held_out", "row", "n_tokens", "n_bytes", "known", "base", "rare", "phrases"],
                 )
                 row += k
 
-    columns = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_bytes long, known long, base double, rare array<struct<word: binary, times: int>>, phrases array<struct<context: long, content: long, own: float>>"
+    columns = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_bytes long, known long, base double, rare array<binary>, phrases array<struct<context: long, content: long, own: float>>"
     first = written(docs.mapInArrow(rows, columns), "lm-rows", codec="zstd")
     phrases = first.select("row", (~F.col("held_out")).alias("train"), F.posexplode("phrases").alias("seq", "p")).select("row", "seq", "train", "p.*")
     corpus = written(_corpus_phrases(phrases), "lm-phrases")
@@ -708,10 +705,10 @@ def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 12)
     yes, no = (F.get(F.array(*[F.lit(float(x)) for x in np.log10(p)]), at) for p in (chances, 1 - chances))
     log = F.when(F.col("hit"), yes).when(~F.col("hit"), no + F.col("own")).otherwise(F.col("own").cast("double"))
     sums = met.groupBy("row").agg(F.sum(log).alias("score"), F.count("*").alias("n_phrases"), F.sum(F.coalesce(F.col("hit").cast("long"), F.lit(0))).alias("n_predicted"))
-    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(model.counts, "word")
+    rare = first.select("row", F.explode("rare").alias("word")).join(model.counts, "word")
     unit = F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))
     missing = math.log10(0.1 / (n + 0.1 * (v + 1)))
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum("times").alias("met"), F.sum(F.col("times") * unit).alias("b2"))
+    rare = rare.groupBy("row").agg(F.count(F.when(F.col("c") > 0, 1)).alias("k2"), F.count("*").alias("met"), F.sum(unit).alias("b2"))
     out = first.select("doc_id", "held_out", "row", "n_tokens", "n_bytes", "known", "base").join(sums, "row").join(rare, "row", "left")
     unmet = F.col("n_tokens") - F.col("known") - F.coalesce("met", F.lit(0))  # words that no fitted text has
     return out.select(

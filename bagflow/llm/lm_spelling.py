@@ -1,13 +1,15 @@
 """The spelling of words that the code of `lm_score` doesn't name, by logistic context mixing over their bits.
 
-A word is spelled in bytes and closed by a space; every byte is eight binary decisions. Predictors estimate each bit from
-hashed contexts (the last 2 and 4 bytes of the word, and its whole beginning), each from how often 0 and 1 followed
-that context in the training words. Their logits are mixed with weights that a gate selects by how much evidence the
-longest contexts have; a last stage refines the mixed probability by what happened at such probabilities.
+A word is spelled in bytes and closed by a space. A byte's code are the branches of a Huffman tree of the bytes of the
+training texts, so a frequent letter takes three or four binary decisions. Predictors estimate each from hashed contexts
+(the last 2 and 4 bytes of the word, and its whole beginning), by how often 0 and 1 followed that context in the training
+words. Their logits are mixed with weights that a gate selects by how much evidence the longest contexts have; a last
+stage refines the mixed probability by what happened at such probabilities.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +21,50 @@ LAST = (2, 4)
 SLOTS = (18, 20, 20)
 INPUTS = len(SLOTS) + 1
 #: Evidence levels of the beginning and of the last 4 bytes, and the place of the bit.
-GATES = 6 * 4 * 8
+PLACES = 6
+GATES = 6 * 4 * PLACES
 STEPS = 33
 REFINERS = 256 * STEPS
 
 
+class Alphabet:
+    """The Huffman code of bytes: for each byte and place the bit and the node before it."""
+
+    def __init__(self, counts: np.ndarray):
+        counts = np.maximum(counts, counts.sum() / 65536 + 1)
+        heap = [(float(c), i, i) for i, c in enumerate(counts)]
+        heapq.heapify(heap)
+        parent, branch = {}, {}
+        for node in range(256, 511):
+            for bit in (0, 1):
+                c, _, own = heapq.heappop(heap)
+                parent[own], branch[own] = node, bit
+                total = c if bit == 0 else total + c
+            heapq.heappush(heap, (total, node, node))
+        paths = []
+        for byte in range(256):
+            path, at = [], byte
+            while at in parent:
+                path.append((parent[at] - 256, branch[at]))
+                at = parent[at]
+            paths.append(path[::-1])
+        self.length = np.array([len(x) for x in paths], dtype=np.int8)
+        self.depth = int(self.length.max())
+        self.node, self.bit = (np.zeros((self.depth, 256), dtype=np.int64) for _ in range(2))
+        for byte, path in enumerate(paths):
+            for d, (node, bit) in enumerate(path):
+                self.node[d, byte], self.bit[d, byte] = node, bit
+
+
 class _Bits:
-    """Slots of every predictor, bits and gates of a list of words."""
+    """Slots of every predictor and decisions of a list of words."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], alphabet: Alphabet):
+        self.alphabet = alphabet
         spelled = [w + b" " for w in words]
         sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
         raw = np.frombuffer(b"".join(spelled), dtype=np.uint8)
-        self.bytes = raw.astype(np.int64)
+        self.bytes = raw
         self.own = np.repeat(np.arange(len(words)), sizes)
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(raw)) - np.repeat(starts, sizes)
@@ -52,16 +85,17 @@ class _Bits:
             first = np.repeat(starts, sizes)
             self.bases.append(mix64((sums[:-1] - sums[first]) * down[first] + place.astype(np.uint64)))
 
-    def bit(self, j: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Bit j (0 first) of all bytes, the decisions before it in the byte, and each predictor's slot."""
-        node = (1 << j) | (self.bytes >> (8 - j))
-        bit = (self.bytes >> (7 - j)) & 1
-        slots = []
-        turn = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for base, size in zip(self.bases, SLOTS):
+    def decisions(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For each place in the bytes' codes: place, word of each row, bit, node and each predictor's slot."""
+        alphabet, at = self.alphabet, np.arange(len(self.bytes))
+        for d in range(alphabet.depth):
+            at = at[alphabet.length[self.bytes[at]] > d]
+            raw = self.bytes[at]
+            node = alphabet.node[d][raw]
+            turn = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             with np.errstate(over="ignore"):
-                slots.append(((base + turn) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - size)).astype(np.int64))
-        return bit, node, slots
+                slots = [((base[at] + turn) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - size)).astype(np.int64) for base, size in zip(self.bases, SLOTS)]
+            yield d, self.own[at], alphabet.bit[d][raw], node, slots
 
 
 def _logit(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -94,8 +128,8 @@ def _place(z: np.ndarray, node: np.ndarray) -> np.ndarray:
     return node * STEPS + np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + STEPS // 2
 
 
-def _gate(levels: dict, j: int) -> np.ndarray:
-    return (levels[2].astype(np.int64) * 4 + levels[1]) * 8 + j
+def _gate(levels: dict, d: int) -> np.ndarray:
+    return (levels[2].astype(np.int64) * 4 + levels[1]) * PLACES + min(d, PLACES - 1)
 
 
 def start() -> np.ndarray:
@@ -110,7 +144,8 @@ def start() -> np.ndarray:
 class Learner:
     """Learns counts and weights in one reading: a word is predicted from what was counted before its batch."""
 
-    def __init__(self):
+    def __init__(self, alphabet: Alphabet):
+        self.alphabet = alphabet
         self.tables = [np.zeros(2 << size, dtype=np.int32) for size in SLOTS]
         self.pairs = [t.view(np.uint64) for t in self.tables]
         self.weights = start().T.copy()
@@ -122,14 +157,15 @@ class Learner:
 
     def learn(self, words: list[bytes], counts: np.ndarray) -> None:
         """One online step of each gate's weights, scaled by a fading sum of curvature; words are counted a few batches later."""
-        b = _Bits(words)
-        c = counts.astype(np.float32)[b.own]
+        times = counts.astype(np.float32)
         mass, grad, bend = np.zeros(GATES), np.zeros((INPUTS, GATES)), np.zeros((INPUTS, GATES))
         weights = self.weights.astype(np.float32)
         slow = self.batches % 4 == 0  # the curvature changes slowly
         counted: list[list[np.ndarray]] = [[] for _ in SLOTS]
-        for j in range(8):
-            bit, node, slots = b.bit(j)
+        each = []
+        for d, own, bit, node, slots in _Bits(words, self.alphabet).decisions():
+            c = times[own]
+            each.append(c)
             x, levels = np.empty((INPUTS, len(bit)), dtype=np.float32), {}
             x[-1] = 0.5
             for k, slot in enumerate(slots):
@@ -139,7 +175,7 @@ class Learner:
                 if k in BOUNDS:
                     levels[k] = _level(n0 + n1, BOUNDS[k])
                 counted[k].append(2 * slot + bit)
-            gate = _gate(levels, j)
+            gate = _gate(levels, d)
             z = _mixed(x, gate, weights)
             p = _squash(z)
             self.refine += np.bincount(2 * _place(z, node) + bit, weights=c, minlength=len(self.refine)).astype(np.int64)
@@ -154,7 +190,7 @@ class Learner:
         self.batches += 1
         self.weights += np.clip(grad / (self.curve + 1.0), -0.5, 0.5)
         self.mass += mass
-        self.waiting.append((counted, np.tile(c, 8)))
+        self.waiting.append((counted, np.concatenate(each)))
         if len(self.waiting) == 8:
             self.count()
 
@@ -171,7 +207,8 @@ class Learner:
 class Speller:
     """Scores words by fixed tables of logits and evidence levels, weights and refinement."""
 
-    def __init__(self, tables: list[np.ndarray], weights: np.ndarray, refine: np.ndarray):
+    def __init__(self, alphabet: Alphabet, tables: list[np.ndarray], weights: np.ndarray, refine: np.ndarray):
+        self.alphabet = alphabet
         self.logits, self.levels = [], {}
         for k, t in enumerate(tables):
             n = t.reshape(-1, 2).astype(np.float32)
@@ -183,18 +220,16 @@ class Speller:
         self.ones, self.times = n[:, 1], n.sum(axis=1)
 
     def bits(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each of the eight bits: the word of each row, the bit, and the probability that it is 1."""
-        b = _Bits(words)
-        for j in range(8):
-            bit, node, slots = b.bit(j)
+        """For each place in the bytes' codes: the word of each row, the bit, and the probability that it is 1."""
+        for d, own, bit, node, slots in _Bits(words, self.alphabet).decisions():
             x = np.empty((INPUTS, len(bit)), dtype=np.float32)
             x[-1] = 0.5
             for k, slot in enumerate(slots):
                 x[k] = self.logits[k][slot]
-            z = _mixed(x, _gate({k: level[slots[k]] for k, level in self.levels.items()}, j), self.weights)
+            z = _mixed(x, _gate({k: level[slots[k]] for k, level in self.levels.items()}, d), self.weights)
             p, at = _squash(z), _place(z, node)
             p = (p + (self.ones[at] + 4 * p) / (self.times[at] + 4)) / 2
-            yield b.own, bit, np.clip(p, 1e-7, 1 - 1e-7)
+            yield own, bit, np.clip(p, 1e-7, 1 - 1e-7)
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 of each word's probability."""
