@@ -6,8 +6,8 @@ don't pass for boilerplate). With m pages that have the node, its presentation i
 sequence of its child elements) over log m, its content importance is 1 minus the mean of log n over log m, where n is the
 number of pages on which a text block below it stands in the same place. Its importance is 1 - (1 - presentation) *
 (1 - content): a branch matters if its forms or its texts vary. From each page, branches go that are on at least
-`least_pages` pages and whose importance is below `least_importance`, or, for containers outside articles, below
-`against_siblings` of their most important sibling's.
+`least_pages` pages and whose importance is below `least_importance` (headings, which repeat over different texts, go with
+their container only), or, for containers outside articles, below `against_siblings` of their most important sibling's.
 
 Branches that HTML itself or their class names mark as menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments go too, whatever the tree says of them: hosts with few pages have nothing else to go by. Class names count
@@ -310,7 +310,8 @@ def low_paths(tree: DataFrame, *, least_pages: int = 5, least_importance: float
     tree = tree.filter(F.col("pages") >= least_pages).withColumn("above", above)
     best = tree.groupBy("host", "above").agg(F.max("importance").alias("best"))
     held = last.isin(*sorted(CONTAINERS)) & ~F.col("path").rlike(r"(^|>)(article|main)\b")
-    low = tree.join(best, ["host", "above"]).filter((F.col("importance") < least_importance) | held & (F.col("importance") < against_siblings * F.col("best")))
+    heading = last.rlike("^h[1-6]$")
+    low = tree.join(best, ["host", "above"]).filter((F.col("importance") < least_importance) & ~heading | held & (F.col("importance") < against_siblings * F.col("best")))
     return low.groupBy("host").agg(F.collect_set("path").alias("low"))
 
 
