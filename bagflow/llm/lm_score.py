@@ -24,8 +24,8 @@ tree's words (`hot_words` at most), the contexts of words (4,096 each, at every
 sizes of their own at every scale. Where a prediction is learned or a training text is scored, its own occurrence is left
 out of the counts.
 
-Defined results: null or empty text is the end token alone; rows without a doc_id are training rows; repeated rows
-score alike; an empty table gives an empty result; without training rows all decisions start from even chances.
+Defined results: null or empty text is the end token alone; rows without a doc_id are training rows; equal texts of one
+fold score alike; an empty table gives an empty result; without training rows all decisions start from even chances.
 """
 
 from __future__ import annotations
@@ -54,8 +54,10 @@ CONTEXTS = 4096
 INPUTS = 5
 LEVELS = np.array([2.5, 20.5, 200.5])
 GATES = 4**3 * DEPTH
-STEPS = 33
+STEPS, REACH = lm_spelling.STEPS, lm_spelling.REACH
 TABLE = 20
+#: A text is cut into phrases behind one in so many places.
+EVERY = 16
 #: Inputs that are computed at once, and how slowly a text changes its weights.
 TOKENS = 8_000
 PATIENCE = 60.0
@@ -78,8 +80,11 @@ def _tree(counts: np.ndarray, profile: np.ndarray) -> tuple[np.ndarray, np.ndarr
     most; a symbol with a third of a node's mass stands alone.
     """
     code, length = np.zeros(len(counts), dtype=np.int32), np.zeros(len(counts), dtype=np.int32)
-    whole = profile.sum(axis=0) + 1e-3
-    smooth = np.sqrt((profile + 2 * whole / whole.sum()) / (profile.sum(axis=1, keepdims=True) + 2))
+    whole = profile.sum(axis=0, dtype=float) + 1e-3
+    smooth = profile.astype(np.float32, order="C")
+    smooth += (2 * whole / whole.sum()).astype(np.float32)
+    smooth /= profile.sum(axis=1, keepdims=True).astype(np.float32) + 2
+    np.sqrt(smooth, out=smooth)
     todo = [(np.arange(len(counts)), 0, 0)]
     while todo:
         own, prefix, depth = todo.pop()
@@ -91,8 +96,10 @@ def _tree(counts: np.ndarray, profile: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if 3 * mass[top] >= mass.sum():
             left, right = own[[top]], np.delete(own, top)
         else:
-            x = smooth[own] - np.average(smooth[own], axis=0, weights=mass)
-            direction = np.linalg.eigh((x * mass[:, None]).T @ x)[1][:, -1]
+            x = smooth[own]
+            x -= (mass @ x / mass.sum()).astype(np.float32)
+            spread = sum((x[a : a + 20_000] * mass[a : a + 20_000, None]).T @ x[a : a + 20_000].astype(float) for a in range(0, len(own), 20_000))
+            direction = np.linalg.eigh(spread)[1][:, -1]
             direction = direction * (1 if direction[np.argmax(np.abs(direction))] > 0 else -1)
             order = np.lexsort((own, np.round(x @ direction, 9)))
             cut = int(np.searchsorted(np.cumsum(mass[order]), mass.sum() / 2))
@@ -122,7 +129,7 @@ class Words:
 
     def shaped(self, profile: np.ndarray) -> None:
         """Make the tree from counts of (frequent word before, symbol)."""
-        self.code, self.length = _tree(self.counts, profile.T.astype(float))
+        self.code, self.length = _tree(self.counts, profile.T)
         classes = self.code * 16 + self.length
         self.tail = np.log10(self.counts / np.bincount(classes, weights=self.counts)[classes])
         first, second = np.zeros(NODES), np.zeros(NODES)
@@ -340,7 +347,7 @@ class Learner:
 
 
 def _place(z: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return node.astype(np.int64) * STEPS + np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + STEPS // 2
+    return node.astype(np.int64) * STEPS + np.rint(np.clip(z, -REACH, REACH) * 2).astype(np.int64) + STEPS // 2
 
 
 def _block(since: np.ndarray) -> np.ndarray:
@@ -356,8 +363,7 @@ class Scorer:
         self.words, self.logits, self.levels, self.spelling = words, logits, levels, spelling
         self.own_logit = np.log(words.share / (1 - words.share)).astype(np.float32)
         self.weights = np.ascontiguousarray(weights.T, dtype=np.float32)
-        n = refine.reshape(-1, 2).astype(np.float32)
-        self.ones, self.times = n[:, 1], n.sum(axis=1)
+        self.refined = lm_spelling.refinement(refine)
         self.spelled: dict[bytes, float] = {}
 
     def inputs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
@@ -371,10 +377,7 @@ class Scorer:
 
     def of_bits(self, z: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 of the refined probability of each decision."""
-        p = _squash(z)
-        at = _place(z, node)
-        p = (p + (self.ones[at] + 4 * p) / (self.times[at] + 4)) / 2
-        p = np.clip(p, 1e-7, 1 - 1e-7)
+        p = lm_spelling.refined(z, node, self.refined)
         return np.log10(np.where(bit == 1, p, 1 - p))
 
     def of_rare(self, words: list[bytes]) -> np.ndarray:
@@ -401,18 +404,23 @@ class Scorer:
         block = _block(since)
         order = np.argsort(block, kind="stable")
         blocks = block[order]
+        # stretches end where a text's block ends, so that a text's score doesn't depend on those beside it
+        ends = np.flatnonzero(np.diff(blocks, append=-1) | np.diff(texts.own[order], append=-1)) + 1
+        stops = [0]
+        while stops[-1] < len(order):
+            stops.append(int(ends[max(np.searchsorted(ends, stops[-1] + TOKENS, "right") - 1, np.searchsorted(ends, stops[-1], "right"))]))
         change = np.zeros((INPUTS, len(texts.sizes)))
         curve = np.full((INPUTS, len(texts.sizes)), PATIENCE)
-        for a in range(0, len(order), TOKENS):
-            stretch = order[a : a + TOKENS]
+        for a, stop in zip(stops[:-1], stops[1:]):
+            stretch = order[a:stop]
             rows = Rows(texts, self.words, contexts, stretch)
             x, gate = self.inputs(rows)
             z = _mixed(x, gate, self.weights)
             own = texts.own[stretch][rows.token]
             ones = rows.bit.astype(np.float32)
-            tokens = np.flatnonzero(np.diff(blocks[a : a + TOKENS], prepend=-1))
-            ends = np.searchsorted(rows.token, np.append(tokens, len(stretch)))
-            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            tokens = np.flatnonzero(np.diff(blocks[a:stop], prepend=-1))
+            edges = np.searchsorted(rows.token, np.append(tokens, len(stretch))).tolist()
+            for lo, hi in zip(edges[:-1], edges[1:]):
                 if lo == hi:
                     continue
                 xs, who = x[:, lo:hi], own[lo:hi]
@@ -471,10 +479,11 @@ def _threshold(words: DataFrame, most: int) -> int:
 
 
 class Model:
-    """What is fitted: word counts, their sum and number, and (the tree's words, all that was learned of decisions)."""
+    """What is fitted: word counts, their sum and number, (the tree's words, all that was learned of decisions), and the
+    corpus's phrases with the chances that a predicted one comes (None: `score` takes them from the documents it scores)."""
 
-    def __init__(self, counts: DataFrame, n: int, v: int, learned: tuple):
-        self.counts, self.n, self.v, self.learned = counts, n, v, learned
+    def __init__(self, counts: DataFrame, n: int, v: int, learned: tuple, phrases: DataFrame | None = None, chances: np.ndarray | None = None):
+        self.counts, self.n, self.v, self.learned, self.phrases, self.chances = counts, n, v, learned, phrases, chances
 
 
 def _scorer(learned: tuple) -> Scorer:
@@ -525,7 +534,7 @@ def _gathered(df: DataFrame, label: str, sizes: list[int], start: np.ndarray, re
 def _spelling(rare: DataFrame, alphabet: lm_spelling.Alphabet) -> tuple:
     """Context counts, weights and refinement learned from the table (word, c) of rare training words."""
 
-    def learn(batches, size: int = 2_000):
+    def learn(batches, size: int = 1_000):
         learner = lm_spelling.Learner(alphabet)
         for b in batches:
             for a in range(0, b.num_rows, size):
@@ -537,8 +546,8 @@ def _spelling(rare: DataFrame, alphabet: lm_spelling.Alphabet) -> tuple:
     return alphabet, *_gathered(rare.mapInArrow(learn, _LEARNED), "lm-letters", [2 << s for s in lm_spelling.SLOTS], lm_spelling.start(), lm_spelling.REFINERS)
 
 
-def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Model:
-    """Fit words and letters on the training rows of docs (doc_id, text); phrases come in `score`."""
+def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18, phrases: bool = True, every: int = EVERY) -> Model:
+    """Fit on the training rows of docs (doc_id, text). Without phrases, `score` must be given the same docs."""
     spark, docs = docs.sparkSession, id_and_text(docs)
     counts = written(count_words(docs, folds=folds), "lm-words")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
@@ -564,7 +573,7 @@ def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Mod
 
     cells = summed(written(train.mapInArrow(profile, _COUNTS), "lm-profile"), [(PROFILE + 1) * (words.size + 1), 256])
     alphabet = lm_spelling.Alphabet(cells[1])
-    words.shaped(cells[0].reshape(PROFILE + 1, -1))
+    words.shaped(cells.pop(0).astype(np.float32).reshape(PROFILE + 1, -1))
     del cells
     shaped = spark.sparkContext.broadcast(words)
 
@@ -580,7 +589,12 @@ def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18) -> Mod
     tables, *learned = _gathered(train.mapInArrow(learn, _LEARNED), "lm-learned", [len(t) for t in _empty()], Learner.start(), NODES * STEPS)
     logits, levels = frozen(words, tables)
     spelled = _spelling(counts.filter((F.col("c") > 0) & (F.col("c") < often) & (F.col("word") != b"")), alphabet)
-    return Model(counts, n, v, (words, logits, levels, *learned, spelled))
+    model = Model(counts, n, v, (words, logits, levels, *learned, spelled))
+    if phrases:
+        rows = written(_phrase_rows(train, shaped, every), "lm-train-phrases")
+        model.phrases = written(_corpus_phrases(rows), "lm-phrases")
+        model.chances = _chances(_with_history(_met(rows, model.phrases)))
+    return model
 
 
 # --- phrases ----------------------------------------------------------------------------------------------------------
@@ -648,9 +662,44 @@ def _met(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.select("row", "seq", "train", "own", F.when(some, _kind(c, n)).alias("kind"), F.when(some, same).alias("hit"))
 
 
-def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 16) -> DataFrame:
+def _phrase_rows(texts: DataFrame, words, every: int) -> DataFrame:
+    """(row, seq, train, context, content, own) of every phrase of training texts, without scores."""
+
+    def rows(batches):
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for a, z, t in _runs(b.column(0).to_pylist(), words.value):
+                starts, context, content = t.phrases(every)
+                own = t.own[starts]
+                seq = np.arange(len(starts)) - np.searchsorted(own, own)
+                cols = [pa.array(row + own), pa.array(seq.astype(np.int32)), pa.array(np.ones(len(own), dtype=bool)), pa.array(context), pa.array(content), pa.array(np.zeros(len(own), dtype=np.float32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "seq", "train", "context", "content", "own"])
+                row += z - a
+
+    return texts.mapInArrow(rows, "row long, seq int, train boolean, context long, content long, own float")
+
+
+def _with_history(met: DataFrame) -> DataFrame:
+    """With how the last two phrases of the text came out: not predicted, missed or met."""
+    w = Window.partitionBy("row").orderBy("seq")
+    outcome = F.coalesce(F.col("hit").cast("int") + 1, F.lit(0))
+    history = F.coalesce(F.lag(outcome, 1).over(w), F.lit(0)) * 3 + F.coalesce(F.lag(outcome, 2).over(w), F.lit(0))
+    return met.withColumn("history", history).select("row", "train", "own", "hit", "kind", "history")
+
+
+def _chances(met: DataFrame) -> np.ndarray:
+    known = met.filter("train and hit is not null").groupBy("kind", "history").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
+    return _hit_chances(known.toPandas())
+
+
+def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = EVERY, same_docs: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, and
-    n_phrases and n_predicted (the phrases that came as predicted). The phrases of the corpus are those of docs."""
+    n_phrases and n_predicted (the phrases that came as predicted).
+
+    With same_docs, docs are those that were fitted: training rows leave out their own phrases.
+    """
+    if model.phrases is None and not same_docs:
+        raise ValueError("fit with phrases to score other documents")
     spark, docs = docs.sparkSession, id_and_text(docs)
     n, v = model.n, model.v
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -693,14 +742,11 @@ def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 16)
     columns = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_bytes long, known long, base double, rare array<binary>, phrases array<struct<context: long, content: long, own: float>>"
     first = written(docs.mapInArrow(rows, columns), "lm-rows", codec="zstd")
     phrases = first.select("row", (~F.col("held_out")).alias("train"), F.posexplode("phrases").alias("seq", "p")).select("row", "seq", "train", "p.*")
-    corpus = written(_corpus_phrases(phrases), "lm-phrases")
-    met = _met(phrases, corpus)
-    w = Window.partitionBy("row").orderBy("seq")
-    outcome = F.coalesce(F.col("hit").cast("int") + 1, F.lit(0))
-    history = F.coalesce(F.lag(outcome, 1).over(w), F.lit(0)) * 3 + F.coalesce(F.lag(outcome, 2).over(w), F.lit(0))
-    met = written(met.withColumn("history", history).select("row", "train", "own", "hit", "kind", "history"), "lm-met", codec="zstd")
-    known = met.filter("train and hit is not null").groupBy("kind", "history").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
-    chances = _hit_chances(known.toPandas())
+    if not same_docs:
+        phrases = phrases.withColumn("train", F.lit(False))
+    corpus = written(_corpus_phrases(phrases), "lm-phrases") if model.phrases is None else model.phrases
+    met = written(_with_history(_met(phrases, corpus)), "lm-met", codec="zstd")
+    chances = _chances(met) if model.chances is None else model.chances
     at = F.col("kind") * 9 + F.col("history")
     yes, no = (F.get(F.array(*[F.lit(float(x)) for x in np.log10(p)]), at) for p in (chances, 1 - chances))
     log = F.when(F.col("hit"), yes).when(~F.col("hit"), no + F.col("own")).otherwise(F.col("own").cast("double"))
@@ -728,4 +774,4 @@ def score(docs: DataFrame, model: Model, *, folds: int = FOLDS, every: int = 16)
 def score_documents(docs: DataFrame, *, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Fit on the training fold and score every document."""
     docs = id_and_text(docs, id_col, text_col)
-    return score(docs, fit(docs, folds=folds, **options), folds=folds)
+    return score(docs, fit(docs, folds=folds, phrases=False, **options), folds=folds, same_docs=True)

