@@ -74,13 +74,42 @@ def ranges(df: DataFrame, column: Column, rows_per_bucket: int, most_cuts: int =
     return F.get(inside, F.lit(0)).cast("long")
 
 
-def dense_steps(df: DataFrame, order: str, name: str = "step", rows_per_bucket: int = 50_000) -> DataFrame:
-    """Numbers 1, 2, ... along `order` (integers) without a single-task sort: counts of ranges give each its offset."""
+def dense_steps(df: DataFrame, order: str, name: str = "step", rows_per_bucket: int = 50_000, *, key: str | None = None) -> DataFrame:
+    """Numbers 1, 2, ... along `order` (integers), of every key if one is given, without a sort of them all in one task:
+    counts of ranges give each its offset."""
+    by = [key] if key else []
     bucketed = df.withColumn("__bucket", ranges(df, F.col(order), rows_per_bucket))
-    before = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__bucket", "__offset")
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(order))
-    return bucketed.withColumn("__inside", inside).join(offsets, "__bucket").select(*df.columns, (F.col("__offset") + F.col("__inside")).cast("long").alias(name))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bucketed.groupBy(*by, "__bucket").agg(F.count("*").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(*by, "__bucket", "__offset")
+    inside = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(order))
+    return bucketed.withColumn("__inside", inside).join(offsets, [*by, "__bucket"]).select(*df.columns, (F.col("__offset") + F.col("__inside")).cast("long").alias(name))
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = 5_000_000) -> DataFrame | None:
+    """The keys of more than hot_rows rows, if any: fewer than rows / hot_rows. They are counted in tasks first."""
+    hot = df.groupBy(key).count().filter((F.col("count") > hot_rows) & F.col(key).isNotNull()).select(key)
+    names = hot.collect()
+    return F.broadcast(df.sparkSession.createDataFrame(names, hot.schema)) if names else None
+
+
+def beside(df: DataFrame, key: str, order: str, k: int, *, hot_rows: int = 5_000_000, hot: DataFrame | bool | None = False, **columns: str) -> DataFrame:
+    """df with columns of the row that is k places later (earlier: k below 0) in its key, null if there is none.
+
+    A window serves keys of at most `hot_rows` rows. Rows of larger keys are numbered by ranges of `order` and joined
+    with the numbers shifted by k, so that no task has a whole key. (That takes an integer order; a null key has a window.)
+    `hot` are the keys if they are known (see hot_keys).
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    shift = F.lead if k > 0 else F.lag
+    windowed = {n: shift(c, abs(k)).over(w) for n, c in columns.items()}
+    if hot is False:
+        hot = hot_keys(df, key, hot_rows)
+    if hot is None or df.schema[order].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return df.select("*", *[c.alias(n) for n, c in windowed.items()])
+    few = df.join(hot, key, "left_anti").select(*df.columns, *[c.alias(n) for n, c in windowed.items()])
+    many = dense_steps(df.join(hot, key, "left_semi"), order, "__dense", min(50_000, hot_rows), key=key)
+    other = many.select(key, (F.col("__dense") - k).alias("__dense"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return few.unionByName(many.join(other, [key, "__dense"], "left").select(*df.columns, *columns))
 
 
 def expiries(log: DataFrame, timeout: str, ts: str, step: str, rows_per_bucket: int = 50_000) -> DataFrame:
@@ -115,8 +144,7 @@ def validity(df: DataFrame, order: str, *, key: str | None = None, n: int | None
     ends = []
     if n is not None:
         if key is not None:
-            evict = F.lead("valid_from", n).over(Window.partitionBy(key).orderBy(order))
-            out = out.withColumn("__evict", evict)
+            out = beside(out, key, order, n, __evict="valid_from")
         else:
             numbered = dense_steps(out, order, "__dense")
             ahead = numbered.select((F.col("__dense") - n).alias("__dense"), F.col("valid_from").alias("__evict"))

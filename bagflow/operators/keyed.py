@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import direction
+from .feeds import beside, hot_keys
 
 
 def keyed(df: DataFrame, key: str, value: str = "value") -> DataFrame:
@@ -68,8 +69,8 @@ def pairwise_latest(df: DataFrame, key: str, order: str, time: str) -> DataFrame
 
 def gap_filter(df: DataFrame, key: str, ts: str, max_gap: str, order: str) -> DataFrame:
     """Rows that follow the previous row of their key within max_gap (an interval such as '6 hours')."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("__prev", F.lag(ts).over(w)).filter(F.col(ts) <= F.col("__prev") + F.expr(f"interval {max_gap}")).drop("__prev")
+    out = beside(df, key, order, -1, __prev=ts)
+    return out.filter(F.col(ts) <= F.col("__prev") + F.expr(f"interval {max_gap}")).drop("__prev")
 
 
 def zip_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -79,8 +80,7 @@ def zip_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def zip_delay(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     """Every row of a key but its first, with the columns of the row before as prev_*."""
-    w = Window.partitionBy(key).orderBy(order)
-    out = df.select("*", F.lag(order).over(w).alias("__before"), *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
+    out = beside(df, key, order, -1, __before=order, **{f"prev_{c}": c for c in columns})
     return out.filter(F.col("__before").isNotNull()).drop("__before")
 
 
@@ -97,8 +97,8 @@ def changed_state(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 def user_state(df: DataFrame, key: str, order: str, lat: str, lon: str) -> DataFrame:
     """At every arrival: the current direction (from the previous position) and the direction before that."""
-    w = Window.partitionBy(key).orderBy(order)
-    moved = df.withColumn("__lat", F.lag(lat).over(w)).withColumn("__lon", F.lag(lon).over(w))
+    hot = hot_keys(df, key)
+    moved = beside(df, key, order, -1, hot=hot, __lat=lat, __lon=lon)
     label = F.when(F.col("__lat").isNotNull(), direction(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon")))
     moved = moved.withColumn("current_direction", label).drop("__lat", "__lon")
-    return moved.withColumn("last_direction", F.lag("current_direction").over(w))
+    return beside(moved, key, order, -1, hot=hot, last_direction="current_direction")

@@ -148,3 +148,20 @@ def test_bursts_and_outliers_spread_over_ranges(spark, seed):
     gaps = df.withColumn("seq", F.col("seq") * F.col("seq"))
     assert {r["seq"]: r["step"] for r in feeds.dense_steps(gaps, "seq", rows_per_bucket=50).collect()} == {i * i: i + 1 for i in range(2000)}
     assert {r["seq"]: r["s"] for r in pacing.running_sum(df, "t", "seq", "s", rows_per_bucket=50).filter("seq = 1999").collect()} == {1999: 1999 * 1000}
+
+
+def test_a_hot_key_meets_no_window_of_its_own(spark):
+    rnd = random.Random(5)
+    rows = [(i * 3, "hot" if rnd.random() < 0.9 else rnd.choice(["a", "b", None]), rnd.randrange(100)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "seq long, key string, v long")
+    for k in (2, -1):
+        got = {r["seq"]: (r["o"], r["s"]) for r in feeds.beside(df, "key", "seq", k, hot_rows=200, o="v", s="seq").collect()}
+        of = {}
+        for r in rows:
+            of.setdefault(r[1], []).append(r)
+        want = {r[0]: (of[r[1]][i + k][2], of[r[1]][i + k][0]) if 0 <= i + k < len(of[r[1]]) else (None, None) for rs in of.values() for i, r in enumerate(rs)}
+        assert got == want
+    small = feeds.beside(df, "key", "seq", 1, o="v")
+    assert Counter(map(tuple, small.collect())) == Counter(map(tuple, feeds.beside(df, "key", "seq", 1, hot_rows=100, o="v").collect()))
+    tasks = feeds.dense_steps(df.filter("key = 'hot'"), "seq", "d", 50, key="key")
+    assert [r["d"] for r in tasks.orderBy("seq").collect()] == list(range(1, tasks.count() + 1))
