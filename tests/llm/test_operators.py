@@ -107,7 +107,7 @@ def test_decontamination(spark, sf, real):
             w[len(w) // 3] = "changed"
         planted.append(" ".join(rnd.sample(real.text[k].split(), 5)) + " " + " ".join(w) + " " + real.text[k + 20])
     texts = [*ODD, *planted, *real.text]
-    got = decontaminate.contamination(frame(spark, texts), items, block_items=17).toPandas().set_index("doc_id")
+    got = decontaminate.contamination(frame(spark, texts), items, block_items=17).toPandas().set_index("doc_id").sort_index()
     clean = lambda t: " ".join(words(t))
     for i, t in enumerate(texts):
         exact = {n for n, q in names if f" {clean(q)} " in f" {clean(t)} "}
