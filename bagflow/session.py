@@ -16,9 +16,11 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the workers with addPyFile, once per application, unless PYTHONPATH already has its folder.
 
-    Times are in UTC.
+    Times are in UTC. Python gets batches of at most 2,000 rows, as rows may be whole documents.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = Path(__file__).resolve().parent
     app = spark.sparkContext.applicationId
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
