@@ -33,8 +33,13 @@ def written(df: DataFrame, label: str, *, codec: str = "lz4") -> DataFrame:
 
 def small(df: DataFrame, rows: int = 100_000, megabytes: int = 32) -> DataFrame:
     """df (a written table) with a broadcast hint if it has at most that many rows and bytes; else joins shuffle."""
-    some = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("n"))
-    n, size = some.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
+    width = F.lit(0)
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            c = F.to_json(F.struct(c))
+        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) + 8 if kind in ("array", "map", "struct", "string", "binary") else F.lit(8))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(width.cast("long"))).first()
     return F.broadcast(df) if n <= rows and (size or 0) <= megabytes << 20 else df
 
 
