@@ -285,15 +285,15 @@ def _read(n0: np.ndarray, n1: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.log((n1 + np.float32(0.8) * share) / (n0 + np.float32(0.8) * (1 - share)))
 
 
-def frozen(words: Words, tables: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Logits and evidence levels of every slot."""
+def frozen(words: Words, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """The logit of every slot, with its evidence level in the last two bits of the number: one lookup reads both."""
     share = words.share[np.arange(CONTEXTS * NODES) & (NODES - 1)]
-    logits, levels = [], []
+    out = []
     for t in tables:
         n = t.reshape(-1, 2).astype(np.float32)
-        logits.append(_read(n[:, 0], n[:, 1], share))
-        levels.append(_level(n.sum(axis=1)))
-    return logits, levels
+        logit = _read(n[:, 0], n[:, 1], share).astype(np.float32)
+        out.append(((logit.view(np.int32) & ~3) | _level(n.sum(axis=1))).astype(np.int32).view(np.float32))
+    return out
 
 
 class Learner:
@@ -359,8 +359,8 @@ def _block(since: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores runs of texts, given all that was learned."""
 
-    def __init__(self, words: Words, logits: list, levels: list, weights: np.ndarray, refine: np.ndarray, spelling: lm_spelling.Speller):
-        self.words, self.logits, self.levels, self.spelling = words, logits, levels, spelling
+    def __init__(self, words: Words, logits: list[np.ndarray], weights: np.ndarray, refine: np.ndarray, spelling: lm_spelling.Speller):
+        self.words, self.logits, self.spelling = words, logits, spelling
         self.own_logit = np.log(words.share / (1 - words.share)).astype(np.float32)
         self.weights = np.ascontiguousarray(weights.T, dtype=np.float32)
         self.refined = lm_spelling.refinement(refine)
@@ -372,7 +372,7 @@ class Scorer:
         gate = rows.depth.astype(np.int64)
         for k, slot in enumerate(rows.slots):
             x[k + 1] = self.logits[k][slot]
-            gate = gate * 4 + self.levels[k][slot]
+            gate = gate * 4 + (x[k + 1].view(np.int32) & 3)
         return x, gate
 
     def of_bits(self, z: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -487,8 +487,8 @@ class Model:
 
 
 def _scorer(learned: tuple) -> Scorer:
-    words, logits, levels, weights, refine, spelled = learned
-    return Scorer(words, logits, levels, weights, refine, lm_spelling.Speller(*spelled))
+    words, logits, weights, refine, spelled = learned
+    return Scorer(words, logits, weights, refine, lm_spelling.Speller(*spelled))
 
 
 _COUNTS = "place int, task int, counts binary"
@@ -587,9 +587,9 @@ def fit(docs: DataFrame, *, folds: int = FOLDS, hot_words: int = 1 << 18, phrase
         yield from _learned_of(learner.tables, learner.weights.T, learner.mass, learner.refine)
 
     tables, *learned = _gathered(train.mapInArrow(learn, _LEARNED), "lm-learned", [len(t) for t in _empty()], Learner.start(), NODES * STEPS)
-    logits, levels = frozen(words, tables)
+    logits = frozen(words, tables)
     spelled = _spelling(counts.filter((F.col("c") > 0) & (F.col("c") < often) & (F.col("word") != b"")), alphabet)
-    model = Model(counts, n, v, (words, logits, levels, *learned, spelled))
+    model = Model(counts, n, v, (words, logits, *learned, spelled))
     if phrases:
         rows = written(_phrase_rows(train, shaped, every), "lm-train-phrases")
         model.phrases = written(_corpus_phrases(rows), "lm-phrases")
