@@ -289,7 +289,7 @@ def style_tree(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     found = df.mapInArrow(rows, "host string, path string, form boolean, what long, page long").distinct()
     counts = found.groupBy("host", "path", "form", "what").agg(F.count("*").alias("n"))
     logs = F.sum(F.col("n") * F.log2("n")).alias("s")
-    paths = counts.groupBy("host", "path", "form").agg(F.sum("n").alias("n"), logs)
+    paths = written(counts.groupBy("host", "path", "form").agg(F.sum("n").alias("n"), logs), "style-nodes")
     forms = paths.filter("form").select("host", "path", F.col("n").alias("pages"), "s")
     # a text counts for every node above it
     steps = F.split("path", ">")
