@@ -194,9 +194,13 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"counts": [zlib.compress(np.asarray(total, dtype="<i8").tobytes(), 1)]})
 
 
-def summed(df: DataFrame, sizes: list[int], kind: type = np.int64) -> list[np.ndarray]:
-    """The sums of the count arrays that tasks packed (place int, task int, counts binary); as large as the arrays are."""
-    got = {r["place"]: r["counts"] for r in tree_sum(df, _added).select("place", "counts").toLocalIterator()}
+def summed(df: DataFrame, sizes: list[int], kind: type = np.int64, *, at_once: bool = False) -> list[np.ndarray]:
+    """The sums of the count arrays that tasks packed (place int, task int, counts binary); as large as the arrays are.
+
+    at_once fetches them in one job, for arrays of a few MB.
+    """
+    sums = tree_sum(df, _added).select("place", "counts")
+    got = {r["place"]: r["counts"] for r in (sums.collect() if at_once else sums.toLocalIterator())}
     out, at = [], 0
     for n in sizes:
         t = np.zeros(n, dtype=kind)
