@@ -416,6 +416,44 @@ def running_lease(spark, sf_dir):
     return pacing.running(log(spark, sf_dir), "user_id", "event_id", "total", F.sum("cents"), span="24 hours", ts="ts").select("event_id", "user_id", "total")
 
 
+_NUMBERED = f"WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM ev)"
+
+
+@query(
+    _NUMBERED
+    + """SELECT a.event_id, a.user_id, cast(sum(b.cents) AS bigint) AS total, max(b.cents) AS most, count(*) AS n FROM n a JOIN n b
+ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 4 AND a.rn AND b.ts >= a.ts - INTERVAL 24 HOUR GROUP BY ALL"""
+)
+def running_bounded(spark, sf_dir):
+    """Folds of each user's last five rows that are no older than a day."""
+    out = log(spark, sf_dir).select("event_id", "user_id", "cents", "ts")
+    for name, agg in (("total", F.sum("cents")), ("most", F.max("cents")), ("n", F.count("*"))):
+        out = pacing.running(out, "user_id", "event_id", name, agg, rows=5, span="24 hours", ts="ts")
+    return out.select("event_id", "user_id", "total", "most", "n")
+
+
+_HOT = f"WITH {EV}, h AS (SELECT *, CASE WHEN event_id % 10 = 3 THEN user_id ELSE -1 END AS k FROM ev)"
+
+
+def _hot(spark, sf_dir):
+    """The log with nine tenths of its rows under one key."""
+    return log(spark, sf_dir).select("event_id", "ts", "cents", F.when(F.col("event_id") % 10 == 3, F.col("user_id")).otherwise(-1).alias("k"))
+
+
+@query(
+    _HOT
+    + """SELECT event_id, k, cast(sum(cents) OVER (PARTITION BY k ORDER BY event_id) AS bigint) AS total, max(cents) OVER (PARTITION BY k ORDER BY event_id) AS most,
+min(cents) OVER (PARTITION BY k ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS least,
+cast(sum(cents) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS bigint) AS recent FROM h"""
+)
+def running_hot_key(spark, sf_dir):
+    """Folds of a key that is most of the log, in ranges of some hundred rows."""
+    out = _hot(spark, sf_dir)
+    for name, agg, more in (("total", F.sum("cents"), {"merge": "sum"}), ("most", F.max("cents"), {"merge": "max"}), ("least", F.min("cents"), {"merge": "min", "span": "6 hours", "ts": "ts"}), ("recent", F.sum("cents"), {"rows": 100})):
+        out = pacing.running(out, "k", "event_id", name, agg, hot_rows=700, **more)
+    return out.select("event_id", "k", "total", "most", "least", "recent")
+
+
 @query(f"WITH {EV} SELECT event_id, cast(sum(cents) OVER (ORDER BY event_id) AS bigint) AS total FROM ev")
 def running_bag(spark, sf_dir):
     return pacing.running_sum(log(spark, sf_dir).select("event_id", "cents"), "event_id", "cents", "total").select("event_id", "total")

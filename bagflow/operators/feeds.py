@@ -8,6 +8,8 @@ delay and differences at any step are filters on that table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,29 +51,48 @@ def bounded(df: DataFrame, n: int, timeout: str, order: str, ts: str, key: str |
     return last_n(lease(df, timeout, ts), n, order, key)
 
 
-def ranges(df: DataFrame, column: Column, rows_per_bucket: int, most_cuts: int = 1000) -> Column:
-    """A number for each row by the range that an integer column lies in: ranges follow each other in the column's order
-    and hold about rows_per_bucket rows each.
+def range_of(df: DataFrame, column: Column, rows_per_bucket: int, most_cuts: int = 1000, *, few: int = 64) -> Callable[[Column], Column]:
+    """A function that gives any integer the number of the range it lies in: ranges follow each other in the order of df's
+    `column` and hold about rows_per_bucket of its rows each. Numbers beyond both ends belong to the first and last range.
 
     Percentiles cut the column into at most `most_cuts` parts of like numbers of rows, so that a burst, or one time far
     from all others, doesn't put most rows into one range; each part is divided evenly. Rows of one value stay together.
+    Up to `few` parts are told apart by comparisons, which stay in generated code, more of them by a binary search.
     """
+    zero = F.lit(0).cast("long")
     n = df.count()
     if n <= rows_per_bucket:
-        return F.lit(0).cast("long")
+        return lambda x: zero
     cuts = min(most_cuts, -(-n // rows_per_bucket))
     found = df.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.percentile_approx(column, [k / cuts for k in range(1, cuts)] or [0.5], 10 * most_cuts).alias("cuts")).first()
     if found["low"] is None:
-        return F.lit(0).cast("long")
+        return lambda x: zero
     edges = sorted({found["low"], *(found["cuts"] if cuts > 1 else [])})
     parts = max(1, -(-n // (cuts * rows_per_bucket)))
     widths = [max(1, -(-(b - a) // parts)) for a, b in zip(edges, [*edges[1:], found["high"] + 1])]
-    low, width = (F.array(*[F.lit(x).cast("long") for x in v]) for v in (edges, widths))
-    # a binary search for the last edge that isn't above the value
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
-    last = F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k < len(edges)) & (F.get(low, at + k) <= column), at + k).otherwise(at))
-    inside = F.transform(F.array(last), lambda at: at * parts + F.least(F.floor((column - F.get(low, at)) / F.get(width, at)), F.lit(parts - 1)))
-    return F.get(inside, F.lit(0)).cast("long")
+
+    def inside(x: Column, at: Column, low: Column, width: Column) -> Column:
+        return at * parts + F.greatest(F.least(F.floor((x - low) / width), F.lit(parts - 1)), F.lit(0)) if parts > 1 else at
+
+    def compared(x: Column) -> Column:
+        first, *rest = [inside(x, *(F.lit(v).cast("long") for v in v3)) for v3 in zip(range(len(edges)), edges, widths)]
+        for edge, number in zip(edges[1:], rest):
+            first = F.when(x >= edge, number).otherwise(first)
+        return first.cast("long")
+
+    def searched(x: Column) -> Column:
+        low, width = (F.array(*[F.lit(v).cast("long") for v in vs]) for vs in (edges, widths))
+        # a binary search for the last edge that isn't above the value
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+        last = F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k < len(edges)) & (F.get(low, at + k) <= x), at + k).otherwise(at))
+        return F.get(F.transform(F.array(last), lambda at: inside(x, at, F.get(low, at), F.get(width, at))), F.lit(0)).cast("long")
+
+    return compared if len(edges) <= few else searched
+
+
+def ranges(df: DataFrame, column: Column, rows_per_bucket: int, most_cuts: int = 1000) -> Column:
+    """A number for each row by the range that an integer column lies in; see range_of."""
+    return range_of(df, column, rows_per_bucket, most_cuts)(column)
 
 
 def dense_steps(df: DataFrame, order: str, name: str = "step", rows_per_bucket: int = 50_000, *, key: str | None = None) -> DataFrame:
@@ -86,7 +107,10 @@ def dense_steps(df: DataFrame, order: str, name: str = "step", rows_per_bucket:
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = 5_000_000) -> DataFrame | None:
-    """The keys of more than hot_rows rows, if any: fewer than rows / hot_rows. They are counted in tasks first."""
+    """The keys of more than hot_rows rows, if any: fewer than rows / hot_rows. They are counted in tasks first, and not at
+    all if df has no more rows than that (for a table of files that is in their footers)."""
+    if df.count() <= hot_rows:
+        return None
     hot = df.groupBy(key).count().filter((F.col("count") > hot_rows) & F.col(key).isNotNull()).select(key)
     names = hot.collect()
     return F.broadcast(df.sparkSession.createDataFrame(names, hot.schema)) if names else None
@@ -112,15 +136,17 @@ def beside(df: DataFrame, key: str, order: str, k: int, *, hot_rows: int = 5_000
     return few.unionByName(many.join(other, [key, "__dense"], "left").select(*df.columns, *columns))
 
 
-def expiries(log: DataFrame, timeout: str, ts: str, step: str, rows_per_bucket: int = 50_000) -> DataFrame:
-    """For every step of the log, `expire_at`: the first step of the whole log later than its time plus the timeout.
+def expiries(log: DataFrame, timeout: str, ts: str, step: str, rows_per_bucket: int = 50_000, *, of: DataFrame | None = None) -> DataFrame:
+    """For every step of the log (or of the rows `of`), `expire_at`: the first step of the whole log later than its time
+    plus the timeout.
 
     A forward as-of join by time ranges: rows and their probes meet in a range's window; a probe that finds nothing there
     takes the first step of the next range that has rows, from a table of one row a range.
     """
     wait = _micros(timeout)
     rows = log.select(_us(ts).alias("t"), F.lit(0).alias("probe"), F.col(step).alias("s"))
-    probes = rows.select((F.col("t") + wait).alias("t"), F.lit(1).alias("probe"), "s")
+    asked = rows if of is None else of.select(_us(ts).alias("t"), F.col(step).alias("s"))
+    probes = asked.select((F.col("t") + wait).alias("t"), F.lit(1).alias("probe"), "s")
     both = rows.unionByName(probes)
     both = both.withColumn("bucket", ranges(both, F.col("t"), 2 * rows_per_bucket))
     # at equal times rows stand before probes: expiry is strict

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .feeds import _micros, _us, ranges
+from .feeds import _micros, _us, dense_steps, hot_keys, range_of, ranges
 
 
 def throttle(df: DataFrame, every: str, ts: str, order: str, *columns: str, key: str | None = None, most_ticks: int = 1_000_000) -> DataFrame:
@@ -26,16 +28,92 @@ def throttle(df: DataFrame, every: str, ts: str, order: str, *columns: str, key:
     return spine.select(*by, F.explode(F.sequence("tick", "__to")).alias("tick"), *[F.col(f"__last.{c}").alias(c) for c in columns])
 
 
-def running(df: DataFrame, key: str, order: str, name: str, agg: Column, *, rows: int | None = None, span: str | None = None, ts: str | None = None) -> DataFrame:
-    """df with the fold of its key's rows so far: of all, of the last `rows`, or of those within `span` of its time."""
-    w = Window.partitionBy(key)
-    if span is not None:
-        w = w.orderBy(_us(ts)).rangeBetween(-_micros(span), 0)
-    elif rows is not None:
-        w = w.orderBy(order).rowsBetween(-(rows - 1), 0)
+#: Aggregates whose partial results merge: by an aggregate over many, by an expression over two.
+MERGES = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def _both(a: Column, b: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Two partial results as one; null where there were no values."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(combine(a, b))
+
+
+def _framed(agg: Column, by: list[str], order: str, rows: int | None, span: str | None, ts: str | None) -> Column:
+    """A fold over the frame that ends with a row, in windows on `by`.
+
+    Both frames of a row end with it, so the later of their starts is that of the shorter frame.
+    """
+    w = Window.partitionBy(*by)
+    if span is None:
+        return agg.over(w.orderBy(order).rowsBetween(Window.unboundedPreceding if rows is None else 1 - rows, 0))
+    timed = w.orderBy(_us(ts))
+    recent = timed.rangeBetween(-_micros(span), 0)
+    if rows is None:
+        return agg.over(recent)
+    ordered = w.orderBy(_us(ts), order)
+    # rows of its time that come after it count in the time frame, not in the number of rows that decides
+    later = F.count("*").over(timed.rangeBetween(Window.unboundedPreceding, 0)) - F.row_number().over(ordered)
+    return F.when(F.count("*").over(recent) - later <= rows, agg.over(recent)).otherwise(agg.over(ordered.rowsBetween(1 - rows, 0)))
+
+
+def running(df: DataFrame, key: str, order: str, name: str, agg: Column, *, rows: int | None = None, span: str | None = None, ts: str | None = None, merge: str | tuple | None = None, hot_rows: int = 5_000_000) -> DataFrame:
+    """df with the fold of its key's rows so far: of all, of the last `rows`, of those within `span` of its time, or of
+    those within both bounds. (Rows of one key and time are in each other's span.)
+
+    A window serves keys of at most `hot_rows` rows. Rows of larger keys are divided into ranges, so that no task has a
+    whole key: with `rows`, a range also gets the last rows before it; otherwise partial folds of ranges are scanned, for
+    which `merge` says how they merge ('sum' for sums and counts, 'min', 'max', or an aggregate and a function of two
+    columns). Without `merge` a key that needs it is folded in one task. Ranges take an integer order.
+    """
+    divisible = rows is not None or merge is not None
+    hot = hot_keys(df, key, hot_rows) if divisible and df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long") else None
+    few = df if hot is None else df.join(hot, key, "left_anti").select(*df.columns)
+    few = few.withColumn(name, _framed(agg, [key], order, rows, span, ts))
+    if hot is None:
+        return few
+    many, size = df.join(hot, key, "left_semi").select(*df.columns), min(50_000, hot_rows)
+    if rows is not None:
+        many = _with_rows_before(many, key, order, name, agg, rows, span, ts, size)
     else:
-        w = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, agg.over(w))
+        merges = MERGES[merge] if isinstance(merge, str) else merge
+        many = _scanned(many, key, order, name, agg, merges, size) if span is None else _with_times_before(many, key, order, name, agg, span, ts, merges, size)
+    return few.unionByName(many.select(*few.columns))
+
+
+def _with_rows_before(df: DataFrame, key: str, order: str, name: str, agg: Column, rows: int, span: str | None, ts: str | None, size: int) -> DataFrame:
+    """Folds over at most `rows` rows: ranges of a key's rows by number, each with the rows - 1 before it."""
+    size = max(size, rows)
+    numbered = dense_steps(df, order, "__n", size, key=key)
+    own = F.floor((F.col("__n") - 1) / size)
+    tail = (F.col("__n") - 1) % size > size - rows
+    dealt = numbered.withColumn("__own", own).withColumn("__range", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    return dealt.withColumn(name, _framed(agg, [key, "__range"], order, rows, span, ts)).filter("__range = __own").drop("__n", "__own", "__range")
+
+
+def _scanned(df: DataFrame, key: str, order: str, name: str, agg: Column, merges: tuple, size: int) -> DataFrame:
+    """Folds over all rows so far: ranges are folded, their folds scanned, and each range goes on from what came before."""
+    merge, combine = merges
+    dealt = df.withColumn("__range", ranges(df, F.col(order), size))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = dealt.groupBy(key, "__range").agg(agg.alias("__part")).select(key, "__range", merge("__part").over(before).alias("__carry"))
+    inside = dealt.withColumn("__inside", _framed(agg, [key, "__range"], order, None, None, None))
+    return inside.join(carry, [key, "__range"]).withColumn(name, _both(F.col("__carry"), F.col("__inside"), combine)).drop("__range", "__inside", "__carry")
+
+
+def _with_times_before(df: DataFrame, key: str, order: str, name: str, agg: Column, span: str, ts: str, merges: tuple, size: int) -> DataFrame:
+    """Folds over a span of time, in ranges of time.
+
+    A row takes part in its own range; in the range that its time plus the span lies in, whose rows it serves or not by
+    their times; and in all ranges between, each of whose rows it serves: there only folds of such rows are needed.
+    """
+    merge, combine = merges
+    number = range_of(df, _us(ts), size)
+    dealt = df.withColumn("__own", number(_us(ts))).withColumn("__last", number(_us(ts) + _micros(span)))
+    spread = dealt.withColumn("__range", F.explode(F.array_distinct(F.array("__own", "__last"))))
+    parts = dealt.filter("__last > __own + 1").groupBy(key, "__own", "__last").agg(agg.alias("__part"))
+    between = parts.select(key, F.explode(F.sequence(F.col("__own") + 1, F.col("__last") - 1)).alias("__range"), "__part")
+    carry = between.groupBy(key, "__range").agg(merge("__part").alias("__carry"))
+    inside = spread.withColumn("__inside", _framed(agg, [key, "__range"], order, None, span, ts)).filter("__range = __own")
+    return inside.join(carry, [key, "__range"], "left").withColumn(name, _both(F.col("__carry"), F.col("__inside"), combine)).drop("__own", "__last", "__range", "__inside", "__carry")
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str, rows_per_bucket: int = 50_000) -> DataFrame:
