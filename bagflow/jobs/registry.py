@@ -14,7 +14,7 @@ from ..functions import scalars
 from ..operators import bags, callables, feeds, folds, keyed, pacing
 from ..session import scratch
 from ..sources import readers, sinks
-from ..streaming import live
+from ..streaming import keyed_state, live, tables
 from . import majority_direction, small_jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,18 +440,20 @@ def _hot(spark, sf_dir):
     return log(spark, sf_dir).select("event_id", "ts", "cents", F.when(F.col("event_id") % 10 == 3, F.col("user_id")).otherwise(-1).alias("k"))
 
 
-@query(
-    _HOT
-    + """SELECT event_id, k, cast(sum(cents) OVER (PARTITION BY k ORDER BY event_id) AS bigint) AS total, max(cents) OVER (PARTITION BY k ORDER BY event_id) AS most,
-min(cents) OVER (PARTITION BY k ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS least,
-cast(sum(cents) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS bigint) AS recent FROM h"""
-)
+@query(_HOT + "SELECT event_id, k, cast(sum(cents) OVER (PARTITION BY k ORDER BY event_id) AS bigint) AS total FROM h")
 def running_hot_key(spark, sf_dir):
-    """Folds of a key that is most of the log, in ranges of some hundred rows."""
-    out = _hot(spark, sf_dir)
-    for name, agg, more in (("total", F.sum("cents"), {"merge": "sum"}), ("most", F.max("cents"), {"merge": "max"}), ("least", F.min("cents"), {"merge": "min", "span": "6 hours", "ts": "ts"}), ("recent", F.sum("cents"), {"rows": 100})):
-        out = pacing.running(out, "k", "event_id", name, agg, hot_rows=700, **more)
-    return out.select("event_id", "k", "total", "most", "least", "recent")
+    """A fold so far of a key that is most of the log, in ranges of some thousand rows."""
+    return pacing.running(_hot(spark, sf_dir), "k", "event_id", "total", F.sum("cents"), merge="sum", hot_rows=2000).select("event_id", "k", "total")
+
+
+@query(_HOT + "SELECT event_id, k, min(cents) OVER (PARTITION BY k ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS least FROM h")
+def running_hot_key_span(spark, sf_dir):
+    return pacing.running(_hot(spark, sf_dir), "k", "event_id", "least", F.min("cents"), merge="min", span="6 hours", ts="ts", hot_rows=2000).select("event_id", "k", "least")
+
+
+@query(_HOT + "SELECT event_id, k, max(cents) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS most FROM h")
+def running_hot_key_rows(spark, sf_dir):
+    return pacing.running(_hot(spark, sf_dir), "k", "event_id", "most", F.max("cents"), merge="max", rows=100, hot_rows=2000).select("event_id", "k", "most")
 
 
 @query(f"WITH {EV} SELECT event_id, cast(sum(cents) OVER (ORDER BY event_id) AS bigint) AS total FROM ev")
@@ -685,16 +687,20 @@ def stream_position_state(spark, sf_dir):
 WHERE current_direction IS NOT NULL GROUP BY 1 ORDER BY n DESC, current_direction LIMIT 1"""
 )
 def stream_majority(spark, sf_dir):
-    state = scratch(spark, "stream-state")
-    _finished(_positions(spark, sf_dir), "stream-majority", batch=live.stream_majority(spark, state))
-    return live.majority_of(live.snapshot(spark, state))
+    counts = scratch(spark, "stream-counts")
+    feed = scratch(spark, "stream-states")
+    states = keyed_state.user_states(scratch(spark, "stream-state"), feed, "user_id", "event_id", "lat", "lon")
+    batch = keyed_state.then(states, feed, keyed_state.label_counts(counts, "user_id", "event_id", "last_direction", "current_direction"))
+    _finished(stream(spark, sf_dir).select("user_id", "event_id", "lat", "lon"), "stream-majority", batch=batch)
+    found = live.snapshot(spark, counts).select(F.col("label").alias("current_direction"), "n")
+    return found.orderBy(F.desc("n"), "current_direction").limit(1)
 
 
 def _stream_bag(spark, sf_dir, kind):
     ev = stream(spark, sf_dir)
-    sides = [ev.filter(F.col("event_type") == k).select("cents") for k in ("click", "view")]
     state = scratch(spark, "stream-bags")
-    _finished(live.stream_bag_counts(*sides), "stream-counts", mode="complete", batch=lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{state}/{epoch}"))
+    tagged, batch = keyed_state.bag_counts(*[ev.filter(F.col("event_type") == k).select("cents") for k in ("click", "view")], state)
+    _finished(tagged, "stream-counts", batch=batch)
     return live.bag_op(live.snapshot(spark, state), kind)
 
 
@@ -763,3 +769,122 @@ def stream_tick_windows(spark, sf_dir):
     df = live.tick_windows(stream(spark, sf_dir), "ts", "1 hour", "10 minutes", "event_type")
     out = spark.read.schema(df.schema).parquet(_finished(df, "stream-ticks"))
     return out.select(F.unix_micros("tick_start").alias("tick_us"), "event_type", "n")
+
+
+def _results(spark, sf_dir, label, batch_for, df=None):
+    """Run a stateful batch function over the stream and return what it wrote."""
+    out = scratch(spark, label)
+    _finished(stream(spark, sf_dir) if df is None else df, label, batch=batch_for(scratch(spark, f"{label}-state"), out))
+    return tables.results(spark, out)
+
+
+@query(_STATES + "SELECT event_id, user_id, current_direction, lag(current_direction) OVER (PARTITION BY user_id ORDER BY event_id) AS last_direction FROM l")
+def stream_user_state(spark, sf_dir):
+    out = _results(spark, sf_dir, "stream-users", lambda state, out: keyed_state.user_states(state, out, "user_id", "event_id", "lat", "lon", date="ts"))
+    return out.select("event_id", "user_id", "current_direction", "last_direction")
+
+
+_LAST_THREE = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"WITH {EV} SELECT event_id, user_id, max(cents) {_LAST_THREE} AS most FROM ev")
+def stream_fold_last_n(spark, sf_dir):
+    """The largest of each user's last three values, after each arrival."""
+    fold = lambda state, out: keyed_state.folded(state, out, "event_id", "most", F.max("cents"), key="user_id", rows=3, columns=["cents"])
+    return _results(spark, sf_dir, "stream-fold-n", fold).select("event_id", "user_id", "most")
+
+
+@query(f"WITH {EV} SELECT event_id, user_id, bit_xor(cents) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS x FROM ev")
+def stream_fold_lease(spark, sf_dir):
+    """A fold of each user's values of the last day, after each arrival."""
+    fold = lambda state, out: keyed_state.folded(state, out, "event_id", "x", F.bit_xor("cents"), key="user_id", span="24 hours", ts="ts", columns=["cents"])
+    return _results(spark, sf_dir, "stream-fold-t", fold).select("event_id", "user_id", "x")
+
+
+@query(f"WITH {EV} SELECT event_id, max(cents) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS most FROM ev")
+def stream_fold_bag(spark, sf_dir):
+    """The largest of the whole bag's last hundred values, after each arrival."""
+    fold = lambda state, out: keyed_state.folded(state, out, "event_id", "most", F.max("cents"), rows=100, merge="max", columns=["cents"])
+    return _results(spark, sf_dir, "stream-fold-bag", fold).select("event_id", "most")
+
+
+@query(
+    f"""WITH {_BOTH} SELECT 'add' AS op, valid_from AS at, event_id, user_id FROM v
+UNION ALL SELECT 'remove', valid_to, event_id, user_id FROM v WHERE valid_to IS NOT NULL"""
+)
+def stream_bounded(spark, sf_dir):
+    """The change feed of a buffer of three per user on a lease of six hours of the whole log."""
+    feed = lambda state, out: keyed_state.bounded(state, out, "event_id", key="user_id", n=3, timeout="6 hours", ts="ts")
+    out = _results(spark, sf_dir, "stream-bounded", feed, stream(spark, sf_dir).select("event_id", "user_id", "ts"))
+    return out.select("op", "at", "event_id", "user_id")
+
+
+#: Lives of (user, type) under a lease of 12 hours that each arrival renews.
+_LIVES = """WITH e AS (SELECT a.event_id, a.user_id, a.event_type, b.event_id AS expire FROM events a ASOF LEFT JOIN events b ON a.ts + INTERVAL 12 HOUR < b.ts),
+n AS (SELECT *, lead(event_id) OVER w AS next FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)),
+g AS (SELECT *, CASE WHEN expire IS NOT NULL AND (next IS NULL OR expire < next) THEN 1 ELSE 0 END AS ended FROM n),
+l AS (SELECT *, sum(ended) OVER (PARTITION BY user_id, event_type ORDER BY event_id) - ended AS life FROM g),
+r AS (SELECT user_id, event_type, min(event_id) AS first_step, max(event_id) AS last_step, count(*) AS n, max(CASE WHEN ended = 1 THEN expire END) AS expire_at FROM l GROUP BY user_id, event_type, life)
+"""
+
+
+@query(_LIVES + "SELECT * FROM r")
+def renewals(spark, sf_dir):
+    out = pacing.renewals(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "ts", "12 hours")
+    return out.drop("last_ts")
+
+
+@query(_LIVES + "SELECT 'add' AS op, event_id AS at, user_id, event_type, 1::bigint AS n FROM e UNION ALL SELECT 'remove', expire_at, user_id, event_type, n FROM r WHERE expire_at IS NOT NULL")
+def stream_renew(spark, sf_dir):
+    feed = lambda state, out: keyed_state.renewed(state, out, ["user_id", "event_type"], "event_id", "ts", "12 hours")
+    return _results(spark, sf_dir, "stream-renew", feed).select("op", "at", "user_id", "event_type", "n")
+
+
+@query(
+    """WITH t AS (SELECT epoch_us(ts) // 86400000000 AS tick, * FROM events), l AS (SELECT user_id, tick, max(event_id) AS event_id FROM t GROUP BY ALL),
+m AS (SELECT max(tick) AS last FROM l), s AS (SELECT user_id, unnest(range(min(tick), (SELECT last FROM m))) AS tick FROM l GROUP BY 1)
+SELECT s.user_id, s.tick, l.event_id FROM s ASOF JOIN l ON s.user_id = l.user_id AND s.tick >= l.tick"""
+)
+def stream_throttle(spark, sf_dir):
+    feed = lambda state, out: keyed_state.throttled(state, out, "1 day", "ts", "event_id", "event_id", key="user_id")
+    return _results(spark, sf_dir, "stream-throttle", feed).select("user_id", "tick", "event_id")
+
+
+@query(
+    f"""WITH {_BOTH}, t AS (SELECT event_id AS step, epoch_us(ts) // 21600000000 AS tick FROM events),
+c AS (SELECT 'add' AS op, valid_from AS step, event_id, user_id FROM v UNION ALL SELECT 'remove', valid_to, event_id, user_id FROM v WHERE valid_to IS NOT NULL)
+SELECT tick, op, event_id, user_id FROM c JOIN t USING (step) WHERE tick < (SELECT max(tick) FROM t)"""
+)
+def stream_tick_changes(spark, sf_dir):
+    """What came into and went out of the bounded collection in each whole tick of six hours, in both lists if both."""
+    feed, state = scratch(spark, "stream-changes"), scratch(spark, "stream-changes-state")
+    first = keyed_state.bounded(state, feed, "event_id", key="user_id", n=3, timeout="6 hours", ts="ts")
+    lists = lambda state, out: keyed_state.then(first, feed, keyed_state.ticked(state, out, "6 hours", "at_ts"))
+    out = _results(spark, sf_dir, "stream-lists", lists, stream(spark, sf_dir).select("event_id", "user_id", "ts"))
+    return out.select("tick", "op", "event_id", "user_id")
+
+
+@query(
+    f"""WITH {EV}, s AS (SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN cents END IGNORE NULLS) OVER w AS click,
+last_value(CASE WHEN event_type = 'view' THEN cents END IGNORE NULLS) OVER w AS view FROM ev WHERE event_type IN ('click', 'view')
+WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT * FROM s WHERE click IS NOT NULL AND view IS NOT NULL"""
+)
+def stream_zip(spark, sf_dir):
+    """Each user's latest click beside the latest view, whenever either changes."""
+    ev, out = stream(spark, sf_dir), scratch(spark, "stream-zip")
+    sides = [ev.filter(F.col("event_type") == k).select("user_id", "event_id", F.col("cents").alias(k)) for k in ("click", "view")]
+    tagged, batch = keyed_state.zipped(*sides, "user_id", "event_id", scratch(spark, "stream-zip-state"), out)
+    _finished(tagged, "stream-zipped", batch=batch)
+    return tables.results(spark, out)
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS cut FROM events),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, session
+HAVING max(ts) + INTERVAL 12 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE"""
+)
+def stream_sessions(spark, sf_dir):
+    df = live.stream_sessions(stream(spark, sf_dir), "user_id", "ts", "12 hours", "10 minutes")
+    out = spark.read.schema(df.schema).parquet(_finished(df, "stream-sessions"))
+    return out.select("user_id", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))

@@ -1,4 +1,4 @@
-"""Throttled snapshots, running folds and sessions."""
+"""Throttled snapshots, running folds, renewed leases and sessions."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .feeds import _micros, _us, dense_steps, hot_keys, range_of, ranges
+from .feeds import _micros, _us, beside, dense_steps, expiries, hot_keys, range_of, ranges
 
 
 def throttle(df: DataFrame, every: str, ts: str, order: str, *columns: str, key: str | None = None, most_ticks: int = 1_000_000) -> DataFrame:
@@ -59,7 +59,8 @@ def running(df: DataFrame, key: str, order: str, name: str, agg: Column, *, rows
     """df with the fold of its key's rows so far: of all, of the last `rows`, of those within `span` of its time, or of
     those within both bounds. (Rows of one key and time are in each other's span.)
 
-    A window serves keys of at most `hot_rows` rows. Rows of larger keys are divided into ranges, so that no task has a
+    Frames of many rows that merge are folded in blocks, others frame by frame. A window serves keys of at most
+    `hot_rows` rows. Rows of larger keys are divided into ranges, so that no task has a
     whole key: with `rows`, a range also gets the last rows before it; otherwise partial folds of ranges are scanned, for
     which `merge` says how they merge ('sum' for sums and counts, 'min', 'max', or an aggregate and a function of two
     columns). Without `merge` a key that needs it is folded in one task. Ranges take an integer order.
@@ -67,7 +68,10 @@ def running(df: DataFrame, key: str, order: str, name: str, agg: Column, *, rows
     divisible = rows is not None or merge is not None
     hot = hot_keys(df, key, hot_rows) if divisible and df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long") else None
     few = df if hot is None else df.join(hot, key, "left_anti").select(*df.columns)
-    few = few.withColumn(name, _framed(agg, [key], order, rows, span, ts))
+    if rows is not None and rows > 32 and span is None and merge is not None:
+        few = _in_blocks(few, [key], order, name, agg, rows, (MERGES[merge] if isinstance(merge, str) else merge)[1])
+    else:
+        few = few.withColumn(name, _framed(agg, [key], order, rows, span, ts))
     if hot is None:
         return few
     many, size = df.join(hot, key, "left_semi").select(*df.columns), min(50_000, hot_rows)
@@ -79,6 +83,22 @@ def running(df: DataFrame, key: str, order: str, name: str, agg: Column, *, rows
     return few.unionByName(many.select(*few.columns))
 
 
+def _in_blocks(df: DataFrame, by: list[str], order: str, name: str, agg: Column, rows: int, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """Folds of the last `rows` rows, without an inverse, in a fixed number of steps a row however many rows that is.
+
+    With blocks of `rows` rows, the frame that ends with a row is the end of the block before, from the row that is
+    rows - 1 places back, and its own block so far: two folds that grow by a row at a time.
+    """
+    number = Window.partitionBy(*by).orderBy(order)
+    dealt = df.withColumn("__n", F.row_number().over(number) - 1).withColumn("__block", F.floor(F.col("__n") / rows))
+    block = Window.partitionBy(*by, "__block")
+    grown = Window.unboundedPreceding, 0
+    dealt = dealt.withColumn("__end", agg.over(block.orderBy(F.desc(order)).rowsBetween(*grown))).withColumn("__begin", agg.over(block.orderBy(order).rowsBetween(*grown)))
+    before = F.when((F.col("__n") + 1) % rows != 0, F.lag("__end", rows - 1).over(number))
+    # a key's first rows have no row that far back: their own block so far is all
+    return dealt.withColumn(name, _both(before, F.col("__begin"), combine)).drop("__n", "__block", "__end", "__begin")
+
+
 def _with_rows_before(df: DataFrame, key: str, order: str, name: str, agg: Column, rows: int, span: str | None, ts: str | None, size: int) -> DataFrame:
     """Folds over at most `rows` rows: ranges of a key's rows by number, each with the rows - 1 before it."""
     size = max(size, rows)
@@ -125,6 +145,28 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, rows_per_bucke
     return bucketed.withColumn("__inside", inside).join(totals, "__bucket").select(*df.columns, (F.col("__offset") + F.col("__inside")).alias(name))
 
 
+def renewals(df: DataFrame, element: list[str], order: str, ts: str, timeout: str, *, clock: DataFrame | None = None, copies: str | None = None, hot_rows: int = 5_000_000) -> DataFrame:
+    """The lives of elements under a lease that every arrival of an equal element renews: (element columns, first_step,
+    last_step, last_ts, n, expire_at), n being the copies that go together at expire_at (null: still live).
+
+    An element expires at the first step of the whole log (or of `clock`, if df has other rows too) later than its last
+    arrival's time plus the timeout, unless it arrives at or before that step. `copies` is a column of how many a row stands for.
+    """
+    name = "__element"
+    rows = df.select(F.struct(*element).alias(name), F.col(order), F.col(ts), (F.col(copies) if copies else F.lit(1)).cast("long").alias("__copies"))
+    gone = expiries((df if clock is None else clock).select(order, ts), timeout, ts, order, of=rows.select(order, ts))
+    rows = rows.join(gone, order)
+    hot = hot_keys(rows, name, hot_rows)
+    rows = beside(rows, name, order, 1, hot=hot, __next=order)
+    ended = F.col("expire_at").isNotNull() & (F.col("__next").isNull() | (F.col("expire_at") < F.col("__next")))
+    rows = rows.withColumn("__ended", ended.cast("int"))
+    # a life ends with the row that isn't renewed in time; the lives before a row number it
+    rows = running(rows, name, order, "__life", F.sum("__ended"), merge="sum", hot_rows=hot_rows)
+    life = F.col("__life") - F.col("__ended")
+    out = rows.groupBy(name, life.alias("__life")).agg(F.min(order).alias("first_step"), F.max(order).alias("last_step"), F.max(ts).alias("last_ts"), F.sum("__copies").alias("n"), F.max(F.when(F.col("__ended") == 1, F.col("expire_at"))).alias("expire_at"))
+    return out.select(f"{name}.*", "first_step", "last_step", "last_ts", "n", "expire_at")
+
+
 def sessions(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     """Sessions of every key that close after a gap: their first and last time and number of rows."""
     at = F.col(ts).cast("timestamp")

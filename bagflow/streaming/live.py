@@ -19,7 +19,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalars import direction
 from ..operators.bags import from_weighted, majority
-from ..operators.feeds import _micros, lease
+from ..operators.feeds import _micros
+from .keyed_state import leased, newest_labels
+from .tables import Buckets
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -94,6 +96,54 @@ class LastN(StatefulProcessor):
         pass
 
 
+class Buffer(StatefulProcessor):
+    """A buffer of n elements of a key over a feed of additions and removals, in the order they come in a batch sorted by step.
+
+    An addition to a full buffer evicts the oldest element; a removal takes out the oldest equal one, if there is one.
+    Holds n elements and one batch's rows of a key, beyond a fixed number in sorted runs on disk.
+    """
+
+    def __init__(self, n: int, value: str):
+        self.n, self.value = n, value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", f"value {self.value}")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        held = [r[0] for r in self.held.get()] if self.held.exists() else []
+        for at, op, value, ts in sorted_rows((r["at"], r["op"], r["value"], r["ts"]) for r in rows):
+            if op == "add":
+                yield Row(key=key[0], op="add", value=value, at=at, ts=ts)
+                held.append(value)
+                if len(held) > self.n:
+                    yield Row(key=key[0], op="remove", value=held.pop(0), at=at, ts=ts)
+            elif value in held:
+                held.remove(value)
+                yield Row(key=key[0], op="remove", value=value, at=at, ts=ts)
+        if held:
+            self.held.put([(v,) for v in held])
+        else:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_buffer(changes: DataFrame, n: int, key: str, order: str, op: str, value: str, ts: str) -> DataFrame:
+    """The change feed (key, op, value, at, ts) of a buffer of n per key on another feed, whose op is 'add' or 'remove'."""
+    k, v = changes.schema[key].dataType.simpleString(), changes.schema[value].dataType.simpleString()
+    rows = changes.select(F.col(key).alias("key"), F.col(order).cast("long").alias("at"), F.col(op).alias("op"), F.col(value).alias("value"), F.col(ts).cast("timestamp").alias("ts"))
+    return rows.groupBy("key").transformWithState(Buffer(n, v), f"key {k}, op string, value {v}, at long, ts timestamp", "append", "None")
+
+
+def stream_sessions(df: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
+    """Sessions of every key (first_ts, last_ts, n), given once the watermark, `late` behind the newest time, has passed
+    their gap. A late row that stands between two sessions joins them."""
+    rows = df.select(key, F.col(ts).cast("timestamp").alias("__ts")).withWatermark("__ts", late)
+    out = rows.groupBy(key, F.session_window("__ts", gap).alias("__w")).agg(F.count("*").alias("n"), F.min("__ts").alias("first_ts"), F.max("__ts").alias("last_ts"))
+    return out.select(key, "n", "first_ts", "last_ts")
+
+
 def stream_diff(df: DataFrame, n: int, key: str, order: str, value: str) -> DataFrame:
     """The change feed of a buffer of n rows per key: (key, op, step, value, at) for rows that came in or went out at a step."""
     k, v = df.schema[key].dataType.simpleString(), df.schema[value].dataType.simpleString()
@@ -141,48 +191,18 @@ def stream_position_state(df: DataFrame, key: str, order: str, lat: str, lon: st
 
 
 def stream_majority(df: DataFrame, state_path: str, label: str = "current_direction") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that upserts the newest label of each key into a versioned state table; see `snapshot`."""
-
-    def batch(rows: DataFrame, epoch: int) -> None:
-        spark = rows.sparkSession
-        new = rows.select("key", "step", label)
-        old = _version(spark, state_path, epoch - 1)
-        both = new if old is None else old.unionByName(new)
-        both.groupBy("key").agg(F.max_by(F.struct("step", label), "step").alias("s")).select("key", "s.*").write.mode("overwrite").parquet(f"{state_path}/{epoch}")
-        _keep(spark, state_path, epoch)
-
-    return batch
-
-
-def _folder(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+    """A foreachBatch function that keeps the newest label of each key in a state table; see `snapshot`."""
+    return newest_labels(state_path, "key", "step", label)
 
 
 def _version(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
     """The state table after an epoch; None before the first one. A version that should be there but isn't is an error."""
-    if epoch < 0:
-        return None
-    p, fs = _folder(spark, f"{path}/{epoch}")
-    if not fs.exists(p):
-        raise RuntimeError(f"{path} has no state of batch {epoch}: it was moved or removed, or belongs to another checkpoint")
-    return spark.read.parquet(f"{path}/{epoch}")
-
-
-def _keep(spark: SparkSession, path: str, epoch: int, versions: int = 3) -> None:
-    """Remove the versions of a state table before the last few."""
-    p, fs = _folder(spark, f"{path}/{epoch - versions}")
-    if epoch >= versions and fs.exists(p):
-        fs.delete(p, True)
+    return None if epoch < 0 else Buckets(spark, path).snapshot(epoch)
 
 
 def snapshot(spark: SparkSession, path: str, epoch: int | None = None) -> DataFrame:
     """The state table after an epoch (the newest by default); the one before it is the delayed state."""
-    if epoch is None:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        names = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
-        epoch = max(int(n) for n in names if n.isdigit())
-    return spark.read.parquet(f"{path}/{epoch}")
+    return Buckets(spark, path).snapshot(epoch)
 
 
 def majority_of(state: DataFrame, label: str = "current_direction") -> DataFrame:
@@ -192,13 +212,7 @@ def majority_of(state: DataFrame, label: str = "current_direction") -> DataFrame
 
 def stream_lease(state_path: str, ts: str, timeout: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for an exact global lease: each version of the table holds the rows alive after its batch."""
-    def batch(rows: DataFrame, epoch: int) -> None:
-        old = _version(rows.sparkSession, state_path, epoch - 1)
-        both = rows if old is None else old.unionByName(rows)
-        lease(both, timeout, ts).write.mode("overwrite").parquet(f"{state_path}/{epoch}")
-        _keep(rows.sparkSession, state_path, epoch)
-
-    return batch
+    return leased(state_path, ts, timeout)
 
 
 class Leased(StatefulProcessor):

@@ -41,7 +41,7 @@ FOLDS = [("sum", F.sum, sum), ("max", F.max, max), ("min", F.min, min)]
 
 
 @pytest.mark.parametrize("hot_rows", [40, 10**6])
-@pytest.mark.parametrize(("last", "span"), [(None, None), (7, None), (None, 600), (7, 600), (60, 3000), (None, 100_000)])
+@pytest.mark.parametrize(("last", "span"), [(None, None), (7, None), (None, 600), (7, 600), (60, 3000), (60, None), (None, 100_000)])
 def test_running_folds(spark, hot_rows, last, span):
     rows = arrivals()
     df = frame(spark, rows)
