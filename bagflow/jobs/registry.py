@@ -689,7 +689,7 @@ WHERE current_direction IS NOT NULL GROUP BY 1 ORDER BY n DESC, current_directio
 def stream_majority(spark, sf_dir):
     counts = scratch(spark, "stream-counts")
     feed = scratch(spark, "stream-states")
-    states = keyed_state.user_states(scratch(spark, "stream-state"), feed, "user_id", "event_id", "lat", "lon")
+    states = keyed_state.user_states(scratch(spark, "stream-state"), feed, "user_id", "event_id", "lat", "lon", buckets=16)
     batch = keyed_state.then(states, feed, keyed_state.label_counts(counts, "user_id", "event_id", "last_direction", "current_direction"))
     _finished(stream(spark, sf_dir).select("user_id", "event_id", "lat", "lon"), "stream-majority", batch=batch)
     found = live.snapshot(spark, counts).select(F.col("label").alias("current_direction"), "n")
@@ -699,7 +699,7 @@ def stream_majority(spark, sf_dir):
 def _stream_bag(spark, sf_dir, kind):
     ev = stream(spark, sf_dir)
     state = scratch(spark, "stream-bags")
-    tagged, batch = keyed_state.bag_counts(*[ev.filter(F.col("event_type") == k).select("cents") for k in ("click", "view")], state)
+    tagged, batch = keyed_state.bag_counts(*[ev.filter(F.col("event_type") == k).select("cents") for k in ("click", "view")], state, buckets=16)
     _finished(tagged, "stream-counts", batch=batch)
     return live.bag_op(live.snapshot(spark, state), kind)
 

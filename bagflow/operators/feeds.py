@@ -60,13 +60,17 @@ def range_of(df: DataFrame, column: Column, rows_per_bucket: int, most_cuts: int
     Up to `few` parts are told apart by comparisons, which stay in generated code, more of them by a binary search.
     """
     zero = F.lit(0).cast("long")
+
+    def one(x: Column) -> Column:
+        return zero
+
     n = df.count()
     if n <= rows_per_bucket:
-        return lambda x: zero
+        return one
     cuts = min(most_cuts, -(-n // rows_per_bucket))
-    found = df.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.percentile_approx(column, [k / cuts for k in range(1, cuts)] or [0.5], 10 * most_cuts).alias("cuts")).first()
+    found = df.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.percentile_approx(column, [k / cuts for k in range(1, cuts)] or [0.5], max(100, 10 * cuts)).alias("cuts")).first()
     if found["low"] is None:
-        return lambda x: zero
+        return one
     edges = sorted({found["low"], *(found["cuts"] if cuts > 1 else [])})
     parts = max(1, -(-n // (cuts * rows_per_bucket)))
     widths = [max(1, -(-(b - a) // parts)) for a, b in zip(edges, [*edges[1:], found["high"] + 1])]
@@ -148,11 +152,14 @@ def expiries(log: DataFrame, timeout: str, ts: str, step: str, rows_per_bucket:
     asked = rows if of is None else of.select(_us(ts).alias("t"), F.col(step).alias("s"))
     probes = asked.select((F.col("t") + wait).alias("t"), F.lit(1).alias("probe"), "s")
     both = rows.unionByName(probes)
-    both = both.withColumn("bucket", ranges(both, F.col("t"), 2 * rows_per_bucket))
+    number = range_of(both, F.col("t"), 2 * rows_per_bucket)
+    both = both.withColumn("bucket", number(F.col("t")))
     # at equal times rows stand before probes: expiry is strict
     # (read backwards: a frame that only grows is one pass over the range)
     later = Window.partitionBy("bucket").orderBy(F.desc("t"), F.desc("probe"), F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("next", F.last(F.when(F.col("probe") == 0, F.col("s")), ignorenulls=True).over(later)).filter("probe = 1")
+    if number.__name__ == "one":  # a single range: no other could answer
+        return found.select(F.col("s").alias(step), F.col("next").alias("expire_at"))
     firsts = both.groupBy("bucket").agg(F.min_by(F.when(F.col("probe") == 0, F.col("s")), F.when(F.col("probe") == 0, F.struct("t", "s"))).alias("first"))
     beyond = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     firsts = firsts.select("bucket", F.last("first", ignorenulls=True).over(beyond).alias("beyond"))

@@ -84,12 +84,24 @@ def zip_delay(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     return out.filter(F.col("__before").isNotNull()).drop("__before")
 
 
-def dict_lookup(df: DataFrame, dim: DataFrame, on: str, *, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Join a dictionary; it is broadcast if it has at most broadcast_rows rows, else both sides are shuffled."""
-    small = dim.limit(broadcast_rows + 1).count() <= broadcast_rows
+def dict_lookup(df: DataFrame, dim: DataFrame, on: str, *, broadcast_rows: int = 1_000_000, broadcast_mb: int = 64) -> DataFrame:
+    """Join a dictionary; it is broadcast if it has at most that many rows and megabytes, else both sides are shuffled."""
+    rows, size = dim.limit(broadcast_rows + 1).agg(F.count("*"), F.sum(_bytes(dim))).first()
+    small = rows <= broadcast_rows and (size or 0) <= broadcast_mb << 20
     return df.join(F.broadcast(dim) if small else dim, on)
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: text and binary columns by their length, nested ones by their JSON text."""
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            c = F.to_json(F.struct(c))
+        size = size + 8 + (F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("array", "map", "struct", "string", "binary", "varchar", "char") else F.lit(0))
+    return size
+
+
 def changed_state(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """The state of the keys that a batch has rows for."""
     return state.join(batch.select(key).distinct(), key, "left_semi")
