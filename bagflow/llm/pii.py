@@ -153,23 +153,27 @@ def _survey(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame, *, residual: float = 0.75, least_bits: float = 2.0, support: int = 3, smoothing: float = 2.0) -> DataFrame:
     """(entity, term, n_both, n_term, n_entity, left, disclosed) over the whole corpus, written. found: see _survey."""
     total = float(max(found.count(), 1))
-    holders = found.filter(F.size("base") > 0)
+    # copies of a text are one row from here on
+    holders = found.filter(F.size("base") > 0).groupBy("text_hash").agg(F.first("entities").alias("entities"), F.first("words").alias("words"), F.count("*").alias("n"))
+    holders = written(holders, "pii-holders", codec="zstd")
     # the least share of a term's documents that any entity must have, with all smoothing in its favour
     share = 2.0**-residual
-    known = holders.select("text_hash", F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
+    known = holders.select("n", F.explode("words").alias("term")).groupBy("term").agg(F.sum("n").alias("n_held"))
     # a term in fewer than `support` documents with mentions can't stand with an entity in so many texts
     known = written(known.filter(F.col("n_held") >= support).select("term", "n_held"), "pii-known")
     terms = docs.select(F.explode(_words(F.col("text"))).alias("term")).join(small(known.select("term"), 1_000_000), "term", "left_semi")
     terms = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(known, "term")
     terms = terms.filter(F.col("n_held") + smoothing >= share * (F.col("n_term") + smoothing))
     terms = small(written(terms.select("term", "n_term"), "pii-candidates"))
-    entities = holders.select("text_hash", F.explode("entities").alias("entity"))
-    often = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("text_hash").alias("texts")).filter(F.col("texts") >= support)
+    often = holders.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     often = small(written(often.select("entity", "n_entity"), "pii-entities"))
-    some = holders.select("doc_id", "text_hash", "entities", F.explode("words").alias("term")).join(terms, "term")
-    both = some.select("text_hash", "term", "n_term", F.explode("entities").alias("entity")).join(often, "entity")
-    both = both.groupBy("entity", "term", "n_term", "n_entity", "text_hash").agg(F.count("*").alias("n"))
-    both = both.groupBy("entity", "term", "n_term", "n_entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    # of each text only the candidates and the entities of enough texts are paired
+    left = holders.select("text_hash", "n", F.explode("words").alias("term")).join(terms, "term")
+    left = left.groupBy("text_hash", "n").agg(F.collect_list(F.struct("term", "n_term")).alias("terms"))
+    right = holders.select("text_hash", F.explode("entities").alias("entity")).join(often, "entity")
+    right = right.groupBy("text_hash").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    both = left.join(right, "text_hash").select("n", F.explode("terms").alias("t"), "entities").select("n", "t", F.explode("entities").alias("e"))
+    both = both.groupBy("e.entity", "t.term", "t.n_term", "e.n_entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     prior = F.col("n_entity") / F.lit(total)
     after = (F.col("n_both") + smoothing * prior) / (F.col("n_term") + smoothing)
     out = both.withColumn("left", -F.log2(after)).withColumn("disclosed", F.log2(after / prior))
@@ -222,12 +226,15 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     patterns = _term_pattern(plain, disclosing_terms(plain, found, **options)).withColumn("base", F.array().cast(SPAN))
     # only documents with spans change: those of the survey are reused, so no text is searched twice
     dirty = found.filter(F.size("base") > 0).select("doc_id", "text_hash", F.lit(None).cast("string").alias("pattern"), "base").unionByName(patterns)
-    dirty = dirty.groupBy(F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash")).agg(F.max("pattern").alias("pii_pattern"), F.max_by("base", F.size("base")).alias("pii_base"))
+    dirty = dirty.groupBy(F.col("doc_id").alias("dirty_id"), F.col("text_hash").alias("dirty_hash")).agg(F.max("pattern").alias("pattern"), F.max_by("base", F.size("base")).alias("base"))
     dirty = small(written(dirty, "pii-dirty"))
-    rows = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
-    rows = rows.join(dirty, F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.xxhash64("pii_text") == F.col("pii_hash")), "left")
-    rows = rows.withColumn("pii_base", F.coalesce("pii_base", F.array().cast(SPAN)))
-    extra = F.when(F.col("pii_pattern").isNotNull(), _term_spans(F.col("pii_text"), F.col("pii_pattern"))).otherwise(F.array().cast(SPAN))
-    rows = rows.withColumn("pii_spans", _in_order(F.concat("pii_base", extra)))
-    clean = _replaced(F.col("pii_text"), F.col("pii_spans"))
-    return rows.select(*[F.when((F.size("pii_spans") > 0) & F.col(text_col).isNotNull(), clean).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in columns])
+    # all columns of docs are in one struct, so that none has the name of a column here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    given = F.col("row").getField(text_col)
+    rows = rows.withColumn("plain", F.coalesce(given, F.lit("")))
+    rows = rows.join(dirty, F.col("row").getField(id_col).eqNullSafe(F.col("dirty_id")) & (F.xxhash64("plain") == F.col("dirty_hash")), "left")
+    rows = rows.withColumn("base", F.coalesce("base", F.array().cast(SPAN)))
+    extra = F.when(F.col("pattern").isNotNull(), _term_spans(F.col("plain"), F.col("pattern"))).otherwise(F.array().cast(SPAN))
+    rows = rows.withColumn("spans", _in_order(F.concat("base", extra)))
+    clean = F.when((F.size("spans") > 0) & given.isNotNull(), _replaced(F.col("plain"), F.col("spans"))).otherwise(given)
+    return rows.select(*[(clean if c == text_col else F.col("row").getField(c)).alias(c) for c in columns])

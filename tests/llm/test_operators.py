@@ -630,6 +630,24 @@ def test_pii_of_an_empty_table(spark):
     assert pii.find(none).count() == 0 and pii.sanitise(none).count() == 0
 
 
+def test_sanitise_leaves_columns_with_internal_names(spark):
+    names = ["pii_text", "pii_spans", "pii_base", "pii_id", "pii_pattern", "base", "spans", "pattern", "plain", "row", "dirty_id", "text_hash", "n", "a.b"]
+    rows = [(i, t, *range(i, i + len(names))) for i, t in enumerate(["mail a@b.cc", None, "plain words", "mail a@b.cc"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    got = pii.sanitise(df).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["mail [EMAIL]", None, "plain words", "mail [EMAIL]"]
+    assert got[0].__fields__ == df.columns and [tuple(r)[2:] for r in got] == [r[2:] for r in rows]
+
+
+def test_copies_of_a_text_are_paired_once(spark):
+    docs = [f"zanzibar w{k} writes to boss@list.example and u{k}@other.example" for k in range(5) for _ in range(4)] + [f"w{k} writes of nothing" for k in range(200)]
+    base = frame(spark, docs).select("doc_id", "text")
+    got = pii.disclosing_terms(base, pii._survey(base)).collect()
+    want = brute_terms(docs)
+    assert {(r["entity"], r["term"]): (r["n_both"], r["n_term"], r["n_entity"]) for r in got} == {k: v[:3] for k, v in want.items()}
+    assert want["email is boss@list.example", "zanzibar"][:3] == (20, 20, 20)
+
+
 def test_sanitise_merges_overlaps(spark):
     got = pii.sanitise(frame(spark, ["call +4111111111111111 now, or 1.2.3.4", "é 😀 a@b.cc"])).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == ["call +[CARD] now, or [IP]", "é 😀 [EMAIL]"]
