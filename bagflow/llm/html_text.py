@@ -10,9 +10,11 @@ number of pages on which a text block below it stands in the same place. Its imp
 their container only), or, for containers outside articles, below `against_siblings` of their most important sibling's.
 
 Branches that HTML itself or their class names mark as menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments go too, whatever the tree says of them: hosts with few pages have nothing else to go by. Class names count
-as whole names (`sidebar`, `site-footer`, but not `has-sidebar`), and neither they nor forms mark an article, a main
-element or a branch with most of a page's text (outside an article: unless the page has its articles elsewhere).
+reader comments go too, whatever the tree says of them: hosts with few pages have nothing else to go by. A class name
+counts if all its words do (`site-footer`), or if it begins or ends with a word that seldom means anything else
+(`related-posts`, `blog-sidebar`, `commentList`) and has no word of a state (`has-sidebar`). Neither names nor forms mark a
+main element, an article (but for names of comments) or a branch with most of a page's text (outside an article: unless
+the page has its articles elsewhere). A button inside a paragraph is part of its text.
 If a page has a main element, or articles with at least half of the text that is left, its text is the text in there;
 else what is left of the body. A rule that would leave a page without any text isn't applied to it.
 
@@ -40,7 +42,7 @@ from ._common import small, written
 
 _TAG = re.compile(r"""<(?:(!--)|(!|\?)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+)>)""")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|$)""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Elements by their part in a page.
 INLINE = set(
@@ -60,6 +62,13 @@ NOISE_WORDS = set(
     "footer gdpr hidden legal login menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion reactions "
     "recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Words of noise that count at the beginning or end of a name, and words of a state, with which they don't.
+EDGE_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu nav navbar navigation newsletter "
+    "pager pagination paywall popup promo promotion recommended related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+)
+STATES = set("active are closed collapsed disabled enabled free has have is less no non none not off on open opened show shown toggled visible with without".split())
+COMMENT_WORDS = set("comment comments disqus reactions replies reply respond".split())
 #: Words that say where something is, beside a word of noise in one name.
 PLACES = set("area bar block bottom box column container desktop fixed global group inner item items left lower links list main mobile outer page panel primary region right secondary section site sticky top upper wrap wrapper".split())
 #: Marked as noise only outside an article.
@@ -84,11 +93,12 @@ def _attributes(rest: str) -> tuple[str, bool, set]:
     """The class as written, whether the element is hidden, and the names in class, id and role."""
     kind, hidden, names = "", False, set()
     for name, value in _NAME.findall(rest):
-        name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
+        name, written_value = name.lower(), html.unescape(value.strip("\"'"))
+        value = written_value.lower()
         if name == "class":
             kind = ".".join(value.replace(">", "").split())
         if name in ("class", "id"):
-            names.update(value.split())
+            names.update(written_value.split())
         elif name == "role":
             names.update("role:" + r for r in value.split())
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -96,11 +106,15 @@ def _attributes(rest: str) -> tuple[str, bool, set]:
     return kind, hidden, names
 
 
-def _named(names: set, words: set) -> bool:
-    """Whether a name consists of some of these words, and words of place at most."""
-    for parts in map(_WORD.findall, names):
+def _named(names: set, words: set, edges: set = frozenset()) -> bool:
+    """Whether a name consists of some of these words, and words of place at most; or begins or ends with one of `edges`
+    and has no word of a state."""
+    for name in names:
+        parts = [p.lower() for p in _WORD.findall(name)]
         if not words.isdisjoint(parts) and all(p in words or p in PLACES for p in parts):
             return True
+        if parts and (parts[0] in edges or parts[-1] in edges) and STATES.isdisjoint(parts):
+            return True
     return False
 
 
@@ -112,6 +126,7 @@ def blocks(page: str, forms: dict | None = None) -> list[Block]:
     opened: Counter = Counter()
     marked = 0
     held: list[str] = []
+    last_close: dict[str, int] = {}  # where the last closing tag of a kind stands
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -156,8 +171,13 @@ def blocks(page: str, forms: dict | None = None) -> list[Block]:
             if m[3] or not rest:
                 continue
             if _attributes(rest)[1]:
-                stop = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-                at = stop.end() if stop else at
+                closing = re.compile(f"</{tag}\\s*>", re.I)
+                if tag not in last_close:  # looked up once, so that many unclosed elements don't each read to the end
+                    last_close[tag] = max((c.start() for c in closing.finditer(page, at)), default=-1)
+                if at <= last_close[tag]:
+                    at = closing.search(page, at).end()
+            continue
+        if tag == "button" and opened["p"]:
             continue
         if m[3]:
             if tag == "br":
@@ -189,7 +209,8 @@ def blocks(page: str, forms: dict | None = None) -> list[Block]:
         noise |= tag in NOISE_TAGS or hidden or any(w[5:] in NOISE_ROLES for w in names if w.startswith("role:"))
         noise |= tag == "header" and not inside and not main
         names = {w for w in names if not w.startswith("role:")}
-        if not main and (tag == "form" or _named(names, NOISE_WORDS) or not inside and _named(names, HEADER_WORDS)):
+        noisy = tag == "form" or _named(names, NOISE_WORDS, EDGE_WORDS) or not inside and _named(names, HEADER_WORDS)
+        if not main and noisy or tag == "article" and _named(names, COMMENT_WORDS, COMMENT_WORDS):
             marked += 1
             marks = (*marks, (marked, inside)) if len(marks) < DEPTH else marks
         step = f"{tag}.{kind}" if kind else tag

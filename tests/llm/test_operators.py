@@ -438,6 +438,42 @@ def test_names_and_small_articles_cost_no_main_text():
     assert html_text.main_text(html_text.blocks("<aside><p>Only this</p></aside>"), set()) == "Only this"
 
 
+NOISE_NAMES = ["related-posts", "article-comments", "user-comments", "commentList", "entry-footer", "ad-unit", "google-ad", "share-buttons", "newsletter-signup", "blog-sidebar", "cookie-policy-banner"]
+PLAIN_NAMES = ["has-sidebar", "content-sidebar-wrap", "overflow-hidden", "comments-open", "post-body", "page-without-nav", "theshare", "headline"]
+
+
+def test_texts_of_built_pages(spark):
+    """Pages of known main blocks, with noise of many kinds between and around them."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randrange(2, 9)))
+    phrase = lambda n: " ".join(word() for _ in range(n))
+    pages, want = [], []
+    for i in range(60):
+        body, blocks = [], []
+        for _ in range(rnd.randrange(3, 8)):
+            text = phrase(rnd.randrange(15, 40))
+            blocks.append(text)
+            a, b = text.split(" ", 1)
+            body.append(rnd.choice([f"<p>{text}</p>", f"<p>{a}\n<b>{b}</b></p>", f"<div class='{rnd.choice(PLAIN_NAMES)}'>{text}</div>", f"<h2>{text}</h2>", f"<p>{a} <button>{b}</button></p>", f"<ul><li>{text}</li></ul>"]))
+            body += [f"<{t} class='{n}'>{phrase(3)}</{t}>" for t, n in [(rnd.choice(["div", "section", "ul"]), rnd.choice(NOISE_NAMES))] if rnd.random() < 0.5]
+            body += rnd.choices(["", "<script>var x;</script>", "<style>p{}</style>", f"<!-- {word()} -->", f"<form>{phrase(2)}</form>", f"<nav>{phrase(4)}</nav>", f"<aside>{phrase(4)}</aside>"], k=1)
+        outer = rnd.choice(["article", "main", "div"])
+        comments = "".join(f"<article class='comment'><p>{phrase(4)}</p></article>" for _ in range(rnd.randrange(3))) if outer != "div" else ""
+        pages.append(f"<html><head><title>{word()}</title></head><body><header>{phrase(3)}</header><{outer}>{''.join(body)}{comments if outer == 'main' else ''}</{outer}>{comments if outer == 'article' else ''}<footer>{phrase(3)}</footer></body></html>")
+        want.append("\n\n".join(blocks))
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    for i, t in enumerate(want):
+        assert got[i] == t, pages[i]
+
+
+def test_many_unclosed_hidden_elements_are_read_once():
+    begun = time.time()
+    found = html_text.blocks("<p>Text " + "<span hidden>" * 20_000 + "end</p>")
+    assert [b.text for b in found] == ["Text end"] and time.time() - begun < 1
+    assert [b.text for b in html_text.blocks("<p>a <i hidden>x</i> b <i hidden>y</i> c <i hidden>d")] == ["a b c d"]
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = []
     for k in range(12):
