@@ -208,7 +208,7 @@ def reduce_by_key_init(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT user_id, bit_xor(cents) AS x FROM ev GROUP BY 1")
 def fold_custom(spark, sf_dir):
-    return folds.fold(log(spark, sf_dir), "user_id", "cents", lambda a, b: a ^ b, name="x")
+    return folds.fold(log(spark, sf_dir), "user_id", "cents", lambda a, b: a ^ b, name="x", arrays=True)
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -15,7 +15,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalars import direction
 from ..operators.bags import from_weighted, majority
@@ -285,12 +284,13 @@ def tick_windows(df: DataFrame, ts: str, tick: str, late: str, *by: str) -> Data
     return rows.groupBy(F.window("__ts", tick), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("tick_start"), *by, "n")
 
 
-def do_apply(fn: Callable[..., None], state_path: str, *inputs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
+def do_apply(fn: Callable[..., None], state_path: str, *inputs: DataFrame, parts: int = 16) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
     """One stream of several inputs (of equal columns), and a foreachBatch function that calls fn with the current value
     of every input (all its rows so far) whenever any of them changed.
 
-    A batch adds its rows to the folder as its own part; values are read from the parts of all batches so far, so
-    nothing is written twice, and a batch that is repeated replaces its part.
+    A batch adds its rows to the state table as a part of its own, and a batch that is repeated replaces its part. Whenever
+    there are `parts` parts of one level they become one of the next, so that a value is read from few folders, and a row
+    is written again a few times only, however many batches there are.
     """
     tagged = None
     for i, df in enumerate(inputs):
@@ -299,10 +299,19 @@ def do_apply(fn: Callable[..., None], state_path: str, *inputs: DataFrame) -> tu
 
     def batch(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{state_path}/batch={epoch}")
-        now = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(state_path).filter(F.col("batch") <= epoch)
-        if not now.filter(F.col("batch") == epoch).isEmpty():
-            fn(*[now.filter(F.col("__input") == i).drop("__input", "batch") for i in range(len(inputs))])
+        if rows.isEmpty():
+            return
+        table = Buckets(spark, state_path)
+        before = table.newest(epoch)
+        entries = table.version(before)["entries"]
+        level, merged = 0, []
+        while len(own := [b for b, e in entries.items() if e["mark"] == level]) + 1 >= parts:
+            merged += own
+            level += 1
+        part = rows.unionByName(table.read(before, rows.schema, merged)) if merged else rows
+        table.write(epoch, part, [*merged, str(epoch)], bucket=F.lit(epoch), mark=F.max(F.lit(level)), before=before)
+        now = table.read(epoch, rows.schema)
+        fn(*[now.filter(F.col("__input") == i).drop("__input") for i in range(len(inputs))])
 
     return tagged, batch
 

@@ -30,10 +30,11 @@ class Buckets:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def newest(self) -> int:
-        """The last version; -1 before the first."""
+    def newest(self, below: int | None = None) -> int:
+        """The last version (below a batch); -1 before the first."""
         p, fs = self._file("versions")
-        return max((int(n) for s in fs.listStatus(p) if (n := s.getPath().getName()).isdigit()), default=-1) if fs.exists(p) else -1
+        there = [int(n) for s in fs.listStatus(p) if (n := s.getPath().getName()).isdigit()] if fs.exists(p) else []
+        return max((n for n in there if below is None or n < below), default=-1)
 
     def version(self, epoch: int) -> dict:
         """The manifest after a batch: entries by bucket, each with its folder and mark; and notes."""
@@ -79,9 +80,12 @@ class Buckets:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{w}" for w in wanted])
 
-    def write(self, epoch: int, rows: DataFrame, touched: Iterable[str], *, bucket: Column | None = None, mark: Column | None = None, notes: dict | None = None) -> dict:
-        """Replace the touched buckets by rows (all their rows; a bucket without any goes), and commit the version."""
-        before = self.version(epoch - 1)
+    def write(self, epoch: int, rows: DataFrame, touched: Iterable[str], *, bucket: Column | None = None, mark: Column | None = None, notes: dict | None = None, before: int | None = None) -> dict:
+        """Replace the touched buckets by rows (all their rows; a bucket without any goes), and commit the version.
+
+        The version before is that of the batch before, unless `before` names it.
+        """
+        before = self.version(epoch - 1 if before is None else before)
         entries = {b: e for b, e in before["entries"].items() if b not in set(touched)}
         folder = f"rows/{epoch}"
         dealt = rows.withColumn("__bucket", self.bucket() if bucket is None else bucket)
@@ -105,7 +109,7 @@ class Buckets:
         p, fs = self._file(f"versions/{epoch}")
         if epoch < 0 or not fs.exists(p):
             return
-        after = {e["folder"] for e in self.version(epoch + 1)["entries"].values()}
+        after = {e["folder"] for v in range(epoch + 1, epoch + self.keep + 1) if fs.exists(self._file(f"versions/{v}")[0]) for e in self.version(v)["entries"].values()}
         for e in self.version(epoch)["entries"].values():
             if e["folder"] not in after:
                 old, _ = self._file(e["folder"])

@@ -128,3 +128,24 @@ def test_words(spark):
     df = spark.createDataFrame([("a b\n a #x #yy",)], "t string")
     assert df.select(scalars.words(F.col("t"))).first()[0] == ["a", "b", "a", "#x", "#yy"]
     assert df.select(scalars.hashtags(F.col("t"))).first()[0] == ["x", "yy"]
+
+
+def test_folds_of_arrays(spark):
+    import random
+
+    import numpy as np
+
+    from bagflow.operators import folds
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "a", "a", "b", None, *"cdefgh"]), rnd.choice([None, *range(100)])) for _ in range(3000)] + [("only nulls", None)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, []).append(v)
+    for fn, init, one in ((lambda a, b: a ^ b, None, lambda vs: __import__("functools").reduce(lambda a, b: a ^ b, vs)), (np.maximum, 55, lambda vs: max(55, *vs)), (np.add, -1, lambda vs: sum(vs) - 1)):
+        for flush in (200_000, 50):
+            got = folds.fold(df, "k", "v", fn, init=init, name="x", arrays=True, flush=flush).collect()
+            assert {r["k"]: r["x"] for r in got} == {k: one(vs) for k, vs in want.items()} and len(got) == len(want)
+    assert folds.fold(df.limit(0), "k", "v", np.add, arrays=True).collect() == []

@@ -94,6 +94,18 @@ def test_old_versions_go_and_losses_are_errors(spark, tmp_path):
         table.snapshot()
 
 
+def test_applied_parts_are_merged(spark, tmp_path):
+    seen, state = [], str(tmp_path / "s")
+    df = lambda *vs: spark.createDataFrame([(v, v % 2) for v in vs], "v long, __input int")
+    _, batch = live.do_apply(lambda a, b: seen.append((sorted(r["v"] for r in a.collect()), b.count())), state, *[df(0).drop("__input")] * 2, parts=3)
+    for epoch in range(10):
+        batch(df(2 * epoch, 2 * epoch + 1), epoch)
+        assert seen[-1] == (list(range(0, 2 * epoch + 1, 2)), epoch + 1)
+        assert len(tables.Buckets(spark, state).version(epoch)["entries"]) <= 4
+    batch(df(18, 19), 9)  # once more
+    assert seen[-1] == (list(range(0, 19, 2)), 10)
+
+
 # --- per-key state ------------------------------------------------------------------------------------------------------------
 
 
