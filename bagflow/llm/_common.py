@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,11 +118,25 @@ def chunks(texts: list[bytes], most: int = 1 << 20):
         yield first, len(texts)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on from task to task, and what their allocators keep after a
+    large batch would stand beside all that later stages need."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches in parts of at most `rows` rows, so that what a task derives from a batch stays small."""
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
+    give_back()
 
 
 def words_of(texts: list[bytes]):

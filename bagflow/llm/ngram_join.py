@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, shingles, slices, small, tree_sum, words_of, written
+from ._common import give_back, id_and_text, shingles, slices, small, tree_sum, words_of, written
 from .graph import components
 
 SKETCH_CHUNK = 1 << 16
@@ -172,7 +172,9 @@ class Join:
         # one document of each class is enough; the others' rows go before anything is exploded
         rows = docs.mapInArrow(rows, f"doc_id {kind}, key binary, size long, firsts array<long>, bitmap binary")
         rows = rows.join(classes.select("key", "least", "cid"), "key").filter("doc_id <=> least")
-        return written(rows.select("cid", "size", "firsts", "bitmap"), "ngram-boundaries")
+        found = written(rows.select("cid", "size", "firsts", "bitmap"), "ngram-boundaries")
+        held.unpersist()
+        return found
 
     def memberships(self, boundaries: DataFrame) -> DataFrame:
         """Written (region, pivot, cid): each class with the pivots of its boundary n-grams, itself excepted."""
@@ -346,6 +348,8 @@ class Join:
                     if group[a] != group[b]:
                         made.append((cid[a], cid[b]))
                         group[group == group[b]] = group[a]
+            if len(flat) > 1 << 20:
+                give_back()
             return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
 
         return self._tasks(members, details, "grams").groupBy("region", "i", "j").applyInPandas(one, "a long, b long")
