@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from bagflow.llm._common import written
 
@@ -40,3 +42,37 @@ def test_stages(spark, sf):
             assert t == before[i]
         assert all(m.group() not in t for m in found)
     assert set(private.doc_id) == set(clean.doc_id) == set(packed.doc_id)
+
+
+def staged(spark, docs, sf):
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = written(stage(spark, docs, sf), "stage")
+        if name != "best-fit packing":
+            assert docs.columns == columns
+        yield name, docs
+
+
+def test_stages_of_odd_rows(spark, sf):
+    """Null ids, nulls in any column, empty texts, repeated rows, and columns with names that operators use themselves."""
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["key", "size", "base", "spans", "root", "score", "cid", "held_out", "piece", "text_hash", "pii_text", "row"]
+    clashing = {n: F.lit(i).cast("long") for i, n in enumerate(names)}
+    some = real.limit(60)
+    null = {c: F.lit(None).cast(t) for c, t in real.dtypes}
+    odd = some.limit(3).withColumn("doc_id", null["doc_id"]).unionByName(some.limit(2).withColumns({c: null[c] for c in ("lang", "source", "n_chars")})).unionByName(some.limit(1).withColumns(null)).unionByName(some.limit(2).withColumn("text", F.lit("")))
+    docs = real.unionByName(odd).unionByName(some.limit(5)).withColumns(clashing)
+    seen = {}
+    for name, out in staged(spark, docs, sf):
+        seen[name] = out.toPandas()
+    for out in list(seen.values())[:-1]:
+        assert all((out[n] == i).all() for i, n in enumerate(names)) and len(out)
+    texts = seen["n-gram Jaccard join"]
+    assert not texts[texts.doc_id.notna()].duplicated(["doc_id", "text"]).any()
+    kept = seen["PII"]
+    assert sorted(kept.doc_id.dropna().unique()) == sorted(seen["best-fit packing"].doc_id.dropna().unique())
+
+
+def test_stages_of_an_empty_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    assert all(out.count() == 0 for _, out in staged(spark, docs, sf))
