@@ -184,7 +184,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, *, residual: float = 0.7
 def _term_pattern(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Written, for the documents that hold disclosing terms: doc_id, text_hash and a pattern of the terms they hold."""
     terms = small(written(terms.select("term").distinct(), "pii-disclosing"), 1_000_000)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_words(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
+    # hashed before the words are dealt out: else every word would carry its text and hash it again
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "text_hash", F.explode("words").alias("term")).join(terms, "term", "left_semi")
     rows = rows.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     pattern = F.concat(F.lit(r"(?i)(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
