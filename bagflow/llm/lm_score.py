@@ -21,8 +21,8 @@ Products over decisions are probabilities of tokens; their logs sum to the score
 What grows with the corpus are Spark tables: the counts of all words, and the phrases with their contexts, which texts
 meet in a shuffle join (contexts that hold more than 1/100,000 of all phrases, at most 100,000, are broadcast). The
 tree's words (`hot_words` at most), the contexts of words (4,096 each, at every node of the tree) and of letters have
-sizes of their own at every scale. Where a prediction is learned or a training text is scored, its own occurrence is left
-out of the counts.
+sizes of their own at every scale. A text's own phrases are left out of the counts that predict them; counts for words and
+letters hold them, so a training text scores higher than a new one would.
 
 Defined results: null or empty text is the end token alone; rows without a doc_id are training rows; equal texts of one
 fold score alike; an empty table gives an empty result; without training rows all decisions start from even chances.
