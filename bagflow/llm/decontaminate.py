@@ -27,6 +27,7 @@ import re
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +60,13 @@ def pairs(words: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """An inverted index of items with normalised BM25 weights and block maxima."""
+    """An inverted index of items with normalised BM25 weights and block maxima.
 
-    def __init__(self, items: list[tuple[str, str]]):
+    `known` are statistics of all items, of which these are a part: their number, mean length and the document
+    frequencies of these items' terms (ascending terms, frequencies). Without it these are all.
+    """
+
+    def __init__(self, items: list[tuple[str, str]], known: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         whole = [_hashed(f"{q}\n{a}") for q, a in items]
         self.question = [shingles(_hashed(q), SHINGLE) for q, _ in items]
         self.question_words = [min(SHINGLE, len(_hashed(q))) for q, _ in items]
@@ -78,7 +83,10 @@ class Index:
         mean = max(1.0, float(lengths.mean())) if len(items) else 1.0
         terms = [np.unique(w, return_counts=True) for w in whole]
         self.vocabulary, df = np.unique(np.concatenate([t for t, _ in terms]), return_counts=True) if items else (np.zeros(0, np.uint64), np.zeros(0))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
+        total = len(items)
+        if known is not None:
+            total, mean, df = known[0], max(1.0, known[1]), known[3][np.searchsorted(known[2], self.vocabulary)]
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         for d, (t, n) in enumerate(terms):
             at = np.searchsorted(self.vocabulary, t)
@@ -219,15 +227,43 @@ class Matcher:
         return lost <= (1 - self.answer_overlap) * len(a) + 1e-9 or lost == 1 and len(a) > 1 and not missing
 
 
+def _parts(question: str, answer: str | None) -> tuple[str, str]:
+    return split_item(question) if answer is None else (question, answer)
+
+
+def _statistics(rows: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number and mean length of all items, and the written document frequency of each of their terms."""
+
+    def terms(batches):
+        for b in batches:
+            own = [pairs(_hashed("\n".join(_parts(q, a)))) for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in own], pa.int64()), pa.array([np.unique(w).view(np.int64) for w in own], pa.list_(pa.int64()))], names=["length", "terms"])
+
+    found = written(rows.mapInArrow(terms, "length long, terms array<long>"), "item-terms")
+    n, mean = found.agg(F.count("*"), F.avg("length")).first()
+    counts = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return n, mean or 0.0, written(counts, "item-frequencies")
+
+
 def _indexes(items: DataFrame, item_id: str, question_col: str, answer_col: str | None, block_items: int):
-    """The items in blocks of about block_items (dealt by hash where there are more): (index, ids of its items)."""
+    """The items in blocks of about block_items (dealt by hash where there are more): (index, ids of its items).
+
+    Scores don't depend on the blocks: frequencies, number and mean length are those of all items.
+    """
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     rows = items.select(F.col(item_id).alias("item"), F.coalesce(F.col(question_col), F.lit("")).alias("question"), answer.alias("answer")).filter("item is not null")
     blocks = max(1, -(-rows.count() // block_items))
+    known = _statistics(rows) if blocks > 1 else None
     for k in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item", "question"), F.lit(blocks)) == k)
-        got = part.orderBy("item", "question").collect()
-        yield Index([split_item(r["question"]) if r["answer"] is None else (r["question"], r["answer"]) for r in got]), [r["item"] for r in got]
+        got = [(r["item"], _parts(r["question"], r["answer"])) for r in part.orderBy("item", "question").collect()]
+        own = None
+        if known:
+            some = np.unique(np.concatenate([np.zeros(0, np.uint64), *(pairs(_hashed("\n".join(x))) for _, x in got)]))
+            wanted = items.sparkSession.createDataFrame(pd.DataFrame({"term": some.view(np.int64)}), "term long")  # the block's own
+            df = {r["term"]: r["df"] for r in known[2].join(F.broadcast(wanted), "term").collect()}
+            own = known[0], known[1], some, np.array([df[t] for t in some.view(np.int64).tolist()], dtype=np.int64)
+        yield Index([x for _, x in got], own), [i for i, _ in got]
 
 
 def contamination(

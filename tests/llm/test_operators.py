@@ -121,6 +121,20 @@ def test_decontamination(spark, sf, real):
     assert not decontaminate.contamination(frame(spark, texts[:20]), items.limit(0)).filter("contaminated").count()
 
 
+def test_blocks_of_items_score_as_all_of_them(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([("none", None), ("one", "word")], "item_id string, text string").select(F.lit(10**6).cast(dict(spark.read.parquet(f"{sf}/benchmark.parquet").dtypes)["item_id"]).alias("item_id"), "text"))
+
+    def weights(block):
+        found = {}
+        for index, ids in decontaminate._indexes(items, "item_id", "text", None, block):
+            for t, ds, xs in zip(index.vocabulary.tolist(), index.docs, index.weights):
+                found.update({(ids[d], index.question_words[d], len(index.answer[d]), t): x for d, x in zip(ds, xs)})
+        return found
+
+    whole, parts = weights(10**6), weights(23)
+    assert whole.keys() == parts.keys() and all(abs(x - parts[k]) < 1e-9 for k, x in whole.items())
+
+
 def test_wand_finds_what_brute_force_finds():
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(40)]
