@@ -73,14 +73,20 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _placed(text: Column, found: Column, pattern: Column, rank: int, kind: str) -> Column:
-    """Spans of the matches `found`: split() gives what lies between them, so lengths give their places."""
-    between = F.split(text, pattern, -1)
-    sizes = F.transform(found, lambda v, i: F.length(F.get(between, i)) + F.length(v))
-    ends = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda s, n: s + n))
-    spans = F.transform(
-        found,
-        lambda v, i: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value")),
-    )
+    """Spans of the matches `found`: split() gives what lies between them, so lengths give their places.
+
+    The text is split once, in the argument of zip_with: inside a lambda it would be split again for every match.
+    """
+    each = F.zip_with(F.split(text, pattern, -1), found, lambda gap, v: F.struct(F.coalesce(F.length(gap), F.lit(0)).alias("gap"), v.alias("v")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def step(done: Column, e: Column) -> Column:
+        start = done["at"] + e["gap"]
+        end = start + F.length(e["v"])
+        span = F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), e["v"].alias("value"))
+        return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
+
+    spans = F.aggregate(F.filter(each, lambda e: e["v"].isNotNull()), begin, step, lambda done: done["out"])
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
 
 

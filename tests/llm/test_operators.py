@@ -689,6 +689,13 @@ def test_sanitise_leaves_columns_with_internal_names(spark):
     assert got[0].__fields__ == df.columns and [tuple(r)[2:] for r in got] == [r[2:] for r in rows]
 
 
+def test_texts_with_very_many_spans(spark):
+    text = " ".join(f"u{i}@list.example, 10.0.{i % 200}.7;" for i in range(3000))
+    begun = time.time()
+    got = pii.with_spans(frame(spark, [text]).select("doc_id", "text")).select(F.size("base"), F.element_at("base", 3000)).first()
+    assert got[0] == 6000 and text[got[1]["start"] : got[1]["end"]] == "u2999@list.example" and time.time() - begun < 60
+
+
 def test_copies_of_a_text_are_paired_once(spark):
     docs = [f"zanzibar w{k} writes to boss@list.example and u{k}@other.example" for k in range(5) for _ in range(4)] + [f"w{k} writes of nothing" for k in range(200)]
     base = frame(spark, docs).select("doc_id", "text")
