@@ -70,7 +70,8 @@ def sorted_rows(rows: Iterator[tuple], most: int = 50_000, chunk: int = 200) ->
 
 class LastN(StatefulProcessor):
     """Keeps the last n rows of a key by step and reports what came in and what went out, each with the step of the arrival
-    that caused it. Holds n rows of a key at a time. A row older than all n held ones comes in and goes out again."""
+    that caused it. A batch's rows of a key arrive by step, beyond a fixed number sorted on disk; n of them are held. A row
+    older than all n held ones comes in and goes out again."""
 
     def __init__(self, n: int, order: str, value: str, kind: str):
         self.n, self.order, self.value, self.kind = n, order, value, kind
@@ -82,8 +83,7 @@ class LastN(StatefulProcessor):
         held = [(r[0], r[1]) for r in self.held.get()] if self.held.exists() else []
         heap = [(_place(x), x) for x in held]
         heapq.heapify(heap)
-        for r in rows:
-            x = (r[self.order], r[self.value])
+        for x in sorted_rows((r[self.order], r[self.value]) for r in rows):
             yield Row(key=key[0], op="add", step=x[0], value=x[1], at=x[0])
             heapq.heappush(heap, (_place(x), x))
             if len(heap) > self.n:

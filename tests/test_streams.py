@@ -128,3 +128,12 @@ def test_last_n_with_nulls_and_late_rows():
     left.subtract(Counter((r.step, r.value) for r in out if r.op == "remove"))
     assert +left == {(7, 2): 1, (6, None): 1} and last.held.now == [(6, None), (7, 2)]
     assert list(live.sorted_rows(iter([(2, "a"), (1, "b"), (None, "c"), (2, "d"), (1, "e")]), most=2, chunk=1)) == [(None, "c"), (1, "b"), (1, "e"), (2, "a"), (2, "d")]
+
+
+def test_delay_of_a_batch_whose_rows_come_in_any_order():
+    last = live.LastN(2, "step", "value", "long")
+    last.held = Held()
+    out = [r for r in last.handleInputRows((1,), (Row(step=s, value=s) for s in (4, 1, 3, 2)), None) if r.at < 4]
+    left = Counter(r.step for r in out if r.op == "add")
+    left.subtract(r.step for r in out if r.op == "remove")
+    assert sorted((+left).elements()) == [2, 3]
