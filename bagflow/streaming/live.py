@@ -5,6 +5,7 @@ State lives in the state store (RocksDB, `use_rocksdb`) or in a table that forea
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import pickle
 import sys
@@ -215,30 +216,86 @@ def stream_lease(state_path: str, ts: str, timeout: str) -> Callable[[DataFrame,
 
 
 class Leased(StatefulProcessor):
-    """Counts a key's rows by event time (in ms) and gives them back when the watermark has passed their lease."""
+    """Counts a key's rows by event time (in ms) and gives them back when the watermark has passed their lease.
 
-    def __init__(self, ts: str, wait_ms: int):
-        self.ts, self.wait = ts, wait_ms
+    Times and their counts are held in parts of at most `most`, each a value of the state, and `parts` lists the first time
+    of each; one timer a key runs to the first of all. A batch reads and writes the newest part and those in which something
+    expires, not single times. Holds a batch's rows of a key, beyond a fixed number in sorted runs on disk.
+    """
+
+    def __init__(self, ts: str, wait_ms: int, most: int = 1000):
+        self.ts, self.wait, self.most = ts, wait_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "at long", "n long")
+        self.held = handle.getMapState("held", "part long", "at array<long>, n array<long>")
+        self.parts = handle.getValueState("parts", "part array<long>, first array<long>")
+
+    def _first_of_parts(self) -> dict[int, int]:
+        found = self.parts.get() if self.parts.exists() else None
+        return dict(zip(*found)) if found else {}
+
+    def _keep(self, first: dict[int, int], timer: int | None) -> None:
+        """Write the list of parts (oldest number first) and let the timer run to the first time, if it ran to another."""
+        if first:
+            self.parts.update((list(first), list(first.values())))
+        else:
+            self.parts.clear()
+        now = min(first.values(), default=None)
+        if now != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer + self.wait)
+            if now is not None:
+                self.handle.registerTimer(now + self.wait)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
-        for r in rows:
-            at = r["__ms"]
-            before = self.held.getValue((at,))[0] if self.held.containsKey((at,)) else 0
-            if not before:
-                self.handle.registerTimer(at + self.wait)
-            self.held.updateValue((at,), (before + 1,))
+        first = self._first_of_parts()
+        timer = min(first.values(), default=None)
+        part = max(first, default=0)
+        counts = dict(zip(*self.held.getValue((part,)))) if first else {}
+
+        def write() -> None:
+            times = sorted(counts)
+            self.held.updateValue((part,), (times, [counts[at] for at in times]))
+            first[part] = times[0]
+
+        for (at,) in sorted_rows((r["__ms"],) for r in rows):
+            if len(counts) >= self.most and at not in counts:
+                write()
+                part, counts = part + 1, {}
+            counts[at] = counts.get(at, 0) + 1
             yield Row(key=key[0], op="add", at_ms=at, n=1)
+        write()
+        self._keep(first, timer)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        at = expiredTimerInfo.getExpiryTimeInMs() - self.wait
-        if self.held.containsKey((at,)):
-            n = self.held.getValue((at,))[0]
-            self.held.removeKey((at,))
-            yield Row(key=key[0], op="remove", at_ms=at, n=n)
+        first = self._first_of_parts()
+        gone = timerValues.getCurrentWatermarkInMs() - self.wait
+        due: list[tuple[int, int]] = []
+
+        def expired(before: int | None = None) -> Iterator[Row]:
+            # a time may be in several parts
+            while due and (before is None or due[0][0] < before):
+                at, n = heapq.heappop(due)
+                while due and due[0][0] == at:
+                    n += heapq.heappop(due)[1]
+                yield Row(key=key[0], op="remove", at_ms=at, n=n)
+
+        for part in sorted((p for p, at in first.items() if at <= gone), key=first.get):
+            yield from expired(first[part])
+            times, counts = self.held.getValue((part,))
+            k = bisect.bisect_right(times, gone)
+            for x in zip(times[:k], counts[:k]):
+                heapq.heappush(due, x)
+            if k < len(times):
+                self.held.updateValue((part,), (times[k:], counts[k:]))
+                first[part] = times[k]
+            else:
+                self.held.removeKey((part,))
+                del first[part]
+        yield from expired()
+        # the timer that ran out is taken away by Spark
+        self._keep(first, None)
 
     def close(self) -> None:
         pass

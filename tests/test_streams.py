@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import tracemalloc
 from collections import Counter
 
@@ -137,3 +138,86 @@ def test_delay_of_a_batch_whose_rows_come_in_any_order():
     left = Counter(r.step for r in out if r.op == "add")
     left.subtract(r.step for r in out if r.op == "remove")
     assert sorted((+left).elements()) == [2, 3]
+
+
+class Handle:
+    """State variables and timers of one key in memory, with the number of calls."""
+
+    def __init__(self):
+        self.now, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, name, *schemas):  # noqa: N802
+        return MapOf(self)
+
+    def getValueState(self, name, schema):  # noqa: N802
+        held = Held()
+        held.clear = lambda: setattr(held, "now", None)
+        return held
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class MapOf:
+    def __init__(self, handle):
+        self.handle = handle
+
+    def _called(self):
+        self.handle.calls += 1
+        return self.handle.now
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self._called()
+
+    def getValue(self, key):  # noqa: N802
+        return self._called()[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._called()[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self._called()[key]
+
+
+class Clock:
+    """A watermark, and the time of a timer that ran out."""
+
+    def __init__(self, now, at=None):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = lambda: now, lambda: at
+
+
+def expire(leased, handle, now):
+    for at in sorted(t for t in handle.timers if t <= now):
+        yield from leased.handleExpiredTimer((1,), Clock(now), Clock(now, at))
+        handle.timers.discard(at)
+
+
+def test_leases_by_parts_give_back_every_time_once_it_has_passed():
+    rnd = random.Random(3)
+    leased, handle = live.Leased("ts", 50, most=4), Handle()
+    leased.init(handle)
+    alive, now = Counter(), 0
+    for _ in range(60):
+        arrived = [rnd.randrange(now, now + 40) for _ in range(rnd.choice([1, 3, 30]))]
+        assert [r.at_ms for r in leased.handleInputRows((1,), (Row(__ms=t) for t in arrived), Clock(now))] == sorted(arrived)
+        alive.update(arrived)
+        now = max(now, max(arrived) - rnd.choice([0, 10]), now + rnd.choice([0, 60]))
+        gone = {t: n for t, n in alive.items() if t + 50 <= now}
+        assert [(r.at_ms, r.n) for r in expire(leased, handle, now)] == sorted(gone.items())
+        alive = Counter({t: n for t, n in alive.items() if t not in gone})
+        assert len(handle.timers) == bool(alive) and all(len(at) <= 4 for at, _ in handle.now.values())
+    list(expire(leased, handle, now + 1000))
+    assert not handle.now and not handle.timers
+
+
+def test_leases_cost_few_state_calls():
+    leased, handle = live.Leased("ts", 50), Handle()
+    leased.init(handle)
+    assert len(list(leased.handleInputRows((1,), (Row(__ms=t) for t in range(10_000)), Clock(0)))) == 10_000
+    assert sum(r.n for r in expire(leased, handle, 9000)) == 8951
+    assert handle.calls < 50
