@@ -120,20 +120,35 @@ def _scanned(df: DataFrame, key: str, order: str, name: str, agg: Column, merges
 
 
 def _with_times_before(df: DataFrame, key: str, order: str, name: str, agg: Column, span: str, ts: str, merges: tuple, size: int) -> DataFrame:
-    """Folds over a span of time, in ranges of time.
+    """Folds over a span of time, in ranges of time no longer than the span, in a fixed number of steps a row.
 
-    A row takes part in its own range; in the range that its time plus the span lies in, whose rows it serves or not by
-    their times; and in all ranges between, each of whose rows it serves: there only folds of such rows are needed.
+    A row takes part in its own range, where it serves all later rows; in the range that its time plus the span lies in
+    (as a guest), where it serves rows up to that time; and in all ranges between, each of whose rows it serves: there only
+    folds of such rows are needed. So a row's fold is that of its range so far, that of the guests from some time on, and
+    the range's carry: two folds that grow by a row at a time, and one number.
     """
     merge, combine = merges
-    number = range_of(df, _us(ts), size)
-    dealt = df.withColumn("__own", number(_us(ts))).withColumn("__last", number(_us(ts) + _micros(span)))
-    spread = dealt.withColumn("__range", F.explode(F.array_distinct(F.array("__own", "__last"))))
+    wait, at = _micros(span), _us(ts)
+    width, number = max(wait, 1), range_of(df, at, size)
+
+    def place(x: Column) -> Column:
+        # both parts never fall in the order of time, so their sum tells apart what either does; rows without time are apart
+        return F.coalesce(number(x) + ((x - F.pmod(x, F.lit(width))) / width).cast("long"), F.lit(-(2**62)))
+
+    dealt = df.withColumn("__own", place(at)).withColumn("__last", place(at + wait))
     parts = dealt.filter("__last > __own + 1").groupBy(key, "__own", "__last").agg(agg.alias("__part"))
     between = parts.select(key, F.explode(F.sequence(F.col("__own") + 1, F.col("__last") - 1)).alias("__range"), "__part")
     carry = between.groupBy(key, "__range").agg(merge("__part").alias("__carry"))
-    inside = spread.withColumn("__inside", _framed(agg, [key, "__range"], order, None, span, ts)).filter("__range = __own")
-    return inside.join(carry, [key, "__range"], "left").withColumn(name, _both(F.col("__carry"), F.col("__inside"), combine)).drop("__own", "__last", "__range", "__inside", "__carry")
+    spread = dealt.withColumn("__range", F.explode(F.array_distinct(F.array("__own", "__last")))).drop("__last").withColumn("__guest", F.col("__range") != F.col("__own"))
+    spread = spread.withColumn("__at", F.when(F.col("__guest"), at + wait).otherwise(at)).repartition(key, "__range")
+    grown = Window.unboundedPreceding, 0
+    side = Window.partitionBy(key, "__range", "__guest").orderBy(F.when(F.col("__guest"), -F.col("__at")).otherwise(F.col("__at")))
+    spread = spread.withColumn("__fold", agg.over(side.rangeBetween(*grown)))
+    # read backwards, the last guest seen is the first one whose time plus the span isn't before a row
+    back = Window.partitionBy(key, "__range").orderBy(F.desc("__at"), F.desc("__guest")).rowsBetween(*grown)
+    guests = F.last(F.when(F.col("__guest"), F.struct("__fold")), ignorenulls=True).over(back)["__fold"]
+    inside = spread.withColumn("__inside", _both(guests, F.col("__fold"), combine)).filter("not __guest")
+    return inside.join(carry, [key, "__range"], "left").withColumn(name, _both(F.col("__carry"), F.col("__inside"), combine)).select(*df.columns, name)
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str, rows_per_bucket: int = 50_000) -> DataFrame:

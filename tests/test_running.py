@@ -92,3 +92,15 @@ def test_ranges_by_search_and_by_comparison(spark):
 def test_empty_and_null_times(spark):
     df = frame(spark, []).select("seq", "k", "v", "ts")
     assert pacing.running(df, "k", "seq", "x", F.sum("v"), rows=2, span="1 hour", ts="ts", merge="sum", hot_rows=0).collect() == []
+
+
+@pytest.mark.parametrize(("span", "size"), [(0, 30), (1, 7), (50, 30), (5000, 30), (10**7, 200)])
+def test_spans_of_a_hot_key_take_a_fixed_number_of_steps_a_row(spark, span, size):
+    rows = arrivals(500, ties=span < 100, seed=5)
+    df = frame(spark, rows).unionByName(frame(spark, [(-1, "hot", None, 7), (-2, "hot", None, 4)]))
+    out = pacing._with_times_before(df, "k", "seq", "x", F.min("v"), f"{span} seconds", "ts", pacing.MERGES["min"], size)
+    frames = out._jdf.queryExecution().analyzed().toString().split("specifiedwindowframe(")[1:]
+    assert frames and all("unboundedpreceding" in f[:40].lower() for f in frames)
+    # rows of one time are in each other's span, as are rows without one
+    want = {seq: min((r[3] for r in rows if r[1] == k and t - span <= r[2] <= t and r[3] is not None), default=None) for seq, k, t, _ in rows}
+    assert {r["seq"]: r["x"] for r in out.filter("k is not null").collect()} == {s: x for s, x in want.items() if rows[s // 3][1] is not None} | {-1: 4, -2: 4}
