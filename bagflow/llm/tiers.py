@@ -216,7 +216,7 @@ class Task:
         self.clear()
 
 
-def pack_tiers(docs: DataFrame, tokenizer: str, *, tiers: tuple[int, ...] = (1024, 512, 256, 128), end_id: int = 0, step_tokens: int = 1 << 16, pool: int = 20_000, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 250_000) -> DataFrame:
+def pack_tiers(docs: DataFrame, tokenizer: str, *, tiers: tuple[int, ...] = (1024, 512, 256, 128), end_id: int = 0, step_tokens: int = 1 << 16, pool: int = 20_000, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 250_000) -> DataFrame:
     """Every piece of every document with its sequence_id, its offset there, the sequence's tier (its length) and its step group.
 
     `tiers` are powers of two, longest first; `pool` is the most documents that a task packs together.
@@ -228,7 +228,7 @@ def pack_tiers(docs: DataFrame, tokenizer: str, *, tiers: tuple[int, ...] = (102
     tail = array("I", [end_id]).tobytes()
 
     def rows(batches):
-        enc = _encoder(tokenizer, cache_size)
+        enc = _encoder(tokenizer, most_chars)
         task = None
         for b in batches:
             task = task or Task(tiers, step_tokens, b.schema.field(0).type, TaskContext.get().partitionId())

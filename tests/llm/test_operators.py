@@ -878,3 +878,12 @@ def test_quality_edges(spark, texts, sf):
     kept = quality.keep_good(df, model)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in scored.items() if s >= 0.3}
     assert quality.score(df.limit(0), model).count() == 0
+
+
+def test_long_texts_are_encoded_in_parts_at_spaces():
+    enc = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 40)
+    seen, piece = [], enc.piece
+    enc.piece = lambda text: seen.append(len(text)) or piece(text)
+    text = " ".join(f"word{i * 37 % 11} it's, {i}é" for i in range(200))
+    assert list(np.frombuffer(enc.encode(text), np.uint32)) == enc.whole.encode(text, add_special_tokens=False).ids
+    assert len(seen) > 50 and max(seen) < 60
