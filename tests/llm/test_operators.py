@@ -378,6 +378,50 @@ def test_probabilities_sum_to_one(real):
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_shared_beginnings_are_spelled_once(real):
+    spelling = learned_of([t for t in real.text.head(60) if t]).spelling
+    some = sorted({w for t in real.text.head(40) for w in lm_score.tokens(t or "")} | {b"a", b"aa", b"aab", b"aabc", b"\xff" * 300})
+    first = next(lm_spelling._Bits(some, spelling.alphabet).decisions())
+    beginnings = {(w + b" ")[: k + 1] for w in some for k in range(len(w) + 1)}
+    assert len(first[2]) == len(beginnings) < sum(len(w) + 1 for w in some)
+    alone = [spelling.log10([w])[0] for w in some]
+    assert np.allclose(spelling.log10(some), alone, rtol=1e-6)
+    assert np.allclose(spelling.log10([*some[::-1], *some]), [*alone[::-1], *alone], rtol=1e-6)
+    assert len(spelling.log10([])) == 0
+    # learned together, in any order, as each word by itself
+    counts = np.arange(1, len(some) + 1, dtype=np.int32)
+    seen = []
+    for turn in (1, -1):
+        learner = lm_spelling.Learner(spelling.alphabet)
+        learner.learn(some[::turn], counts[::turn])
+        learner.count()
+        seen.append(learner)
+    assert all((a == b).all() for a, b in zip(seen[0].tables, seen[1].tables)) and (seen[0].refine == seen[1].refine).all()
+    assert seen[0].tables[0].sum() == sum(int(c) * int(spelling.alphabet.length[list(w + b" ")].sum()) for w, c in zip(some, counts))
+
+
+def test_words_are_hashed_together(monkeypatch):
+    calls = []
+    monkeypatch.setattr(lm_score, "word_hashes", lambda data: calls.append(data) or word_hashes(data))
+    some = [b"the", b"", b"\xc3\xa9t\xc3\xa9", b"of"]
+    words = lm_score.Words(some, np.array([4.0, 3.0, 2.0, 2.0]), 5.0)
+    assert len(calls) == 1
+    assert words.symbols(np.array([word_hashes(b"of")[0][0], word_hashes(some[2])[0][0], lm_score._END, word_hashes(b"no")[0][0]])).tolist() == [3, 2, 1, words.rare]
+
+
+def test_words_are_counted_in_parts(spark, texts):
+    counts = Counter()
+    for i, t in enumerate(texts):
+        own = zlib.crc32(str(i).encode()) % 10 != 0
+        for w in [*words(t), ""]:
+            counts[w] += own
+    for flush in (1, 32 << 20):
+        docs = frame(spark, [t or "" for t in texts])
+        got = lm_score.count_words(docs, flush=flush).collect()
+        assert {bytes(r["word"]).decode(): r["c"] for r in got} == counts and len(got) == len(counts)
+    assert lm_score.count_words(frame(spark, ["a"]).limit(0)).count() == 0
+
+
 def test_phrases_are_cut_alike_in_different_texts():
     words = lm_score.Words([b"", b"the"], np.array([2.0, 2.0]), 5.0)
     rnd = random.Random(3)
